@@ -1,0 +1 @@
+"""No streaming operators: every source of this library is a dated snapshot."""
