@@ -44,18 +44,27 @@ def distinct_list(c: str, sep: str = " | ") -> Column:
     return F.array_join(F.array_sort(F.collect_set(c)), sep)
 
 
-def unique_in_order(order: Sequence[str], value: str, sep: str = " | ") -> Column:
-    """Distinct non-blank values joined in first-seen order."""
-    items = F.array_sort(F.collect_list(F.when(F.trim(value) != "", F.struct(*order, F.trim(value).alias("_v")))))
-    return F.array_join(F.array_distinct(F.transform(items, lambda x: x["_v"])), sep)
-
-
-def limited_list(c: str, limit: int, sep: str = " | ") -> Column:
-    """Sorted distinct values; beyond ``limit`` the rest is stated as a number."""
-    arr = F.array_sort(F.collect_set(F.when(F.trim(c) != "", F.trim(c))))
-    more = F.size(arr) - limit
-    head = F.array_join(F.slice(arr, 1, limit), sep)
-    return F.when(more > 0, F.concat(head, F.lit(" ... "), more.cast("string"), F.lit(" additional"))).otherwise(head)
+def unique_in_order(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, name: str, sep: str = " | ") -> DataFrame:
+    """Distinct non-blank values per key joined in first-seen order; repeats are folded before the lists form."""
+    seen = df.where(F.trim(value) != "").groupBy(*key, F.trim(value).alias("_v")).agg(F.min(F.struct(*order)).alias("_o"))
+    items = F.array_sort(F.collect_list(F.struct("_o", "_v")))
+    return seen.groupBy(*key).agg(F.array_join(F.transform(items, lambda x: x["_v"]), sep).alias(name))
+
+
+def limited_list(df: DataFrame, key: Sequence[str], value: str, name: str, limit: int = 80, sep: str = " | ") -> DataFrame:
+    """Distinct values, shortest first; beyond ``limit`` only their number is written out.
+
+    The rank filter runs before the lists form, so a list never outgrows ``limit``.
+    """
+    one = df.where(F.trim(value) != "").select(*key, F.trim(value).alias("_v")).distinct()
+    w = Window.partitionBy(*key).orderBy(F.length("_v"), F.lower("_v"), "_v")
+    head = one.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
+    lists = head.groupBy(*key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_v"))), lambda x: x["_v"]), sep).alias("_h")
+    )
+    more = F.col("_n") - limit
+    text = F.when(more > 0, F.concat("_h", F.lit(sep + "... ["), more.cast("string"), F.lit(" additional]"))).otherwise(F.col("_h"))
+    return one.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).join(lists, list(key)).select(*key, text.alias(name))
 
 
 def support_profile(df: DataFrame, key: Sequence[str], trial: str, day: str, good: Column) -> DataFrame:

@@ -23,10 +23,10 @@ def regulatory_cohort(rows: DataFrame, cutoff: str, years: int = 3) -> DataFrame
         F.min_by("active", first).alias("entity"), F.min("approval_date").alias("first_approval"),
         F.count(F.lit(1)).alias("source_records"), F.min_by("trade", first).alias("first_trade"),
         F.countDistinct("application").alias("applications"),
-        unique_in_order(["approval_date", "source_row"], "trade").alias("trades"),
         F.bool_or(X.multi_active("active")).alias("multi_active"),
         F.bool_or(X.word_flag("notes", fixed.ADMIN_NOTES, whole=False)).alias("administrative"),
     )
+    g = g.join(unique_in_order(r, ["identity"], ["approval_date", "source_row"], "trade", "trades"), "identity")
     done = X.followup_complete("first_approval", years, F.lit(cutoff).cast("date"))
     return g.withColumn("approval_year", F.year("first_approval")).withColumn("followup_complete", done).withColumn(
         "salt_review", X.word_flag("entity", fixed.SALT_REVIEW_WORDS)
@@ -142,11 +142,11 @@ def name_catalog(rows: DataFrame, ident: str, columns: Sequence[str], role: str
 def source_summary(name_map: DataFrame, weights: DataFrame, tag: str) -> DataFrame:
     """Top name, synonyms, methods and confidence per entity for one source."""
     m = name_map.where("status = 'MAPPED'").join(weights, "raw")
-    return m.groupBy("entity").agg(
-        F.min_by("raw", F.struct(-F.col("weight"), F.col("raw"))).alias(f"{tag}_name"),
-        limited_list("raw", 20).alias(f"{tag}_synonyms"), distinct_list("method").alias(f"{tag}_methods"),
+    main = m.groupBy("entity").agg(
+        F.min_by("raw", F.struct(-F.col("weight"), F.col("raw"))).alias(f"{tag}_name"), distinct_list("method").alias(f"{tag}_methods"),
         F.when(F.bool_and(F.col("confidence") == "HIGH"), "HIGH").otherwise("MEDIUM").alias(f"{tag}_confidence"),
     )
+    return main.join(limited_list(m, ["entity"], "raw", f"{tag}_synonyms"), "entity")
 
 
 def identity_master(cohort: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:

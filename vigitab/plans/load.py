@@ -4,7 +4,7 @@ import importlib
 
 from .registry import REGISTRY
 
-MODULES = ["q_signals", "q_terms"]
+MODULES = ["q_signals", "q_terms", "q_evidence"]
 for _m in MODULES:
     importlib.import_module(f"{__package__}.{_m}")
 

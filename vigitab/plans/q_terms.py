@@ -385,13 +385,15 @@ def _(t):
 @query("trades_in_order", """WITH f AS (SELECT lower(trim(active)) AS identity, trade, min((approval_date,source_row)) AS o FROM v_approval_row GROUP BY 1,2) SELECT identity, string_agg(trade,' | ' ORDER BY o) AS trades, count(*) AS n FROM f GROUP BY 1""", "", "A-21")
 def _(t):
     r = t.approval_row.withColumn("approval_date", X.parse_mixed_date("approval_text"))
-    return r.groupBy(F.lower(F.trim("active")).alias("identity")).agg(
-        A.unique_in_order(["approval_date", "source_row"], "trade").alias("trades"), F.countDistinct("trade").alias("n"))
+    r = r.withColumn("identity", F.lower(F.trim("active")))
+    out = A.unique_in_order(r, ["identity"], ["approval_date", "source_row"], "trade", "trades")
+    return out.join(r.groupBy("identity").agg(F.countDistinct("trade").alias("n")), "identity")
 
 
-@query("limited_lists", """SELECT brand AS entity, CASE WHEN len(l)>5 THEN array_to_string(l[1:5],' | ')||' ... '||(len(l)-5)||' additional' ELSE array_to_string(l,' | ') END AS names FROM (SELECT brand, list_sort(list(DISTINCT name)) AS l FROM v_base GROUP BY 1)""", "", "A-21")
+@query("limited_lists", """WITH d AS (SELECT DISTINCT brand, name FROM v_base), r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY length(name), lower(name), name) AS rn, count(*) OVER (PARTITION BY brand) AS n FROM d)
+ SELECT brand AS entity, string_agg(name, ' | ' ORDER BY rn)||CASE WHEN max(n)>5 THEN ' | ... ['||(max(n)-5)||' additional]' ELSE '' END AS names FROM r WHERE rn<=5 GROUP BY 1""", "", "A-21")
 def _(t):
-    return t.items.groupBy(F.col("brand").alias("entity")).agg(A.limited_list("name", 5).alias("names"))
+    return A.limited_list(t.items.select(F.col("brand").alias("entity"), "name"), ["entity"], "name", "names", 5)
 
 
 VIEWS["v_src1"] = "SELECT m.entity, min_by(m.drugname, (-w.n, m.drugname)) AS reports_name, CASE WHEN bool_and(m.drugname NOT LIKE '%sodium') THEN 'HIGH' ELSE 'MEDIUM' END AS reports_confidence FROM v_drugmap m JOIN (SELECT drugname, count(*) AS n FROM v_versioned GROUP BY 1) w ON w.drugname=m.drugname GROUP BY 1"
