@@ -232,7 +232,7 @@ def _(t):
     return D.missingness(t.trial, ["phase", "allocation", "masking", "enrollment"], "sponsor")
 
 
-_NUM = ["qty", "price", "disc", "total"]
+_NUM = ["qty", "price", "tax", "total"]
 _PCT = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
