@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import pct
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Persist a summary that a plan reads several times; partitions spill to disk and are rebuilt when lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+from .storage import keep  # noqa: F401 (re-exported)
 
 
 def audit_counts(df: DataFrame, specs: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions import numeric as N
-from .aggregates import keep
+from .storage import keep
 from .joins import join_checked
 from .prefix import equal_frequency_bins
 from .resample import ranking_from_ties

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import keep
+
 Level = tuple[Column, bool]  # (ordering expression, descending)
 
 
@@ -102,60 +104,37 @@ def cumulative(df: DataFrame, keys: Sequence[str], day: str, value: str, name: s
     return df.withColumn(name, F.sum(value).over(run))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], buckets: int = 1024, rounds: int = 2
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles, long form (keys, q, quantile).
 
-    Values are counted first, then the wanted ranks are narrowed to buckets
-    between the smallest and the largest value, ``rounds`` times; only values of
-    the hit buckets are ordered. No group is ever held by one task.
+    Values are counted first. Their running counts come from three ordering
+    levels over a log-compressed position between the smallest and the largest
+    value, so neither a large group nor a long tail ends up in one task.
     """
     keys = list(keys)
     kk = keys or ["_all"]
     src = df.where(F.col(value).isNotNull())
     if not keys:
         src = src.withColumn("_all", F.lit(0))
-    counts = src.groupBy(*kk, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy(*kk).agg(F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    wanted = (
-        sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-        .withColumn("_pos", (F.col("_total") - 1) * F.col("q"))
-        .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("_rank", F.when(F.col("_side") == 0, F.floor("_pos")).otherwise(F.ceil("_pos")))
-    )
-    targets = wanted.select(*kk, "q", "_side", "_rank")
-    path, rows, bounds = list(kk), counts, sizes.select(*kk, "_lo", "_hi")
-    for i in range(rounds):
-        b = f"_b{i}"
-        share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-        placed = rows.join(bounds, path).withColumn(
-            b, F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1))
-        ).drop("_lo", "_hi")
-        totals = placed.groupBy(*path, b).agg(F.sum("_n").alias("_bn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        run = Window.partitionBy(*path).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        totals = totals.withColumn("_upto", F.sum("_bn").over(run))
-        hit = targets.join(totals, path).where(
-            (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_bn"))
-        )
-        targets = hit.select(*path, b, "q", "_side", (F.col("_rank") - F.col("_upto") + F.col("_bn")).alias("_rank"))
-        path = [*path, b]
-        rows = placed
-        bounds = hit.select(*path, "_lo", "_hi").distinct()
-    live = rows.join(bounds.select(*path), path, "left_semi")
-    run = Window.partitionBy(*path).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    live = live.withColumn("_upto", F.sum("_n").over(run))
-    found = targets.join(live, path).where(
-        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
-    )
-    pairs = found.groupBy(*kk, "q").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_v0"),
-        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_v1"),
+    counts = keep(src.groupBy(*kk, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    squash = F.signum("_v") * F.log1p(F.abs("_v"))
+    sizes = counts.groupBy(*kk).agg(F.sum("_n").alias("_total"), F.min(squash).alias("_lo"), F.max(squash).alias("_hi"))
+    placed = counts.join(sizes, kk).withColumn("_share", F.coalesce(F.try_divide(squash - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)))
+    levels = [(F.floor(F.col("_share") * 1024), False), (F.floor(F.col("_share") * 1048576), False), (F.col("_v"), False)]
+    run = hierarchical_totals(placed, kk, levels, ["_n"], prefix="_upto")
+    last = F.col("_total") - 1
+    wanted = F.array(*[
+        F.struct(F.lit(float(q)).alias("q"), F.lit(side).alias("side"), f(last * F.lit(float(q))).cast("long").alias("rank"))
+        for q in qs for side, f in ((0, F.floor), (1, F.ceil))
+    ])
+    here = F.filter(wanted, lambda t: (t["rank"] < F.col("_upto_n")) & (t["rank"] >= F.col("_upto_n") - F.col("_n")))
+    hit = run.where(F.size(here) > 0).select(*kk, "_total", "_v", F.explode(here).alias("_t"))
+    pairs = hit.groupBy(*kk, F.col("_t.q").alias("q")).agg(
+        F.max("_total").alias("_total"), F.max(F.when(F.col("_t.side") == 0, F.col("_v"))).alias("_v0"),
+        F.max(F.when(F.col("_t.side") == 1, F.col("_v"))).alias("_v1"),
     )
     pos = (F.col("_total") - 1) * F.col("q")
-    return pairs.join(sizes.select(*kk, "_total"), kk).select(
-        *keys, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (pos - F.floor(pos))).alias("quantile")
-    )
+    return pairs.select(*keys, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (pos - F.floor(pos))).alias("quantile"))
 
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from .aggregates import keep
+from .storage import keep
 from .prefix import hierarchical_totals, position, unit_levels
 
 

@@ -407,7 +407,7 @@ def _(t):
 def _(t):
     n = t.report.groupBy("entity").agg(F.count(F.lit(1)).alias("reports"))
     p = t.candidates.groupBy("entity").agg(F.count(F.lit(1)).alias("pairs"))
-    return J.assemble_by_key([t.approval.drop("bn", "anchor", "orphan", "breakthrough", "route", "form"), n, p], "entity")
+    return J.assemble_by_key([t.approval.select("entity", "kind", "approval_year"), n, p], "entity")
 
 
 @query("logit_transforms", "SELECT doc_id, ln(1+p0) AS log1p, ln(p0/(1-p0)) AS logit, 1/(1+exp(-(2*p1-1))) AS expit FROM v_pred", "log1p logit expit", "F-15")

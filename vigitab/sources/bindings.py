@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import joins as J
+from ..operators.storage import keep
 
 
 class Tables:
@@ -166,6 +166,9 @@ class Tables:
             F.when(F.col("bn") % 3 == 0, "BLA").otherwise("NDA").alias("kind"),
             F.when(F.col("bn") % 5 == 0, "Yes (orphan)").when(F.col("bn") % 5 == 1, F.lit(None)).otherwise("No").alias("orphan"),
             F.when(F.col("bn") % 4 == 0, "N/A").when(F.col("bn") % 4 == 1, "Yes").otherwise("No").alias("breakthrough"),
+            F.when(F.col("bn") % 6 == 0, "true").otherwise("No").alias("accelerated"),
+            F.when(F.col("bn") % 7 == 0, "Yes").when(F.col("bn") % 7 == 1, "?").otherwise("No").alias("fast_track"),
+            F.when(F.col("bn") % 2 == 0, "Priority Review").otherwise("Standard").alias("priority"),
             F.when(F.col("bn") % 4 == 0, "ORAL").when(F.col("bn") % 4 == 1, "INTRAVENOUS | ORAL")
             .when(F.col("bn") % 4 == 2, "SUBCUTANEOUS").otherwise(F.lit(None)).alias("route"),
             F.when(F.col("bn") % 3 == 0, "TABLET").when(F.col("bn") % 3 == 1, "SOLUTION").otherwise("AEROSOL").alias("form"),
@@ -324,7 +327,7 @@ class Tables:
     @cached_property
     def candidates(self) -> DataFrame:
         """Distinct pairs: small next to the rows they come from and read several times, so kept."""
-        return self.final_rows.select("entity", "event").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        return self.final_rows.select("entity", "event").distinct().transform(keep)
 
     @cached_property
     def labels_h(self) -> DataFrame:
