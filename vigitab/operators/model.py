@@ -57,9 +57,11 @@ class Preprocessor:
             out = out.withColumn(f"_x_{c}", F.log1p(v) if c in self.log else v)
         return out
 
-    def fit(self, train: DataFrame) -> "Preprocessor":
-        med = exact_quantiles(stack(train, [], self.numeric), ["variable"], "value", [0.5]).collect()  # one row per feature
-        known = {r["variable"]: r["quantile"] for r in med}
+    def fit(self, train: DataFrame, medians: dict[str, float] | None = None) -> "Preprocessor":
+        known = medians
+        if known is None:
+            med = exact_quantiles(stack(train, [], self.numeric), ["variable"], "value", [0.5]).collect()  # one row per feature
+            known = {r["variable"]: r["quantile"] for r in med}
         self.fills = {c: 0.0 if c in self.zero_fill else float(known.get(c, 0.0)) for c in self.numeric}
         filled = self._filled(train)
         aggs = [f(f"_x_{c}").alias(f"{n}_{c}") for c in self.numeric for n, f in (("m", F.avg), ("s", F.stddev_pop))]
@@ -135,12 +137,23 @@ def positive_probability(df: DataFrame, name: str = "p") -> DataFrame:
     return df.withColumn(name, F.element_at(vector_to_array("probability"), 2))
 
 
+def training_medians(df: DataFrame, numeric: Sequence[str], fold: str, folds: int) -> dict[int, dict[str, float]]:
+    """Exact medians of every training part (all rows but one fold) in one pass over the data."""
+    parts = df.withColumn("_out", F.explode(F.array(*[F.lit(k) for k in range(folds)]))).where(F.col("_out") != F.col(fold))
+    med = exact_quantiles(stack(parts, ["_out"], numeric), ["_out", "variable"], "value", [0.5]).collect()  # folds × features
+    out: dict[int, dict[str, float]] = {k: {} for k in range(folds)}
+    for r in med:
+        out[r["_out"]][r["variable"]] = r["quantile"]
+    return out
+
+
 def oof_predict(df: DataFrame, fold: str, folds: int, y: str, prep, fit, ids: Sequence[str], pipeline: str) -> tuple[DataFrame, list]:
     """Out-of-fold probabilities: preprocessing and fit see only the other folds."""
     out, models = None, []
+    medians = training_medians(df, prep().numeric, fold, folds)
     for k in range(folds):
         train, valid = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        pre = prep().fit(train)
+        pre = prep().fit(train, medians[k])
         model = fit(pre.apply(train))
         part = positive_probability(model.transform(pre.apply(valid))).select(*ids, fold, y, F.lit(pipeline).alias("pipeline"), "p")
         models.append((k, pre, model))

@@ -118,8 +118,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
         src = src.withColumn("_all", F.lit(0))
     counts = keep(src.groupBy(*kk, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     squash = F.signum("_v") * F.log1p(F.abs("_v"))
-    sizes = counts.groupBy(*kk).agg(F.sum("_n").alias("_total"), F.min(squash).alias("_lo"), F.max(squash).alias("_hi"))
-    placed = counts.join(sizes, kk).withColumn("_share", F.coalesce(F.try_divide(squash - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)))
+    grouped = counts.groupBy(*kk) if keys else counts.groupBy()
+    sizes = grouped.agg(F.sum("_n").alias("_total"), F.min(squash).alias("_lo"), F.max(squash).alias("_hi"))
+    if keys:
+        placed = counts.join(sizes, kk)
+    else:  # one row of sizes: scalar subqueries instead of a join on a constant
+        placed = counts
+        for c in ("_total", "_lo", "_hi"):
+            placed = placed.withColumn(c, sizes.select(c).scalar())
+    placed = placed.withColumn("_share", F.coalesce(F.try_divide(squash - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)))
     levels = [(F.floor(F.col("_share") * 1024), False), (F.floor(F.col("_share") * 1048576), False), (F.col("_v"), False)]
     run = hierarchical_totals(placed, kk, levels, ["_n"], prefix="_upto")
     last = F.col("_total") - 1
@@ -149,7 +156,6 @@ def equal_frequency_bins(df: DataFrame, by: Sequence[str], value: str, bins: int
     by = list(by)
     edges = exact_quantiles(df, by, value, [i / bins for i in range(bins + 1)])
     arr = F.array_sort(F.collect_set("quantile")).alias("_edges")
-    table = edges.groupBy(*by).agg(arr) if by else edges.agg(arr)
-    joined = df.join(table, by) if by else df.join(table.withColumn("_j", F.lit(1)), F.lit(1) == F.col("_j")).drop("_j")
+    joined = df.join(edges.groupBy(*by).agg(arr), by) if by else df.withColumn("_edges", edges.agg(arr).scalar())
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     return joined.withColumn(name, F.greatest(below - 1, F.lit(0))).drop("_edges")

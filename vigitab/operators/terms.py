@@ -103,10 +103,8 @@ def classify_legacy(legacy: DataFrame, mapped: DataFrame, preferred: DataFrame)
 def mapping_yield(mapped: DataFrame) -> DataFrame:
     """Terms and weighted rows per status and level, with percentages of all."""
     g = mapped.groupBy("status", "level").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("rows"))
-    tot = mapped.agg(F.count(F.lit(1)).alias("_t"), F.sum("n").alias("_r")).withColumn("_j", F.lit(0))
-    return g.withColumn("_j", F.lit(0)).join(tot, "_j").select(
-        "status", "level", "terms", "rows", N.pct("terms", "_t").alias("terms_pct"), N.pct("rows", "_r").alias("rows_pct")
-    )
+    terms, rows = mapped.agg(F.count(F.lit(1)).alias("t")).scalar(), mapped.agg(F.sum("n").alias("r")).scalar()
+    return g.select("status", "level", "terms", "rows", N.pct("terms", terms).alias("terms_pct"), N.pct("rows", rows).alias("rows_pct"))
 
 
 def mapping_failures(mapped: DataFrame) -> DataFrame:

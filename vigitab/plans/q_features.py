@@ -261,7 +261,7 @@ def _(t):
 
 # --- models (rows and invariants only) ----------------------------------------------
 
-NUM = [f"n{i}" for i in range(64)]
+NUM = [f"n{i}" for i in range(16)]  # each sums four neighbouring components
 
 
 def prep():
@@ -271,7 +271,7 @@ def prep():
 def frame(t):
     """Numeric columns, a rare-collapsed level and a grouped fold."""
     fo = R.grouped_folds(t.feat, "grp", "y", 5, 11).select("grp", F.col("fold").cast("int").alias("fold"))
-    f = t.feat.select("vec_id", "grp", "y", F.col("level").alias("event"), *[F.element_at("embedding", i + 1).cast("double").alias(n) for i, n in enumerate(NUM)])
+    f = t.feat.select("vec_id", "grp", "y", F.col("level").alias("event"), *[sum((F.element_at("embedding", 4 * i + j).cast("double") for j in (2, 3, 4)), F.element_at("embedding", 4 * i + 1).cast("double")).alias(n) for i, n in enumerate(NUM)])
     kept = FE.fit_rare(f.select("event", F.col("grp").alias("entity")), least=13)
     return A.keep(FE.apply_rare(f, kept).join(fo, "grp"))
 

@@ -141,10 +141,10 @@ def _(t):
 def _(t):
     cov = coverage(t)
     b = R.bootstrap_ratio(cov, "entity", "observed", "signals", REPS, SEED)
-    q = lambda m, p: F.expr(f"percentile({m}, {p})")
-    ci = b.agg(*[q(m, p).alias(f"{m}_{n}") for m in ("micro", "macro") for n, p in (("low", 0.025), ("high", 0.975))]).withColumn("_j", F.lit(0))
-    est = cov.agg(N.ratio(F.sum("observed"), F.sum("signals")).alias("micro"), F.avg("coverage").alias("macro")).withColumn("_j", F.lit(0))
-    return D.intervals_long(est.join(ci, "_j"), [], ["micro", "macro"])
+    b = A.keep(b)
+    limits = [b.agg(F.expr(f"percentile({m}, {p})").alias("v")).scalar().alias(f"{m}_{n}") for m in ("micro", "macro") for n, p in (("low", 0.025), ("high", 0.975))]
+    est = cov.agg(N.ratio(F.sum("observed"), F.sum("signals")).alias("micro"), F.avg("coverage").alias("macro"))
+    return D.intervals_long(est.select("micro", "macro", *limits), [], ["micro", "macro"])
 
 
 @query("replication_table", """WITH s AS (SELECT coverage_class, count(*) AS total, count(*) FILTER (WHERE criterion_ic) AS n FROM v_sigr GROUP BY 1) SELECT coverage_class, format('{}/{}', n, total) AS n_of_total, format('{} ({:.1f}%)', n, 100.0*n/total) AS n_pct FROM s""", "", "Q-21 F-18")

@@ -74,9 +74,9 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def verify_fingerprint(df: DataFrame, expected: DataFrame) -> DataFrame:
     """One row per expected fingerprint telling whether the table still matches it."""
-    e = expected.select(F.col("rows").alias("_r"), F.col("hash_xor").alias("_x"), F.col("hash_sum").alias("_s"), F.lit(1).alias("_j"))
-    same = F.col("rows").eqNullSafe(F.col("_r")) & F.col("hash_xor").eqNullSafe(F.col("_x")) & F.col("hash_sum").eqNullSafe(F.col("_s"))
-    return fingerprint(df).withColumn("_j", F.lit(1)).join(e, "_j").select("rows", same.alias("unchanged"))
+    both = fingerprint(df).withColumn("_now", F.lit(True)).unionByName(expected.select("rows", "hash_xor", "hash_sum").withColumn("_now", F.lit(False)))
+    same = F.countDistinct(F.struct("rows", "hash_xor", "hash_sum")) == 1
+    return both.agg(F.max(F.when(F.col("_now"), F.col("rows"))).alias("rows"), same.alias("unchanged"))
 
 
 def stack_tables(tables: dict[str, DataFrame], tag: str = "source_table") -> DataFrame:
