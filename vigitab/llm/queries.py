@@ -7,9 +7,12 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op5_langid
 from .mixing import OP9_SQL, op9_mixing
 from .pii import op2_pii
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import op6_quality_rules
 from .sharding import op7_sharding
 from .simhash import op1_simhash
+from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op4_bpe, op5_langid, op6_quality_rules, op7_sharding, op8_exact_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_pii, op3_toxicity, op4_bpe, op5_langid, op6_quality_rules, op7_sharding, op8_exact_dedup, op9_mixing, op10_quality_classifier)}
 ORACLES = {"op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
