@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     texts are one group; rows that repeat an id and its text are equal rows and get equal answers; an empty table gives an empty result
     and leaves the index as it is. Other columns are not read.
     """
-    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), text_digest(text).alias("digest")), "digests")
+    rows = stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(text).alias("digest")), "digests")
     batch = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     index.append(batch)
     groups = stored(batch.drop("keep_id").join(index.rows(), "digest"), "digest_groups")

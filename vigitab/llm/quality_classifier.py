@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str
     chosen = stored(known.orderBy(*order).limit(labelled), "quality_sample")
     ids = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id")).join(known.select("doc_id"), "doc_id", "left_anti").distinct()
     others = stored(ids.orderBy(*order).limit(pool).withColumn("label", F.lit(None).cast("int")), "quality_pool")
-    picked = docs.withColumnRenamed(doc_id, "doc_id").join(F.broadcast(chosen.unionByName(others)), "doc_id")  # bounded by the two parameters
+    picked = docs.select(F.col(doc_id).alias("doc_id"), "text", "lang", "source").join(F.broadcast(chosen.unionByName(others)), "doc_id")  # bounded by the two parameters
     marks = picked.select("doc_id", "label").distinct()
     rows = features(picked).dropDuplicates(["doc_id"]).join(marks, "doc_id").orderBy("doc_id").collect()
     y = np.array([r["label"] for r in rows if r["label"] is not None], dtype=float)
