@@ -8,7 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigitab.functions import text as X
+from vigitab.operators import aggregates as A
+from vigitab.operators import attribution as AT
 from vigitab.operators import evaluate as E
+from vigitab.operators import evidence as EV
+from vigitab.operators import features as FE
 from vigitab.operators import identity as I
 from vigitab.operators import joins as J
 from vigitab.operators import prefix as P
@@ -169,3 +173,88 @@ def test_bins_with_duplicate_edges(spark):
     out = P.equal_frequency_bins(df, [], "v", 5).groupBy("v").agg(F.max("bin").alias("b")).collect()
     got = {r["v"]: r["b"] for r in out}
     assert got[0.0] == 0 and got[2.0] == max(got.values())
+
+
+def test_null_groups_stay(spark):
+    df = spark.createDataFrame([(None, 1.0, 1, 0.2), (None, 3.0, 0, 0.1), ("a", 2.0, 1, 0.7), ("a", 4.0, 0, 0.4)], "g string, v double, y int, p double")
+    assert {(r["g"], r["quantile"]) for r in P.exact_quantiles(df, ["g"], "v", [0.5]).collect()} == {(None, 2.0), ("a", 3.0)}
+    assert sorted(r["share"] for r in A.share_of_total(df, ["g"], "v").collect()) == pytest.approx([0.25, 1 / 3, 2 / 3, 0.75])
+    assert {r["g"] for r in E.metrics_by(df, ["g"], "y", "p").collect()} == {None, "a"}
+    assert {r["g"] for r in A.concentration(df, ["g"], "v", [1]).collect()} == {None, "a"}
+    assert {r["g"] for r in A.limited_list(df.withColumn("t", F.col("v").cast("string")), ["g"], "t", "names", 1).collect()} == {None, "a"}
+    assert {r["g"] for r in E.calibration(df, ["g"], "y", "p").collect()} == {None, "a"}
+
+
+def test_checked_join_keeps_null_keys(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("a", 9)], "k string, w int")
+    assert sorted((r["v"], r["w"]) for r in J.join_checked(left, right, ["k"]).collect()) == [(1, 9), (2, None), (3, None)]
+
+
+def test_cohort_keeps_identities_without_trade_name(spark):
+    rows = spark.createDataFrame(
+        [(1, "One", "T", "2001-01-02", "", "A1"), (2, "Two", " ", "2002-01-02", "", "A2"), (3, "Three", None, "2003-01-02", "", "A3")],
+        "source_row long, active string, trade string, approval_text string, notes string, application string")
+    assert {(r["entity"], r["trades"]) for r in I.regulatory_cohort(rows, "2010-01-01").collect()} == {("One", "T"), ("Two", ""), ("Three", "")}
+
+
+def test_identity_folding(spark):
+    names = spark.createDataFrame([("STRASSE",), ("Straße",), ("\uff21\uff22\uff23",), ("abc ",)], "active string")
+    assert {r["k"] for r in names.select(X.identity_key("active").alias("k")).collect()} == {"strasse", "abc"}
+
+
+def _arms(spark):
+    rows = spark.createDataFrame([(1, 10, 1, "E", "x", 1.0, 5.0)], "nct_id long, rgid long, row_no int, entity string, event string, affected double, at_risk double")
+    groups = spark.createDataFrame([(1, 10, "Drug A-placebo")], "nct_id long, rgid long, title string")
+    return rows, groups
+
+
+def test_placebo_words_are_those_of_the_design_arm(spark):
+    rows, groups = _arms(spark)
+    arms = spark.createDataFrame([(1, 7, "Drug A placebo", "OTHER")], "nct_id long, dgid long, title string, group_type string")
+    matched = EV.attribute_arms(rows, groups, arms).withColumn("intervention_name", F.lit("E"))
+    assert matched.first()["arm_title"] == "Drug A placebo"  # event rows need no title of their own
+    assert EV.treatment_arms(matched).count() == 0
+
+
+def test_equal_event_rows_are_two_rows(spark):
+    cols = "entity string, event string, nct_id long, row_no int, rgid long, dgid long, event_type string, threshold double, affected double, at_risk double, phase string, allocation string, masking string"
+    row = ("E", "x", 1, 1, 10, 7, "other", 5.0, 1.0, 4.0, "PHASE1", "RANDOMIZED", "NONE")
+    rows = spark.createDataFrame([row, (*row[:3], 2, *row[4:])], cols)
+    got = FE.pair_features(rows, spark.createDataFrame([("E", 1)], "entity string, programme_trials long")).first()
+    assert (got["row_variability_available"], got["proportion_iqr"], got["reporting_arms"]) == (1, 0.0, 1)
+
+
+def test_clock_definitions_are_independent(spark):
+    rows = spark.createDataFrame([
+        ("PHASE2", "ESTIMATED", D(2000, 1, 1), D(2000, 1, 1), D(2009, 1, 1)), ("PHASE4", "ACTUAL", D(2000, 1, 1), D(2000, 1, 1), D(2000, 1, 1)),
+        (None, "ACTUAL", D(2009, 1, 1), D(2009, 1, 1), D(2000, 1, 1))],
+        "phase string, completion_type string, completion_date date, results_posted_date date, primary_completion_date date").withColumn("anchor", F.lit("2005-01-01").cast("date"))
+    assert sorted(r["definition"] for r in EV.clock_definitions(rows).collect()) == ["RESULTS_POSTED", "WIDE_COMPLETION"]
+
+
+def test_leaf_shares_are_shapley_values():
+    from itertools import permutations
+
+    path = [(0, 0.5, True, 0.4), (1, 0.5, False, 0.7), (2, 0.5, True, 0.2), (0, 0.2, True, 0.5)]
+    x = np.array([[0.1, 0.9, 0.1], [0.4, 0.9, 0.9], [0.9, 0.1, 0.3]])
+    phi = np.zeros((3, 4))
+    AT._leaf_shares(x, 2.0, path, phi)
+    follows = {0: (x[:, 0] <= 0.2), 1: (x[:, 1] > 0.5), 2: (x[:, 2] <= 0.5)}
+    cover = {0: 0.2, 1: 0.7, 2: 0.2}
+    want = np.zeros((3, 4))
+    for order in permutations(cover):
+        known = dict(cover)
+        for f in order:
+            before = np.prod([known[g] * np.ones(3) for g in cover], axis=0)
+            known[f] = follows[f]
+            want[:, f] += 2.0 * (np.prod([known[g] * np.ones(3) for g in cover], axis=0) - before) / 6
+    assert np.allclose(phi, want)
+
+
+def test_code_without_a_unique_branch_is_not_mapped(spark):
+    terms = spark.createDataFrame([("a", 1), ("b", 1)], "term string, n long")
+    index = T.build_term_index(*(spark.createDataFrame(r, s) for r, s in (([("a", 1), ("b", 2)], "term string, code long"), ([], "term string, parent long"), ([], "term string, code long"))))
+    branches = spark.createDataFrame([(1, "m", "t", "Y"), (2, "m", "t", "Y"), (2, "m", "u", "Y")], "code long, middle string, top string, primary_flag string")
+    got = {r["term"]: (r["status"], r["code"]) for r in T.map_terms_cascade(terms, index, T.primary_hierarchy(branches)).collect()}
+    assert got == {"a": ("MAPPED", 1), "b": ("UNRESOLVED_HIERARCHY", None)}

@@ -89,6 +89,7 @@ IC_SHRINK = 0.5
 IC_LOW_1 = 3.3
 IC_LOW_2 = 2.0
 PRED_CLIP = 1e-6
+DOUBLE_EPS = 2.220446049250313e-16
 RARE_MIN_ENTITIES = 5
 RARE_LEVEL = "PT_RARE"
 VOLUME_MINIMA = [0, 50, 100, 200, 500]

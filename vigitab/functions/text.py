@@ -176,7 +176,8 @@ clean_text = squeeze
 
 
 def identity_key(c) -> Column:
-    return F.lower(squeeze(c))
+    """Name with compatibility forms, case and blanks folded."""
+    return norm_l1(_c(c))
 
 
 def fold_key(c) -> Column:

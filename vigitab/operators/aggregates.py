@@ -9,15 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import pct
+from .keys import join_same
 from .storage import keep  # noqa: F401 (re-exported)
 
 
-def audit_counts(df: DataFrame, specs: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    """Count of rows where each named condition holds."""
-    aggs = [F.count(F.when(cond, 1)).alias(name) for name, cond in specs.items()]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-
-
 def distinct_count(*cols: str) -> Column:
     """Distinct composite keys; null parts stay countable inside a struct."""
     return F.countDistinct(F.struct(*cols)) if len(cols) > 1 else F.countDistinct(cols[0])
@@ -27,10 +22,6 @@ def multi_key(df: DataFrame, key: Sequence[str], distinct: str, least: int = 2)
     return df.groupBy(*key).agg(F.countDistinct(distinct).alias("n")).where(F.col("n") >= least)
 
 
-def dedup(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
-
-
 def carry(df: DataFrame, key: Sequence[str], attrs: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(*[F.min(a).alias(a) for a in attrs])
 
@@ -46,20 +37,23 @@ def unique_in_order(df: DataFrame, key: Sequence[str], order: Sequence[str], val
     return seen.groupBy(*key).agg(F.array_join(F.transform(items, lambda x: x["_v"]), sep).alias(name))
 
 
-def limited_list(df: DataFrame, key: Sequence[str], value: str, name: str, limit: int = 80, sep: str = " | ") -> DataFrame:
-    """Distinct values, shortest first; beyond ``limit`` only their number is written out.
+def limited_list(df: DataFrame, key: Sequence[str], value: str, name: str, limit: int | None = 80, sep: str = " | ") -> DataFrame:
+    """Distinct values, shortest first; beyond ``limit`` only their number is written out. Without a limit all are.
 
     The rank filter runs before the lists form, so a list never outgrows ``limit``.
     """
     one = df.where(F.trim(value) != "").select(*key, F.trim(value).alias("_v")).distinct()
-    w = Window.partitionBy(*key).orderBy(F.length("_v"), F.lower("_v"), "_v")
-    head = one.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
-    lists = head.groupBy(*key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_v"))), lambda x: x["_v"]), sep).alias("_h")
-    )
+    shown = one
+    if limit is not None:
+        w = Window.partitionBy(*key).orderBy(F.length("_v"), F.lower("_v"), "_v")
+        shown = one.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
+    item = F.struct(F.length("_v"), F.lower("_v"), "_v")
+    lists = shown.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_v"]), sep).alias("_h"))
+    if limit is None:
+        return lists.select(*key, F.col("_h").alias(name))
     more = F.col("_n") - limit
     text = F.when(more > 0, F.concat("_h", F.lit(sep + "... ["), more.cast("string"), F.lit(" additional]"))).otherwise(F.col("_h"))
-    return one.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).join(lists, list(key)).select(*key, text.alias(name))
+    return join_same(one.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), lists, list(key)).select(*key, text.alias(name))
 
 
 def support_profile(df: DataFrame, key: Sequence[str], trial: str, day: str, good: Column) -> DataFrame:
@@ -110,7 +104,7 @@ def concentration(df: DataFrame, by: Sequence[str], value: str, ks: Sequence[int
     top = keyed.select(*kk, value).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max(ks))
     tops = top.groupBy(*kk).agg(*[F.sum(F.when(F.col("_rn") <= k, F.col(value))).alias(f"_t{k}") for k in ks])
     total = keyed.groupBy(*kk).agg(F.sum(value).alias("_total"))
-    return total.join(tops, kk).select(*by, *[pct(f"_t{k}", "_total").alias(f"top{k}_pct") for k in ks])
+    return join_same(total, tops, kk).select(*by, *[pct(f"_t{k}", "_total").alias(f"top{k}_pct") for k in ks])
 
 
 def stratified_counts(df: DataFrame, dims: Sequence[str], measures: dict[str, Column] | None = None) -> DataFrame:
@@ -157,7 +151,7 @@ def share_of_total(df: DataFrame, by: Sequence[str], value: str, name: str = "sh
     keyed = df if by else df.withColumn("_g", F.lit(0))
     kk = by or ["_g"]
     totals = keyed.groupBy(*kk).agg(F.sum(value).alias("_t"))
-    out = keyed.join(totals, kk).withColumn(name, F.try_divide(F.col(value), F.col("_t"))).drop("_t")
+    out = join_same(keyed, totals, kk).withColumn(name, F.try_divide(F.col(value), F.col("_t"))).drop("_t")
     return out if by else out.drop("_g")
 
 
@@ -173,10 +167,6 @@ def stratified_head(df: DataFrame, stratum: str, order: Sequence[Column], n: int
     return one.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
-def top_n(df: DataFrame, by: Sequence[Column], n: int) -> DataFrame:
-    return df.orderBy(*by).limit(n)
-
-
 def top_then_sort(df: DataFrame, by: Sequence[Column], n: int, then: Sequence[Column]) -> DataFrame:
     return df.orderBy(*by).limit(n).orderBy(*then)
 

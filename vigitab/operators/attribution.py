@@ -160,7 +160,8 @@ def additivity(contrib: DataFrame, margin: DataFrame, row: Sequence[str], base:
 def linear_contributions(model, df: DataFrame, row: str, features: str = "features") -> DataFrame:
     """Coefficient × encoded value per column of a linear model, long form."""
     coefs = [float(x) for x in model.coefficients.toArray()]  # one number per encoded column
-    values = df.select(row, F.posexplode(vector_to_array(features)).alias("column_index", "value"))
+    cells = F.transform(vector_to_array(features), lambda v, i: F.struct(i.alias("column_index"), v.alias("value")))
+    values = df.select(row, F.explode(F.filter(cells, lambda c: c["value"] != 0)).alias("c")).select(row, "c.*")
     table = df.sparkSession.createDataFrame(list(enumerate(coefs)), "column_index int, coefficient double")
     return values.join(table, "column_index").withColumn("contribution", F.col("value") * F.col("coefficient"))
 
@@ -200,19 +201,17 @@ def _leaf_shares(x: np.ndarray, value: float, path: list, phi: np.ndarray) -> fl
         ok = (x[:, f] <= t) if left else (x[:, f] > t)
         ind[f] = ind[f] & ok if f in ind else ok
         ratio[f] = ratio.get(f, 1.0) * r
-    used = list(ratio)
-    m = len(used)
-    for f in used:
-        rest = [g for g in used if g != f]
-        total = np.zeros(len(x))
-        for size in range(m):
-            weight = factorial(size) * factorial(m - size - 1) / factorial(m)
-            for s in combinations(rest, size):
-                term = np.full(len(x), weight)
-                for g in rest:
-                    term = term * (ind[g] if g in s else ratio[g])
-                total += term
-        phi[:, f] += value * total * (ind[f] - ratio[f])
+    m = len(ratio)
+    shares = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
+    for f in ratio:
+        # coefficient k: sum over sets of k other features that follow the path, the rest by cover
+        sets = np.zeros((m, len(x)))
+        sets[0] = 1.0
+        for g in ratio:
+            if g != f:
+                sets[1:] = ratio[g] * sets[1:] + ind[g] * sets[:-1]
+                sets[0] *= ratio[g]
+        phi[:, f] += value * (shares @ sets) * (ind[f] - ratio[f])
     return value * float(np.prod(list(ratio.values()))) if ratio else value
 
 
@@ -229,11 +228,10 @@ def tree_contributions(model, df: DataFrame, row: str, features: str = "features
             x = np.asarray(pdf["x"].tolist(), dtype=float).reshape(len(pdf), width)
             phi, base = np.zeros_like(x), 0.0
             for weight, leaves in trees:
-                part = np.zeros_like(x)
-                base += weight * sum(_leaf_shares(x, v, p, part) for v, p in leaves)
-                phi += weight * part
+                base += sum(_leaf_shares(x, weight * v, p, phi) for v, p in leaves)
             yield pd.DataFrame({row: pdf[row], "base": base, "phi": list(phi)})
 
     kind = df.schema[row].dataType.simpleString()
     out = df.select(row, vector_to_array(features).alias("x")).mapInPandas(run, f"{row} {kind}, base double, phi array<double>")
-    return out.select(row, "base", F.posexplode("phi").alias("column_index", "contribution"))
+    cells = F.filter(F.transform("phi", lambda v, i: F.struct(i.alias("column_index"), v.alias("contribution"))), lambda c: c["contribution"] != 0)
+    return out.select(row, "base", F.explode(cells).alias("c")).select(row, "base", "c.*")

@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions import numeric as N
-from .storage import keep
 from .joins import join_checked
-from .prefix import equal_frequency_bins
+from .keys import join_same
+from .prefix import equal_frequency_bins, quantile_columns
 from .resample import ranking_from_ties
+from .storage import keep
 
 
 def stack_scores(df: DataFrame, ids: Sequence[str], scores: Sequence[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def ranking(df: DataFrame, by: Sequence[str], y: str, p: str, w: str | None = No
 
 
 def losses(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
-    pc = N.clip(p, fixed.PRED_CLIP, 1 - fixed.PRED_CLIP)
+    pc = N.clip(p, fixed.DOUBLE_EPS, 1 - fixed.DOUBLE_EPS)  # only keeps the logarithm finite; the wider clip belongs to the bootstrap
     yy = F.col(y)
     aggs = [
         F.count(F.lit(1)).alias("rows"), F.sum(yy.cast("long")).alias("positives"), F.avg(yy.cast("double")).alias("prevalence"),
@@ -52,68 +52,58 @@ def losses(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
 
 def metrics_by(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
     """Ranking and loss metrics with lift over prevalence for every group."""
-    out = losses(df, by, y, p).join(ranking(df, by, y, p), list(by))
+    out = join_same(losses(df, by, y, p), ranking(df, by, y, p), by)
     return out.withColumn("ap_lift", F.try_divide(F.col("average_precision"), F.col("prevalence")))
 
 
-def calibration(df: DataFrame, by: Sequence[str], y: str, p: str, w: str | None = None, steps: int = 25, tol: float = 1e-10) -> DataFrame:
+def calibration(df: DataFrame, by: Sequence[str], y: str, p: str, w: str | None = None, steps: int = 100, tol: float = 1e-10) -> DataFrame:
     """Calibration intercept (offset logit) and slope by Newton steps for all groups at once.
 
-    Rows are summed per distinct score first. Each step is one aggregation; only
-    the few parameters of every group travel to the driver and back.
+    Rows are summed per distinct score first. The parameters are a table with a row per group: each step joins it to the sums, moves every
+    group that has not settled, and writes the table; the driver only learns how many groups are left.
     """
     by = list(by)
-    spark = df.sparkSession
     keyed = tie_groups(df, by, y, p, w).withColumn("_x", N.logit("p"))
     if not by:
         keyed, by = keyed.withColumn("_g", F.lit(0)), ["_g"]
-    data = keep(keyed.select(*by, "_x", (F.col("pos") + F.col("neg")).alias("_w"), F.col("pos").alias("_y")))
-    groups = [tuple(r) for r in data.select(*by).distinct().collect()]
-    state = {g: {"a": 0.0, "c": 0.0, "b": 1.0, "ok_a": False, "ok_s": False} for g in groups}
-    schema = T.StructType([data.schema[c] for c in by] + [T.StructField(c, T.DoubleType()) for c in ("_a", "_c", "_b")])
+    data = keep(keyed.select(*by, "_x", (F.col("pos") + F.col("neg")).alias("_w"), F.col("pos").alias("_y")), "calibration_sums")
+    zero = F.lit(0.0)
+    state = data.select(*by).distinct().select(*by, zero.alias("_a"), zero.alias("_c"), F.lit(1.0).alias("_b"), F.lit(False).alias("_done_a"), F.lit(False).alias("_done_s"))
+    state = keep(state, "calibration")
+    x, weight = F.col("_x"), F.col("_w")
+    fit_a, fit_s = N.expit(F.col("_a") + x), N.expit(F.col("_c") + F.col("_b") * x)
+    miss, curve = F.col("_y") - weight * fit_s, weight * fit_s * (1 - fit_s)
+    params = ["_a", "_c", "_b", "_done_a", "_done_s"]
+    open_ = ~(F.col("_done_a") & F.col("_done_s"))
     for _ in range(steps):
-        live = [g for g, s in state.items() if not (s["ok_a"] and s["ok_s"])]
-        if not live:
+        sums = join_same(data, state.where(open_), by).groupBy(*by, *params).agg(
+            F.try_divide(F.sum(F.col("_y") - weight * fit_a), F.sum(weight * fit_a * (1 - fit_a))).alias("_da"),
+            F.sum(weight * fit_a * (1 - fit_a)).alias("_va"),
+            *(F.sum(v).alias(n) for n, v in (("_g0", miss), ("_g1", miss * x), ("_h00", curve), ("_h01", curve * x), ("_h11", curve * x * x))))
+        det = F.col("_h00") * F.col("_h11") - F.pow("_h01", F.lit(2))
+        # Newton direction of (c, b): the inverse of the 2 x 2 curvature times the gradient
+        dc = (F.col("_h11") * F.col("_g0") - F.col("_h01") * F.col("_g1")) / det
+        db = (F.col("_h00") * F.col("_g1") - F.col("_h01") * F.col("_g0")) / det
+        go_a, go_s = ~F.col("_done_a") & (F.col("_va") > 1e-12), ~F.col("_done_s") & (det > 1e-12)
+        moved = sums.select(
+            *by, (F.col("_a") + F.when(go_a, F.col("_da")).otherwise(zero)).alias("_a"), (F.col("_c") + F.when(go_s, dc).otherwise(zero)).alias("_c"),
+            (F.col("_b") + F.when(go_s, db).otherwise(zero)).alias("_b"), (F.col("_done_a") | (go_a & (F.abs("_da") < tol))).alias("_done_a"),
+            (F.col("_done_s") | (go_s & (F.greatest(F.abs(dc), F.abs(db)) < tol))).alias("_done_s"), (go_a | go_s).alias("_moved"))
+        nxt = keep(state.where(~open_).withColumn("_moved", F.lit(False)).unionByName(moved), "calibration")
+        state = nxt.drop("_moved")
+        if nxt.where(F.col("_moved") & open_).isEmpty():
             break
-        par = spark.createDataFrame([(*g, state[g]["a"], state[g]["c"], state[g]["b"]) for g in live], schema)
-        m1 = N.expit(F.col("_a") + F.col("_x"))
-        m2 = N.expit(F.col("_c") + F.col("_b") * F.col("_x"))
-        v2 = F.col("_w") * m2 * (1 - m2)
-        r2 = F.col("_y") - F.col("_w") * m2
-        sums = data.join(par, by).groupBy(*by).agg(
-            F.sum(F.col("_y") - F.col("_w") * m1).alias("s"), F.sum(F.col("_w") * m1 * (1 - m1)).alias("i"),
-            F.sum(r2).alias("s0"), F.sum(r2 * F.col("_x")).alias("s1"), F.sum(v2).alias("i00"),
-            F.sum(v2 * F.col("_x")).alias("i01"), F.sum(v2 * F.col("_x") * F.col("_x")).alias("i11"),
-        ).collect()
-        for r in sums:
-            g = tuple(r[c] for c in by)
-            s = state[g]
-            if not s["ok_a"] and r["i"] > 1e-12:
-                d = r["s"] / r["i"]
-                s["a"] += d
-                s["ok_a"] = abs(d) < tol
-            det = r["i00"] * r["i11"] - r["i01"] ** 2
-            if not s["ok_s"] and det > 1e-12:
-                dc = (r["s0"] * r["i11"] - r["s1"] * r["i01"]) / det
-                db = (r["s1"] * r["i00"] - r["s0"] * r["i01"]) / det
-                s["c"] += dc
-                s["b"] += db
-                s["ok_s"] = max(abs(dc), abs(db)) < tol
-    out = T.StructType(
-        [data.schema[c] for c in by]
-        + [T.StructField(c, T.DoubleType()) for c in ("calibration_intercept", "calibration_slope")]
-        + [T.StructField(c, T.BooleanType()) for c in ("intercept_ok", "slope_ok")]
-    )
-    rows = [(*g, s["a"], s["b"], s["ok_a"], s["ok_s"]) for g, s in state.items()]
-    return spark.createDataFrame(rows, out).drop("_g")
+    return state.select(
+        *by, F.col("_a").alias("calibration_intercept"), F.col("_b").alias("calibration_slope"), F.col("_done_a").alias("intercept_ok"), F.col("_done_s").alias("slope_ok")).drop("_g")
 
 
 def calibration_bins(df: DataFrame, by: Sequence[str], y: str, p: str, bins: int = 10) -> DataFrame:
     placed = equal_frequency_bins(df, by, p, bins)
-    return placed.groupBy(*by, "bin").agg(
+    sums = placed.groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("positives"), F.avg(F.col(y).cast("double")).alias("observed_rate"),
-        F.avg(p).alias("mean_p"), F.expr(f"percentile({p}, 0.5)").alias("median_p"), F.min(p).alias("min_p"), F.max(p).alias("max_p"),
+        F.avg(p).alias("mean_p"), F.min(p).alias("min_p"), F.max(p).alias("max_p"),
     )
+    return join_same(sums, quantile_columns(placed, [*by, "bin"], p, {"median_p": 0.5}), [*by, "bin"])
 
 
 def paired_increment(boot: DataFrame, rep: str, family: Sequence[str], arm: str, base: str, new: str, measures: Sequence[str], lower_better: Sequence[str] = ("brier", "log_loss")) -> DataFrame:

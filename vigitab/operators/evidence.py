@@ -12,6 +12,7 @@ from ..functions import numeric as N
 from ..functions import text as X
 from .aggregates import known_rate, mix, support_profile
 from .joins import unique_text_match
+from .storage import keep
 
 DRUG_TYPES = ("DRUG", "BIOLOGICAL")
 
@@ -33,6 +34,12 @@ def eligible_trials(trials: DataFrame, interventions: DataFrame, ae_rows: DataFr
     return trials.join(drugs, "nct_id", "left_semi").join(ae_rows.select("nct_id").distinct(), "nct_id", "left_semi")
 
 
+def drug_trials(trials: DataFrame, interventions: DataFrame) -> DataFrame:
+    """Interventional trials with a drug or biologic."""
+    drugs = interventions.where(F.col("intervention_type").isin(*DRUG_TYPES)).select("nct_id").distinct()
+    return trials.where("study_type = 'INTERVENTIONAL'").join(drugs, "nct_id", "left_semi")
+
+
 def entity_trials(links: DataFrame, cohort: DataFrame) -> DataFrame:
     """Distinct entity × trial links, so that event rows are never multiplied."""
     return links.select("entity", "nct_id").distinct().join(cohort, "entity")
@@ -47,12 +54,10 @@ def evidence_rows(ae_rows: DataFrame, trials: DataFrame, anchors: DataFrame) ->
 
 
 def attribute_arms(rows: DataFrame, result_groups: DataFrame, design_groups: DataFrame) -> DataFrame:
-    """Rows whose result group matches exactly one design arm by title."""
-    matched = unique_text_match(
-        result_groups, design_groups.withColumnRenamed("title", "title"), "nct_id", "rgid", "dgid", "title", ["group_type"]
-    ).where("matches = 1")
-    keyed = rows.withColumn("title_norm", X.title_key("title"))
-    return keyed.join(matched.drop("matches"), ["nct_id", "rgid", "title_norm"]).drop("title_norm")
+    """Rows whose result group matches exactly one design arm by title; the arm's own title comes along as ``arm_title``."""
+    arms = design_groups.withColumn("arm_title", F.col("title"))
+    matched = unique_text_match(result_groups, arms, "nct_id", "rgid", "dgid", "title", ["group_type", "arm_title"]).where("matches = 1")
+    return rows.join(matched.drop("matches", "title_norm"), ["nct_id", "rgid"])
 
 
 def arm_composition(design_groups: DataFrame, bridge: DataFrame, interventions: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def target_monotherapy(rows: DataFrame, composition: DataFrame, bridge: DataFram
     return rows.join(single, "dgid", "left_semi").join(target, ["dgid", "entity"])
 
 
-def treatment_arms(rows: DataFrame, title: str = "title") -> DataFrame:
+def treatment_arms(rows: DataFrame, title: str = "arm_title") -> DataFrame:
     return rows.where(
         F.col("group_type").isin("EXPERIMENTAL", "OTHER") & ~X.combination_flag("intervention_name")
         & ~X.has_token("intervention_name", fixed.PLACEBO_INTERVENTION) & ~X.has_token(title, fixed.PLACEBO_TITLE)
@@ -109,41 +114,57 @@ def pair_registry(rows: DataFrame) -> DataFrame:
 
 
 def clock_definitions(rows: DataFrame, anchor: str = "anchor") -> DataFrame:
-    """One row per (definition, entity): links kept by three clock predicates over one base."""
-    actual = F.col("completion_type") == "ACTUAL"
-    on_time = F.col("completion_date") <= F.col(anchor)
-    posted = F.date_add("completion_date", 180) <= F.col(anchor)
-    strict = actual & on_time & (F.coalesce("phase", F.lit("")) != "PHASE4")
-    defs = F.array_compact(F.array(
-        F.when(strict, F.lit("STRICT_COMPLETION")), F.when(strict & posted, F.lit("RESULTS_POSTED")),
-        F.when(on_time, F.lit("WIDE_COMPLETION")),
-    ))
-    return rows.withColumn("definition", F.explode(defs))
-
-
-def definition_summary(defined: DataFrame, signals: DataFrame) -> DataFrame:
-    """Entities, trials, arms and pairs per definition, and the signals they represent."""
-    counts = defined.groupBy("definition").agg(
-        F.countDistinct("entity").alias("entities"), F.countDistinct("nct_id").alias("trials"),
-        F.countDistinct("rgid").alias("arms"), F.countDistinct(F.struct("entity", "event")).alias("pairs"),
-    )
-    seen = defined.select("definition", "entity", "event").distinct().join(
-        signals.select("entity", "event").distinct(), ["entity", "event"], "left_semi"
-    )
-    return counts.join(seen.groupBy("definition").agg(F.count(F.lit(1)).alias("signals_represented")), "definition", "left")
+    """Every row once per definition it meets: three dates of their own over one base without phase 4."""
+    by_then = {
+        "STRICT_COMPLETION": (F.col("completion_type") == "ACTUAL") & (F.col("completion_date") <= F.col(anchor)),
+        "RESULTS_POSTED": F.col("results_posted_date") <= F.col(anchor),
+        "WIDE_COMPLETION": F.col("primary_completion_date") <= F.col(anchor),
+    }
+    base = rows.where(F.coalesce("phase", F.lit("")) != "PHASE4")
+    return base.withColumn("definition", F.explode(F.array_compact(F.array(*(F.when(met, F.lit(name)) for name, met in by_then.items())))))
+
+
+def definition_summary(defined: DataFrame, signals: DataFrame, volume: DataFrame, reference: str = "STRICT_COMPLETION") -> DataFrame:
+    """Size of each definition, of its part over the entities of ``volume``, overlap with the reference, and signals represented.
+
+    Signals count for the entities that have the definition and the volume; a signal is represented if its pair is among the definition's.
+    """
+    def sizes(df: DataFrame, prefix: str) -> DataFrame:
+        links = df.groupBy("definition", "entity", "nct_id", "rgid", "event").count()  # distinct keys once, before four distinct counts
+        return links.groupBy("definition").agg(
+            F.countDistinct("entity").alias(f"{prefix}entities"), F.countDistinct("nct_id").alias(f"{prefix}trials"),
+            F.countDistinct("rgid").alias(f"{prefix}arms"), F.countDistinct(F.struct("entity", "event")).alias(f"{prefix}pairs"))
+
+    some = volume.select("entity").distinct()
+    pairs = keep(defined.select("definition", "entity", "event").distinct(), "definition_pairs")
+    shared = pairs.join(pairs.where(F.col("definition") == reference).drop("definition"), ["entity", "event"], "left_semi")
+    seen = represented(pairs, signals, some).groupBy("definition").agg(
+        F.count(F.lit(1)).alias("signals"), F.sum("represented").alias("signals_represented"))
+    out = sizes(defined, "").join(sizes(defined.join(some, "entity", "left_semi"), "volume_"), "definition", "left")
+    out = out.join(shared.groupBy("definition").agg(F.count(F.lit(1)).alias("shared_pairs")), "definition", "left").join(seen, "definition", "left")
+    return out.withColumn("shared_pct", N.pct("shared_pairs", "pairs")).withColumn("coverage_pct", N.pct("signals_represented", "signals"))
+
+
+def represented(pairs: DataFrame, signals: DataFrame, volume: DataFrame) -> DataFrame:
+    """Signals of each definition's entities with volume, and 1 if the definition has the pair, else 0."""
+    entities = pairs.select("definition", "entity").distinct().join(volume, "entity", "left_semi")
+    hit = pairs.withColumn("_hit", F.lit(1))
+    found = signals.select("entity", "event").distinct().join(entities, "entity").join(hit, ["definition", "entity", "event"], "left")
+    return found.select("definition", "entity", "event", F.coalesce("_hit", F.lit(0)).alias("represented"))
 
 
 def added_links(wide: DataFrame, narrow: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wide.select(*keys).subtract(narrow.select(*keys))
 
 
-def added_link_reasons(added: DataFrame, trials: DataFrame, anchors: DataFrame) -> DataFrame:
-    j = added.join(trials, "nct_id").join(anchors, "entity")
-    reason = (
-        F.when(F.coalesce("completion_type", F.lit("")) != "ACTUAL", "NOT_ACTUAL")
-        .when(F.col("phase") == "PHASE4", "PHASE4").otherwise("OTHER")
-    )
-    return j.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("links"), F.countDistinct("nct_id").alias("trials"))
+def added_link_reasons(added: DataFrame, anchor: str = "anchor") -> DataFrame:
+    """One row: added links and trials, and the links by what the final completion date says."""
+    done, kind, day = F.col("completion_date"), F.coalesce("completion_type", F.lit("")), F.col(anchor)
+    reasons = {
+        "actual_by_anchor": (kind == "ACTUAL") & (done <= day), "after_anchor": done > day,
+        "not_actual_by_anchor": (kind != "ACTUAL") & (done <= day), "missing_completion": done.isNull(),
+    }
+    return added.agg(F.count(F.lit(1)).alias("links"), F.countDistinct("nct_id").alias("trials"), *(F.count(F.when(c, 1)).alias(n) for n, c in reasons.items()))
 
 
 def trial_attributes(trials: DataFrame, ae_rows: DataFrame, matches: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -253,10 +274,3 @@ def threshold_trials(rows: DataFrame) -> DataFrame:
     per_trial = rows.groupBy("nct_id").agg(F.countDistinct(cls).alias("_k"), F.min(cls).alias("_one"))
     cat = F.when(F.col("_k") == 0, "MISSING").when(F.col("_k") == 1, F.col("_one")).otherwise("MIXED_THRESHOLDS")
     return per_trial.groupBy(cat.alias("category")).agg(F.count(F.lit(1)).alias("trials"))
-
-
-def stage_flags(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
-    out = df
-    for name, c in flags.items():
-        out = out.withColumn(name, c)
-    return out

@@ -11,11 +11,12 @@ from ..functions import fixed
 from ..functions import text as X
 from .aggregates import distinct_list, limited_list, unique_in_order
 from .joins import unpivot_names
+from .keys import join_same
 
 
 def regulatory_cohort(rows: DataFrame, cutoff: str, years: int = 3) -> DataFrame:
     """One row per identity: first dated record, flags over all records, exclusion."""
-    r = rows.withColumn("active", X.clean_text("active")).withColumn("identity", F.lower("active")).withColumn(
+    r = rows.withColumn("active", X.clean_text("active")).withColumn("identity", X.identity_key("active")).withColumn(
         "approval_date", X.parse_mixed_date("approval_text")
     )
     first = F.struct("approval_date", "source_row")
@@ -26,7 +27,8 @@ def regulatory_cohort(rows: DataFrame, cutoff: str, years: int = 3) -> DataFrame
         F.bool_or(X.multi_active("active")).alias("multi_active"),
         F.bool_or(X.word_flag("notes", fixed.ADMIN_NOTES, whole=False)).alias("administrative"),
     )
-    g = g.join(unique_in_order(r, ["identity"], ["approval_date", "source_row"], "trade", "trades"), "identity")
+    trades = unique_in_order(r, ["identity"], ["approval_date", "source_row"], "trade", "trades")
+    g = join_same(g, trades, ["identity"], "left").withColumn("trades", F.coalesce("trades", F.lit("")))
     done = X.followup_complete("first_approval", years, F.lit(cutoff).cast("date"))
     return g.withColumn("approval_year", F.year("first_approval")).withColumn("followup_complete", done).withColumn(
         "salt_review", X.word_flag("entity", fixed.SALT_REVIEW_WORDS)
@@ -146,7 +148,7 @@ def source_summary(name_map: DataFrame, weights: DataFrame, tag: str) -> DataFra
         F.min_by("raw", F.struct(-F.col("weight"), F.col("raw"))).alias(f"{tag}_name"), distinct_list("method").alias(f"{tag}_methods"),
         F.when(F.bool_and(F.col("confidence") == "HIGH"), "HIGH").otherwise("MEDIUM").alias(f"{tag}_confidence"),
     )
-    return main.join(limited_list(m, ["entity"], "raw", f"{tag}_synonyms"), "entity")
+    return main.join(limited_list(m, ["entity"], "raw", f"{tag}_synonyms", None), "entity")
 
 
 def identity_master(cohort: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:

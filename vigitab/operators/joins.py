@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import add_years, title_key
-
-
-def join_on(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(other, list(keys), "inner")
-
-
-def map_terms(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
-    """Dictionary lookup; the planner broadcasts the dictionary when its size allows."""
-    return df.join(mapping, column, "inner")
+from ..functions.text import title_key
 
 
 def assemble_by_key(frames: Sequence[DataFrame], key: str | Sequence[str]) -> DataFrame:
@@ -50,11 +44,6 @@ def with_levels(df: DataFrame, name: str, levels: Sequence) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*[F.lit(x) for x in levels])))
 
 
-def with_horizons(df: DataFrame, horizons: Sequence[int], anchor: str = "anchor") -> DataFrame:
-    out = with_levels(df, "horizon", horizons)
-    return out.withColumn("window_end", add_years(anchor, F.col("horizon")))
-
-
 def unique_text_match(
     left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, title: str, attrs: Sequence[str] = ()
 ) -> DataFrame:
@@ -88,12 +77,13 @@ def cooccurrence(exposures: DataFrame, events: DataFrame, case: Sequence[str], p
 def join_checked(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", one_to_one: bool = True) -> DataFrame:
     """Join that fails at run time when the right key (and for 1:1 also the left key) repeats."""
     on = list(on)
+    null = reduce(or_, (F.col(c).isNull() for c in on))
 
     def guarded(df: DataFrame, side: str) -> DataFrame:
-        seen = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-        bad = F.raise_error(F.concat(F.lit(f"{side} key repeats: "), F.to_json(F.struct(*on))))
-        checked = seen.withColumn("_ok", F.when(F.col("_n") > 1, bad.cast("int")).otherwise(F.lit(1)))
-        return df.join(checked.where("_ok = 1").select(*on), on, "left_semi")
+        """Rows with their key checked; a null key repeats nothing. The window deals rows as the join does, so it adds no shuffle."""
+        rows = F.count(F.lit(1)).over(Window.partitionBy(*on))
+        bad = F.raise_error(F.concat(F.lit(f"{side} key repeats: "), F.to_json(F.struct(*on)))).cast("boolean")
+        return df.withColumn("_n", rows).where(F.when((F.col("_n") > 1) & ~null, bad).otherwise(True)).drop("_n")
 
     return (guarded(left, "left") if one_to_one else left).join(guarded(right, "right"), on, how)
 
@@ -140,11 +130,5 @@ def frames_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     ).withColumn("equal", (F.col("left_only") == 0) & (F.col("right_only") == 0))
 
 
-def broadcast_if_small(spark_df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the size; otherwise leave the plan alone."""
-    small = spark_df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(spark_df) if small else spark_df
-
-
 def composite(*cols: str) -> Column:
     return F.struct(*cols)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .keys import join_same
 from .storage import keep
 
 Level = tuple[Column, bool]  # (ordering expression, descending)
@@ -39,7 +40,7 @@ def hierarchical_totals(
         offsets = sums.select(
             *path, n, *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_o{i}_{v}") for v in values]
         )
-        out = out.join(offsets, [*path, n])
+        out = join_same(out, offsets, [*path, n])
         path.append(n)
     last, desc = names[-1], levels[-1][1]
     order = F.col(last).desc() if desc else F.col(last).asc()
@@ -121,7 +122,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     grouped = counts.groupBy(*kk) if keys else counts.groupBy()
     sizes = grouped.agg(F.sum("_n").alias("_total"), F.min(squash).alias("_lo"), F.max(squash).alias("_hi"))
     if keys:
-        placed = counts.join(sizes, kk)
+        placed = join_same(counts, sizes, kk)
     else:  # one row of sizes: scalar subqueries instead of a join on a constant
         placed = counts
         for c in ("_total", "_lo", "_hi"):
@@ -156,6 +157,6 @@ def equal_frequency_bins(df: DataFrame, by: Sequence[str], value: str, bins: int
     by = list(by)
     edges = exact_quantiles(df, by, value, [i / bins for i in range(bins + 1)])
     arr = F.array_sort(F.collect_set("quantile")).alias("_edges")
-    joined = df.join(edges.groupBy(*by).agg(arr), by) if by else df.withColumn("_edges", edges.agg(arr).scalar())
+    joined = join_same(df, edges.groupBy(*by).agg(arr), by) if by else df.withColumn("_edges", edges.agg(arr).scalar())
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     return joined.withColumn(name, F.greatest(below - 1, F.lit(0))).drop("_edges")

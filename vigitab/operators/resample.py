@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from .storage import keep
+from .keys import join_same
 from .prefix import hierarchical_totals, position, unit_levels
+from .storage import keep
 
 
 def hash_index(n: Column, *parts: Column) -> Column:
@@ -43,7 +44,7 @@ def draw_weights(clusters: DataFrame, cluster: str, reps: int, seed: int, by: Se
         .withColumn("idx", hash_index(F.col("_n"), F.lit(seed), F.col("rep"), F.col("_j")))
         .groupBy(*kk, "rep", "idx").agg(F.count(F.lit(1)).alias("w"))
     )
-    return draws.join(keyed, [*kk, "idx"]).select(*by, "rep", cluster, "w")
+    return join_same(draws, keyed, [*kk, "idx"]).select(*by, "rep", cluster, "w")
 
 
 def bootstrap_ratio(df: DataFrame, cluster: str, num: str, den: str, reps: int = 5000, seed: int = 20260700, by: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +52,7 @@ def bootstrap_ratio(df: DataFrame, cluster: str, num: str, den: str, reps: int =
     by = list(by)
     sums = df.groupBy(*by, cluster).agg(F.sum(num).cast("double").alias("_num"), F.sum(den).cast("double").alias("_den"))
     w = draw_weights(sums, cluster, reps, seed, by)
-    j = w.join(sums, [*by, cluster])
+    j = join_same(w, sums, [*by, cluster])
     own = N.ratio("_num", "_den")
     return j.groupBy(*by, "rep").agg(
         F.try_divide(F.sum(F.col("w") * F.col("_num")), F.sum(F.col("w") * F.col("_den"))).alias("micro"),
@@ -96,7 +97,7 @@ def _with_ci(main: DataFrame, boot: DataFrame, by: Sequence[str]) -> DataFrame:
     ci = boot.groupBy(*by).agg(
         (100 * F.expr("percentile(micro, 0.025)")).alias("low_pct"), (100 * F.expr("percentile(micro, 0.975)")).alias("high_pct")
     )
-    return main.join(ci, list(by))
+    return join_same(main, ci, by)
 
 
 def group_coverage(signals: DataFrame, entities: DataFrame, group: str, observed: Column, reps: int, seed: int, major: int = 30) -> DataFrame:
@@ -114,6 +115,15 @@ def group_coverage(signals: DataFrame, entities: DataFrame, group: str, observed
     return _with_ci(main, boot, [group])
 
 
+def cluster_rates(rows: DataFrame, clusters: DataFrame, cluster: str, by: Sequence[str], num: str, den: str, reps: int, seed: int) -> DataFrame:
+    """Rate of sums per group with limits from whole clusters; every cluster of the list is drawn, with or without rows."""
+    cells = keep(rows.groupBy(*by, cluster).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den")), "rate_cells")
+    main = cells.groupBy(*by).agg(F.sum("_num").alias("n"), F.sum("_den").alias("denominator")).withColumn("percent", N.pct("n", "denominator"))
+    boot = draw_weights(clusters, cluster, reps, seed).join(cells, cluster).groupBy(*by, "rep").agg(
+        F.try_divide(F.sum(F.col("w") * F.col("_num")).cast("double"), F.sum(F.col("w") * F.col("_den")).cast("double")).alias("micro"))
+    return _with_ci(main, boot, by)
+
+
 def strata_coverage(cov: DataFrame, dims: Sequence[str], reps: int, seed: int, small: int = 10) -> DataFrame:
     """Coverage by entity strata; resampling stays inside the stratum."""
     arr = F.array(*[F.struct(F.lit(d).alias("stratum"), F.coalesce(F.col(d).cast("string"), F.lit("MISSING")).alias("level")) for d in dims])
@@ -186,7 +196,7 @@ def bootstrap_metrics(df: DataFrame, by: Sequence[str], cluster: str, y: str, p:
     scored = w.join(ties, cluster).groupBy(*by, "rep", "_p").agg(
         F.sum(F.col("w") * F.col("_pos")).alias("pos"), F.sum(F.col("w") * F.col("_neg")).alias("neg")
     )
-    return ranking_from_ties(scored, [*by, "rep"], "_p").join(losses, [*by, "rep"])
+    return join_same(ranking_from_ties(scored, [*by, "rep"], "_p"), losses, [*by, "rep"])
 
 
 def ranking_from_ties(ties: DataFrame, by: Sequence[str], score: str) -> DataFrame:
@@ -198,7 +208,7 @@ def ranking_from_ties(ties: DataFrame, by: Sequence[str], score: str) -> DataFra
     totals = keyed.groupBy(*kk).agg(F.sum("pos").alias("_tp"), F.sum("neg").alias("_tn"))
     precision = F.coalesce(F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")), F.lit(0.0))
     below = F.col("_tn") - F.col("cum_neg") + 0.5 * F.col("neg")
-    out = run.join(totals, kk).groupBy(*kk).agg(
+    out = join_same(run, totals, kk).groupBy(*kk).agg(
         F.try_divide(F.sum(precision * F.col("pos")), F.max("_tp")).alias("average_precision"),
         F.try_divide(F.sum(F.col("pos") * below), F.max("_tp") * F.max("_tn")).alias("auroc"),
     )

@@ -1,9 +1,28 @@
-"""Persistence of intermediate results that one plan reads several times."""
+"""Stages that are read more than once: written to the folder that all machines share, and read back."""
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from __future__ import annotations
 
+import tempfile
+import uuid
 
-def keep(df: DataFrame) -> DataFrame:
-    """Persist in memory with spill to disk; lost partitions are rebuilt from their lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. A local session without one gets a scratch folder; a cluster has to name it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def keep(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write `df` once as Parquet; later plans read the rows and need no lineage or executor storage."""
+    typed = df.withColumns({f.name: df[f.name].cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)})
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    typed.write.parquet(path)
+    return df.sparkSession.read.schema(typed.schema).parquet(path)

@@ -46,8 +46,11 @@ def build_term_index(preferred: DataFrame, lower: DataFrame, history: DataFrame)
     return rows.groupBy("level", "key").agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
 
-def map_terms_cascade(terms: DataFrame, index: DataFrame) -> DataFrame:
-    """First level with any candidate decides: one code maps, several stop as ambiguous."""
+def map_terms_cascade(terms: DataFrame, index: DataFrame, hierarchy: DataFrame | None = None) -> DataFrame:
+    """First level with any candidate decides: one code maps, several stop as ambiguous.
+
+    With a hierarchy (see ``primary_hierarchy``) a code without a unique branch gives no mapping either.
+    """
     keyed = with_term_keys(terms)
     probes = _key_rows(keyed, 1, ["term"])
     probes = probes.withColumn("level", F.explode(F.array(*[F.col("level") + 3 * i for i in range(3)])))
@@ -57,7 +60,13 @@ def map_terms_cascade(terms: DataFrame, index: DataFrame) -> DataFrame:
     out = terms.join(hits, "term", "left")
     n = F.size("codes")
     status = F.when(F.col("level").isNull(), "UNRESOLVED").when(n == 1, "MAPPED").otherwise("AMBIGUOUS")
-    return out.withColumn("status", status).withColumn("code", F.when(n == 1, F.element_at("codes", 1)))
+    out = out.withColumn("status", status).withColumn("code", F.when(n == 1, F.element_at("codes", 1)))
+    if hierarchy is None:
+        return out
+    sound = hierarchy.where("hierarchy_status = 'RESOLVED'").select("code", F.lit(True).alias("_sound"))
+    lost = (F.col("status") == "MAPPED") & F.col("_sound").isNull()
+    out = out.join(sound, "code", "left").withColumn("status", F.when(lost, "UNRESOLVED_HIERARCHY").otherwise(F.col("status")))
+    return out.withColumn("code", F.when(F.col("status") == "MAPPED", F.col("code"))).drop("_sound")
 
 
 def primary_hierarchy(h: DataFrame, attrs: Sequence[str] = ("middle", "top")) -> DataFrame:

@@ -11,7 +11,9 @@ from ..operators import describe as D
 from ..operators import evidence as C
 from ..operators import joins as J
 from ..operators import prefix as P
+from ..operators import resample as R
 from .oracle_views import VIEWS, strict_sql
+from .q_resample import REPS, SEED, draws
 from .registry import query
 
 AE = "nct_id, rgid, entity, event, affected, at_risk, event_type, threshold"
@@ -65,7 +67,7 @@ def _(t):
     return t.final_rows.select("entity", "event", "nct_id", "rgid", "dgid", "group_type", "affected", "at_risk")
 
 
-VIEWS["v_ceil0"] = "SELECT a.*, t.completion_date, t.completion_type, t.phase FROM v_ae a JOIN v_trial t ON t.nct_id=a.nct_id WHERE at_risk>0 AND affected IS NOT NULL AND affected<=at_risk"
+VIEWS["v_ceil0"] = "SELECT a.*, t.completion_date, t.completion_type, t.phase, t.results_posted_date, t.primary_completion_date FROM v_ae a JOIN v_trial t ON t.nct_id=a.nct_id WHERE at_risk>0 AND affected IS NOT NULL AND affected<=at_risk"
 VIEWS["v_ceil"] = strict_sql("v_ceil0")
 
 
@@ -109,9 +111,8 @@ def _(t):
     return A.funnel(stages, "approval_year", [1996, 1997], 1998, counts, row_id="affected")
 
 
-VIEWS["v_defrow"] = f"""SELECT r.*, u.d AS definition FROM (SELECT c.*, unnest([{{'d':CASE WHEN completion_type='ACTUAL' AND completion_date<=anchor AND coalesce(phase,'')<>'PHASE4' THEN 'STRICT_COMPLETION' END}},
- {{'d':CASE WHEN completion_type='ACTUAL' AND completion_date+180<=anchor AND coalesce(phase,'')<>'PHASE4' THEN 'RESULTS_POSTED' END}}, {{'d':CASE WHEN completion_date<=anchor THEN 'WIDE_COMPLETION' END}}]) AS u
- FROM (SELECT c.*, x.anchor FROM v_ceil c JOIN v_anchor2 x ON x.entity=c.entity) c) r WHERE u.d IS NOT NULL"""
+VIEWS["v_defrow"] = """SELECT c.*, x.anchor, u.definition FROM v_ceil c JOIN v_anchor2 x ON x.entity=c.entity, (VALUES ('STRICT_COMPLETION'),('RESULTS_POSTED'),('WIDE_COMPLETION')) u(definition)
+ WHERE coalesce(phase,'')<>'PHASE4' AND CASE definition WHEN 'STRICT_COMPLETION' THEN completion_type='ACTUAL' AND completion_date<=anchor WHEN 'RESULTS_POSTED' THEN results_posted_date<=anchor ELSE primary_completion_date<=anchor END"""
 
 
 def defined(t):
@@ -123,18 +124,45 @@ def _(t):
     return defined(t).groupBy("definition", "entity").agg(F.countDistinct("nct_id").alias("trials"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("definition_summary", """SELECT d.definition, count(DISTINCT d.entity) AS entities, count(DISTINCT nct_id) AS trials, count(DISTINCT rgid) AS arms, count(DISTINCT (d.entity,d.event)) AS pairs,
- count(DISTINCT (d.entity,d.event)) FILTER (WHERE s.entity IS NOT NULL) AS signals_represented FROM v_defrow d LEFT JOIN (SELECT DISTINCT entity, event FROM v_sigr) s ON s.entity=d.entity AND s.event=d.event GROUP BY 1""", "", "C-11")
+#: Entities with at least this many exposed cases in three years have volume; the test tables are small.
+LEAST_EXPOSED = 20
+VIEWS["v_volume"] = f"SELECT DISTINCT entity FROM v_labels3 WHERE exposed_cases>={LEAST_EXPOSED}"
+VIEWS["v_repr"] = """SELECT e.definition, s.entity, s.event, (p.entity IS NOT NULL)::INT AS represented FROM (SELECT DISTINCT definition, entity FROM v_defrow WHERE entity IN (SELECT entity FROM v_volume)) e
+ JOIN (SELECT DISTINCT entity, event FROM v_sigr) s ON s.entity=e.entity LEFT JOIN (SELECT DISTINCT definition, entity, event FROM v_defrow) p ON p.definition=e.definition AND p.entity=s.entity AND p.event=s.event"""
+
+
+def volume(t):
+    return t.labels3.where(F.col("exposed_cases") >= LEAST_EXPOSED).select("entity").distinct()
+
+
+_DEF = "count(DISTINCT entity) AS {0}entities, count(DISTINCT nct_id) AS {0}trials, count(DISTINCT rgid) AS {0}arms, count(DISTINCT (entity,event)) AS {0}pairs"
+
+
+@query("definition_summary", f"""WITH a AS (SELECT definition, {_DEF.format('')} FROM v_defrow GROUP BY 1), b AS (SELECT definition, {_DEF.format('volume_')} FROM v_defrow WHERE entity IN (SELECT entity FROM v_volume) GROUP BY 1),
+ o AS (SELECT definition, count(*) AS shared_pairs FROM (SELECT DISTINCT definition, entity, event FROM v_defrow) WHERE (entity, event) IN (SELECT (entity, event) FROM v_defrow WHERE definition='STRICT_COMPLETION') GROUP BY 1),
+ r AS (SELECT definition, count(*) AS signals, sum(represented)::BIGINT AS signals_represented FROM v_repr GROUP BY 1)
+ SELECT *, 100.0*shared_pairs/pairs AS shared_pct, 100.0*signals_represented/nullif(signals,0) AS coverage_pct FROM a LEFT JOIN b USING (definition) LEFT JOIN o USING (definition) LEFT JOIN r USING (definition)""", "shared_pct coverage_pct", "C-11")
 def _(t):
-    return C.definition_summary(defined(t), t.signals3.where("criterion_r"))
+    return C.definition_summary(defined(t), t.signals3.where("criterion_r"), volume(t))
+
+
+@query("definition_coverage_interval", f"""WITH c AS (SELECT definition, entity, sum(represented) AS num, count(*) AS den FROM v_repr GROUP BY 1,2), w AS ({draws('SELECT definition, entity FROM c', 'entity', 'definition')}),
+ b AS (SELECT definition, rep, sum(w*num)::DOUBLE/sum(w*den) AS micro FROM w JOIN c USING (definition, entity) GROUP BY 1,2)
+ SELECT definition, 'micro' AS measure, 100*quantile_cont(micro,0.025) AS low, 100*quantile_cont(micro,0.975) AS high, count(micro) AS valid, 0::BIGINT AS failed FROM b GROUP BY 1""", "low high", "C-11 B-3")
+def _(t):
+    found = C.represented(defined(t).select("definition", "entity", "event").distinct(), t.signals3.where("criterion_r"), volume(t)).withColumn("den", F.lit(1))
+    return R.ci_table(R.bootstrap_ratio(found, "entity", "represented", "den", REPS, SEED, ["definition"]), ["definition"], ["micro"], 100.0)
+
+
+_LINK = "entity, nct_id, completion_date, completion_type, anchor"
 
 
-@query("added_link_reasons", """WITH a AS (SELECT entity, nct_id FROM v_defrow WHERE definition='WIDE_COMPLETION' EXCEPT SELECT entity, nct_id FROM v_defrow WHERE definition='STRICT_COMPLETION')
- SELECT CASE WHEN coalesce(completion_type,'')<>'ACTUAL' THEN 'NOT_ACTUAL' WHEN phase='PHASE4' THEN 'PHASE4' ELSE 'OTHER' END AS reason, count(*) AS links, count(DISTINCT a.nct_id) AS trials FROM a JOIN v_trial t ON t.nct_id=a.nct_id GROUP BY 1""", "", "C-12 U-4")
+@query("added_link_reasons", f"""SELECT count(*) AS links, count(DISTINCT nct_id) AS trials, count(*) FILTER (WHERE completion_type='ACTUAL' AND completion_date<=anchor) AS actual_by_anchor, count(*) FILTER (WHERE completion_date>anchor) AS after_anchor,
+ count(*) FILTER (WHERE completion_date<=anchor AND coalesce(completion_type,'')<>'ACTUAL') AS not_actual_by_anchor, count(*) FILTER (WHERE completion_date IS NULL) AS missing_completion
+ FROM (SELECT {_LINK} FROM v_defrow WHERE definition='WIDE_COMPLETION' EXCEPT SELECT {_LINK} FROM v_defrow WHERE definition='STRICT_COMPLETION')""", "", "C-12")
 def _(t):
     d = defined(t)
-    added = C.added_links(d.where("definition = 'WIDE_COMPLETION'"), d.where("definition = 'STRICT_COMPLETION'"), ["entity", "nct_id"])
-    return C.added_link_reasons(added, t.trial, t.approval.select("entity"))
+    return C.added_link_reasons(C.added_links(d.where("definition = 'WIDE_COMPLETION'"), d.where("definition = 'STRICT_COMPLETION'"), _LINK.split(", ")))
 
 
 VIEWS["v_cond"] = "SELECT DISTINCT orderkey AS nct_id, CASE WHEN name LIKE 'red%' THEN 'Lung carcinoma '||name ELSE name END AS condition FROM v_base"
@@ -260,21 +288,23 @@ def _(t):
 VIEWS["v_prim"] = "SELECT DISTINCT entity, nct_id FROM v_final"
 VIEWS["v_same"] = """SELECT e.entity, e.event, string_agg(DISTINCT e.nct_id::VARCHAR,' | ' ORDER BY e.nct_id::VARCHAR) AS trial_ids, count(DISTINCT e.nct_id) AS trials, min(completion_date) AS first_completion, max(completion_date) AS last_completion,
  bool_and(completion_type='ACTUAL' AND completion_date<=anchor) AS all_before_anchor FROM v_evraw e SEMI JOIN v_prim p ON p.entity=e.entity AND p.nct_id=e.nct_id GROUP BY 1,2"""
-VIEWS["v_other"] = VIEWS["v_same"].replace("SEMI JOIN", "ANTI JOIN").replace("v_evraw e", "(SELECT * FROM v_evraw WHERE completion_type='ACTUAL' AND completion_date<=anchor) e")
-VIEWS["v_evraw"] = "SELECT a.*, t.completion_date, t.completion_type, x.anchor FROM v_ae a JOIN v_trial t ON t.nct_id=a.nct_id JOIN v_anchor2 x ON x.entity=a.entity"
+VIEWS["v_other"] = VIEWS["v_same"].replace("SEMI JOIN", "ANTI JOIN").replace("v_evraw e", "(SELECT * FROM v_evraw WHERE eligible AND completion_type='ACTUAL' AND completion_date<=anchor) e")
+VIEWS["v_evraw"] = "SELECT a.*, t.completion_date, t.completion_type, t.study_type='INTERVENTIONAL' AND t.nct_id IN (SELECT nct_id FROM v_iv WHERE intervention_type IN ('DRUG','BIOLOGICAL')) AS eligible, x.anchor FROM v_ae a JOIN v_trial t ON t.nct_id=a.nct_id JOIN v_anchor2 x ON x.entity=a.entity"
 for _k in ("v_same", "v_other"):
     VIEWS[_k] = VIEWS.pop(_k)
 
 
 def raw_evidence(t):
-    r = t.ae_row.join(t.trial.select("nct_id", "completion_date", "completion_type"), "nct_id").join(t.trial_anchor.select("entity", "anchor"), "entity")
+    drug = C.drug_trials(t.trial, t.intervention).select("nct_id", F.lit(True).alias("eligible"))
+    trial = t.trial.select("nct_id", "completion_date", "completion_type").join(drug, "nct_id", "left")
+    r = t.ae_row.join(trial, "nct_id").join(t.trial_anchor.select("entity", "anchor"), "entity")
     return r.withColumn("nct_id", F.col("nct_id").cast("string"))
 
 
 def elsewhere(t):
     keys = A.keep(t.final_rows.select("entity", F.col("nct_id").cast("string").alias("nct_id")).distinct())
     raw = raw_evidence(t)
-    good = raw.where("completion_type = 'ACTUAL' AND completion_date <= anchor")
+    good = raw.where("eligible AND completion_type = 'ACTUAL' AND completion_date <= anchor")
     return C.elsewhere_evidence(raw, keys, True), C.elsewhere_evidence(good, keys, False), keys, raw
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
@@ -11,11 +14,11 @@ from ..operators import evidence as C
 from ..operators import features as FE
 from ..operators import model as M
 from ..operators import resample as R
+from ..operators.storage import shared_dir
 from .oracle_views import VIEWS
 from .registry import query
 
-PF = [n for n, *_ in FE.PAIR_FEATURES]
-CF = [n for n, *_ in FE.CONTEXT_FEATURES]
+PF, CF = FE.pair_columns(), FE.CONTEXT_COLUMNS
 
 
 def _status(c, na=False):
@@ -27,7 +30,7 @@ VIEWS["v_context"] = f"""SELECT c.entity, c.event, a.* EXCLUDE (entity), g.top_g
  FROM v_cand c JOIN (SELECT entity, approval_year, kind, {_status('orphan')}, {_status('accelerated')}, {_status('breakthrough', True)}, {_status('fast_track')}, CASE WHEN priority LIKE 'Priority%' THEN 'Priority' ELSE 'Standard' END AS priority,
  CASE WHEN route IS NULL THEN 'MISSING/UNKNOWN' WHEN strpos(route,'|')>0 THEN 'MULTIPLE' WHEN route='ORAL' THEN 'ORAL' ELSE 'PARENTERAL' END AS route_broad, CASE form WHEN 'TABLET' THEN 'SOLID' WHEN 'SOLUTION' THEN 'LIQUID' ELSE 'OTHER' END AS form_broad FROM v_approval) a ON a.entity=c.entity
  JOIN v_group g ON g.event=c.event JOIN v_prog p ON p.entity=c.entity JOIN (SELECT entity, count(*) AS arms, sum(m) AS at_risk FROM (SELECT entity, nct_id, rgid, max(at_risk) AS m FROM v_final GROUP BY 1,2,3) GROUP BY 1) x ON x.entity=c.entity"""
-VIEWS["v_prow"] = "SELECT DISTINCT entity, event, nct_id, rgid, dgid, event_type, threshold, affected, at_risk, phase, allocation, masking, affected/at_risk AS prop FROM v_final"
+VIEWS["v_prow"] = "SELECT DISTINCT entity, event, nct_id, row_no, rgid, dgid, event_type, threshold, affected, at_risk, phase, allocation, masking, affected/at_risk AS prop FROM v_final"
 VIEWS["v_pairf"] = """SELECT r.entity, r.event, reporting_trials, reporting_trials::DOUBLE/p.trials AS reporting_trial_fraction, reporting_arms, arm_at_risk, median_proportion, max_proportion, CASE WHEN n>=2 THEN q3-q1 END AS proportion_iqr, (n>=2)::INT AS row_variability_available,
  any_serious, serious_trials, serious_arms, serious_trial_fraction, serious_arm_fraction, max_serious_proportion, max_other_proportion, other_proportion_available, between_trial_sd, (reporting_trials>=2)::INT AS cross_trial_available,
  min_other_threshold, max_other_threshold, median_other_threshold, threshold_0_fraction, threshold_5_fraction, threshold_available, phase1_fraction, randomized_fraction, masked_fraction FROM (
@@ -89,22 +92,26 @@ def _(t):
     return FE.label_reconciliation(labels(t), t.signals3.where("criterion_r"))
 
 
-@query("inclusion_rule", """SELECT variable, completeness, smallest_level, CASE WHEN completeness>=0.95 AND smallest_level>=10 THEN 'SECONDARY' ELSE 'DROP' END AS status FROM (
- SELECT 'priority' AS variable, sum(n) FILTER (WHERE lv<>'MISSING/UNKNOWN')::DOUBLE/sum(n) AS completeness, min(n) FILTER (WHERE lv<>'MISSING/UNKNOWN') AS smallest_level FROM (SELECT priority AS lv, count(*) AS n FROM v_context GROUP BY 1)
- UNION ALL SELECT 'orphan', coalesce(sum(n) FILTER (WHERE lv<>'MISSING/UNKNOWN'),0)::DOUBLE/sum(n), min(n) FILTER (WHERE lv<>'MISSING/UNKNOWN') FROM (SELECT orphan AS lv, count(*) AS n FROM v_context GROUP BY 1))""", "completeness", "FE-3")
+@query("inclusion_rule", " UNION ALL ".join(f"""SELECT '{v}' AS variable, completeness, smallest_level, CASE WHEN completeness>=0.95 AND smallest_level>=10 THEN 'SECONDARY' ELSE 'DROP' END AS status FROM (
+ SELECT sum(n) FILTER (WHERE lv<>'MISSING/UNKNOWN')::DOUBLE/sum(n) AS completeness, min(n) FILTER (WHERE lv<>'MISSING/UNKNOWN') AS smallest_level FROM (SELECT {v} AS lv, count(*) AS n FROM (SELECT DISTINCT entity, {v} FROM v_context) GROUP BY 1))""" for v in ("priority", "orphan")), "completeness", "FE-3")
 def _(t):
-    c = context(t)
-    return D.inclusion_rule(c, "priority").unionByName(D.inclusion_rule(c, "orphan"))
+    per_entity = context(t).select("entity", "priority", "orphan").distinct()
+    return D.inclusion_rule(per_entity, "priority").unionByName(D.inclusion_rule(per_entity, "orphan"))
+
+
+_NUMERIC = set(FE.PROGRAMME_COLUMNS) | set(FE.EXPOSURE_COLUMNS) | {"approval_year"} | set(PF)
 
 
-_MISSV = ["proportion_iqr", "between_trial_sd", "max_serious_proportion", "max_other_threshold", "randomized_fraction", "any_serious"]
+def _dictionary_sql():
+    meta = [("PAIR_SET" if n in PF else "CONTEXT_SET", n, *FE.feature_kind(n, "double" if n in _NUMERIC else "string"), "DROP" if n == "priority" else "KEEP") for n in [*CF, *PF]]
+    counts = " UNION ALL ".join(
+        f"SELECT '{n}' AS variable, count(*) AS rows, count({n}) AS known, count(DISTINCT {n}) AS distinct_values, {f'count(*) FILTER (WHERE {n}=0)' if n in _NUMERIC else '0::BIGINT'} AS zeros FROM v_model" for n in [*CF, *PF])
+    return f"SELECT d.feature_set, variable, d.kind, d.transform, d.missing_rule, d.status, rows, known, distinct_values, zeros FROM ({counts}) JOIN (VALUES {', '.join(map(str, meta))}) d(feature_set, variable, kind, transform, missing_rule, status) USING (variable)"
 
 
-@query("feature_dictionary", "WITH l AS (" + " UNION ALL ".join(f"SELECT '{v}' AS variable, count(*) AS rows, count({v}) AS known, count(*) FILTER (WHERE {v}=0) AS zeros FROM v_pairf" for v in _MISSV) + f""") SELECT 'PAIR_SET' AS feature_set, variable, d.domain, d.kind, d.transform, d.missing_rule, rows, known, zeros FROM l JOIN (VALUES {", ".join(str(r) for r in FE.PAIR_FEATURES)}) d(variable, domain, kind, transform, missing_rule) USING (variable)""", "", "FE-6 FE-7")
+@query("feature_dictionary", _dictionary_sql(), "", "FE-6 FE-7")
 def _(t):
-    p = pair(t)
-    m = D.stack(p, [], _MISSV).groupBy("variable").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("known"), F.count(F.when(F.col("value") == 0, 1)).alias("zeros"))
-    return FE.feature_dictionary(t.spark).join(m, "variable")
+    return FE.feature_dictionary(A.keep(table(t), "model_table"), ["priority"])
 
 
 @query("outcome_distribution", "SELECT entity, count(*) AS pairs, sum(label)::BIGINT AS positives, count(DISTINCT entity) AS entities, count(DISTINCT event) AS events, 100.0*sum(label)/count(*) AS prevalence_pct FROM v_lab GROUP BY 1", "prevalence_pct", "FE-8")
@@ -265,19 +272,18 @@ NUM = [f"n{i}" for i in range(16)]  # each sums four neighbouring components
 
 
 def prep():
-    return M.Preprocessor(numeric=NUM, log=[], categorical=["level_kept"])
+    return M.Preprocessor(numeric=NUM, log=[], categorical=["event"], rare={"event": ("grp", 11)})
 
 
 def frame(t):
-    """Numeric columns, a rare-collapsed level and a grouped fold."""
+    """Numeric columns, a level and a grouped fold; rare levels are a matter of each training part."""
     fo = R.grouped_folds(t.feat, "grp", "y", 5, 11).select("grp", F.col("fold").cast("int").alias("fold"))
     f = t.feat.select("vec_id", "grp", "y", F.col("level").alias("event"), *[sum((F.element_at("embedding", 4 * i + j).cast("double") for j in (2, 3, 4)), F.element_at("embedding", 4 * i + 1).cast("double")).alias(n) for i, n in enumerate(NUM)])
-    kept = FE.fit_rare(f.select("event", F.col("grp").alias("entity")), least=13)
-    return A.keep(FE.apply_rare(f, kept).join(fo, "grp"))
+    return A.keep(f.join(fo, "grp"), "model_frame")
 
 
 def linear_fit(d):
-    return M.fit_elastic_net(d, "y", 0.1, 0.5, max_iter=50)
+    return M.fit_elastic_net(d, "y", 0.1, 0.5)
 
 
 def boosted_fit(d):
@@ -296,8 +302,8 @@ def _(t):
 @query("tuned_elastic_net", None, "", "M-5 M-7")
 def _(t):
     f = frame(t)
-    ready = A.keep(prep().fit(f).apply(f).select("y", "fold", "features"))
-    return M.tune(ready, "y", "fold", 5, [g for g in M.ELASTIC_NET_GRID if g["mix"] == 0.5 and g["C"] in (0.03, 0.3)])
+    inner = R.grouped_folds(f.where("fold <> 0"), "grp", "y", 4, 12).select("grp", F.col("fold").cast("int").alias("inner"))
+    return M.tune(f.where("fold <> 0").join(inner, "grp"), "y", "inner", 4, prep, M.ELASTIC_NET_GRID)
 
 
 @query("oof_elastic_net", None, "", "M-8 M-5")
@@ -320,18 +326,23 @@ def _(t):
     return M.split_importance(t.spark, M.oof_predict(frame(t), "fold", 5, "y", prep, boosted_fit, IDS, "boosted")[1])
 
 
-@query("later_scores", None, "", "M-10 M-11")
-def _(t):
+def later(t):
+    """Scores of later groups by a model that was fitted on the others, saved and loaded again."""
     f = frame(t)
-    pre, model = M.fit_final(f.where("grp < 12"), prep, linear_fit)
+    folder = f"{shared_dir(t.spark)}/frozen-{uuid.uuid4().hex}"
+    M.save_final(folder, *M.fit_final(f.where("grp < 12"), prep, linear_fit))
+    pre, model = M.load_final(folder, LogisticRegressionModel)
     return M.score(model, pre, f.where("grp >= 12"), IDS)
 
 
+@query("later_scores", None, "", "M-10 M-11")
+def _(t):
+    return later(t)
+
+
 @query("later_score_checks", "SELECT count(*) AS rows, 0::BIGINT AS null_scores, 0::BIGINT AS out_of_range, 0::BIGINT AS repeated_keys FROM v_feat WHERE grp>=12", "", "M-11")
 def _(t):
-    f = frame(t)
-    pre, model = M.fit_final(f.where("grp < 12"), prep, linear_fit)
-    return M.score_checks(M.score(model, pre, f.where("grp >= 12"), IDS), IDS)
+    return M.score_checks(later(t), IDS)
 
 
 @query("linear_contributions", None, "", "X-1 X-3")
@@ -339,7 +350,7 @@ def _(t):
     f = frame(t)
     pre, model = M.fit_final(f, prep, linear_fit)
     names = t.spark.createDataFrame(list(enumerate(pre.names())), "column_index int, column_name string")
-    cmap = X.concept_map(names, t.spark.createDataFrame([(n,) for n in [*NUM, "level_kept"]], "feature string"))
+    cmap = X.concept_map(names, t.spark.createDataFrame([(n,) for n in [*NUM, "event"]], "feature string"))
     c = X.linear_contributions(model, pre.apply(f), "vec_id").join(cmap, "column_index")
     return X.group_signed(c, ["vec_id"], "feature")
 

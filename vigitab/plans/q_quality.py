@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from ..operators import joins as J
 from ..operators import quality as Q
 from ..operators import resample as R
 from ..operators import signals as S
+from ..operators.storage import shared_dir
 from ..sources import io as IO
 from .oracle_views import VIEWS
 from .q_resample import REPS, SEED, coverage, draws
@@ -147,12 +147,6 @@ def _(t):
     return D.intervals_long(est.select("micro", "macro", *limits), [], ["micro", "macro"])
 
 
-@query("replication_table", """WITH s AS (SELECT coverage_class, count(*) AS total, count(*) FILTER (WHERE criterion_ic) AS n FROM v_sigr GROUP BY 1) SELECT coverage_class, format('{}/{}', n, total) AS n_of_total, format('{} ({:.1f}%)', n, 100.0*n/total) AS n_pct FROM s""", "", "Q-21 F-18")
-def _(t):
-    g = t.signals3.where("criterion_r").groupBy("coverage_class").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("criterion_ic"), 1)).alias("n"))
-    return D.denominator_table(g, "coverage_class", "n", "total")
-
-
 @query("forbidden_columns", "SELECT unnest(['criterion_r','criterion_ic']) AS column_name, count(*) AS rows FROM v_sig", "", "PF-18")
 def _(t):
     return Q.forbidden_columns(t.signals3, ["criterion", "outcome"])
@@ -161,9 +155,8 @@ def _(t):
 # --- scans and sinks --------------------------------------------------------------
 
 def scratch(t, name):
-    """A new folder below the shared checkpoint folder, or a local scratch folder where none is named."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared folder."""
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("filtered_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_returnflag='R' AND l_quantity>=45", "l_quantity", "IO-1")

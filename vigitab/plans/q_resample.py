@@ -11,7 +11,7 @@ from ..operators import resample as R
 from .oracle_views import VIEWS
 from .registry import query
 
-REPS, SEED = 200, 20260700
+REPS, SEED = 5000, 20260700
 
 
 def observed():
@@ -88,13 +88,6 @@ def _(t):
     return R.strata_coverage(coverage(t), ["kind", "orphan", "breakthrough"], REPS, SEED)
 
 
-@query("replication_interval", f"""WITH c AS (SELECT entity, count(*) AS den, count(*) FILTER (WHERE criterion_ic) AS num FROM v_sigr GROUP BY 1), w AS ({draws('SELECT entity FROM c', 'entity')}),
- b AS (SELECT rep, sum(w*num)::DOUBLE/sum(w*den) AS micro FROM w JOIN c USING (entity) GROUP BY 1) SELECT 'micro' AS measure, quantile_cont(micro,0.025) AS low, quantile_cont(micro,0.975) AS high, count(micro) AS valid, 0::BIGINT AS failed FROM b""", "low high", "B-3 D-26 D-27 C-11")
-def _(t):
-    s = t.signals3.where("criterion_r").withColumn("num", F.coalesce(F.col("criterion_ic").cast("int"), F.lit(0))).withColumn("den", F.lit(1))
-    return R.ci_table(R.bootstrap_ratio(s, "entity", "num", "den", REPS, SEED), [], ["micro"])
-
-
 # --- folds -------------------------------------------------------------------
 
 def _fold_sql(src, k, seed, by=""):
@@ -105,7 +98,7 @@ def _fold_sql(src, k, seed, by=""):
 
 
 VIEWS["v_folds"] = _fold_sql("SELECT * FROM v_feat", 5, 11)
-VIEWS["v_inner"] = _fold_sql("SELECT f.*, o.ofold AS outer_fold FROM v_feat f JOIN v_folds g USING (grp), range(5) o(ofold) WHERE o.ofold<>g.fold", 3, 12, "outer_fold")
+VIEWS["v_inner"] = _fold_sql("SELECT f.*, o.ofold AS outer_fold FROM v_feat f JOIN v_folds g USING (grp), range(5) o(ofold) WHERE o.ofold<>g.fold", 4, 12, "outer_fold")
 
 
 def folds(t):
@@ -124,7 +117,7 @@ def _(t):
 
 @query("nested_folds", "SELECT outer_fold::INT AS outer_fold, grp, rows, positives, fold FROM v_inner", "", "M-4")
 def _(t):
-    return R.nested_folds(t.feat, folds(t), "grp", "y", 3, 12, 5)
+    return R.nested_folds(t.feat, folds(t), "grp", "y", 4, 12, 5)
 
 
 @query("null_model", "WITH p AS (SELECT fold, sum(positives) AS p, sum(rows) AS n FROM v_folds GROUP BY 1) SELECT fold, ((SELECT sum(p) FROM p)-p)::DOUBLE/((SELECT sum(n) FROM p)-n) AS null_p, n::BIGINT AS rows FROM p", "null_p", "M-9")
@@ -141,7 +134,7 @@ def long_pred(t):
 def metric_sql(src, by, y="y"):
     """Metrics per group; ``by`` is a comma list."""
     return f"""SELECT {by}, rows, positives, prevalence, brier, log_loss, average_precision, auroc, average_precision/nullif(prevalence,0) AS ap_lift FROM (
- SELECT {by}, count(*) AS rows, sum({y})::BIGINT AS positives, avg({y}) AS prevalence, avg(({y}-p)*({y}-p)) AS brier, avg(-({y}*ln(greatest(least(p,1-1e-6),1e-6))+(1-{y})*ln(1-greatest(least(p,1-1e-6),1e-6)))) AS log_loss FROM {src} GROUP BY {by}) JOIN (
+ SELECT {by}, count(*) AS rows, sum({y})::BIGINT AS positives, avg({y}) AS prevalence, avg(({y}-p)*({y}-p)) AS brier, avg(-({y}*ln(p)+(1-{y})*ln(1-p))) AS log_loss FROM {src} GROUP BY {by}) JOIN (
  SELECT {by}, sum(pos*cp/nullif(cp+cn,0))/nullif(max(tp),0) AS average_precision, sum(pos*(tn-cn+0.5*neg))/nullif(max(tp)*max(tn),0) AS auroc FROM (
   SELECT *, sum(pos) OVER (PARTITION BY {by} ORDER BY p DESC) AS cp, sum(neg) OVER (PARTITION BY {by} ORDER BY p DESC) AS cn, sum(pos) OVER (PARTITION BY {by}) AS tp, sum(neg) OVER (PARTITION BY {by}) AS tn
   FROM (SELECT {by}, p, sum({y})::DOUBLE AS pos, sum(1-{y})::DOUBLE AS neg FROM {src} GROUP BY {by}, p)) GROUP BY {by}) USING ({by})"""
@@ -172,12 +165,23 @@ def _(t):
     return E.calibration_bins(long_pred(t), ["score_set"], "y", "p")
 
 
-@query("calibration_newton", None, "", "E-5 E-6")
+VIEWS["v_ties"] = "SELECT score_set, ln(p/(1-p)) AS x, count(*)::DOUBLE AS w, sum(y)::DOUBLE AS y FROM v_predl GROUP BY score_set, p"
+#: Twelve Newton steps from (0, 1), far more than these scores need to settle to the digits compared.
+_NEWTON = """WITH RECURSIVE n(score_set, k, a, c, b) AS (SELECT DISTINCT score_set, 0, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE FROM v_ties UNION ALL
+ SELECT score_set, k+1, a+ga/va, c+(h11*g0-h01*g1)/(h00*h11-h01*h01), b+(h00*g1-h01*g0)/(h00*h11-h01*h01) FROM (
+  SELECT n.score_set, n.k, n.a, n.c, n.b, sum(t.y-t.w/(1+exp(-(n.a+t.x)))) AS ga, sum(t.w/(1+exp(-(n.a+t.x)))/(1+exp(n.a+t.x))) AS va,
+   sum(t.y-t.w/(1+exp(-(n.c+n.b*t.x)))) AS g0, sum(t.x*(t.y-t.w/(1+exp(-(n.c+n.b*t.x))))) AS g1, sum(t.w/(1+exp(-(n.c+n.b*t.x)))/(1+exp(n.c+n.b*t.x))) AS h00,
+   sum(t.x*t.w/(1+exp(-(n.c+n.b*t.x)))/(1+exp(n.c+n.b*t.x))) AS h01, sum(t.x*t.x*t.w/(1+exp(-(n.c+n.b*t.x)))/(1+exp(n.c+n.b*t.x))) AS h11
+  FROM n JOIN v_ties t ON t.score_set=n.score_set WHERE n.k<12 GROUP BY n.score_set, n.k, n.a, n.c, n.b))
+ SELECT score_set, a AS calibration_intercept, b AS calibration_slope, true AS intercept_ok, true AS slope_ok FROM n WHERE k=12"""
+
+
+@query("calibration_newton", _NEWTON, "calibration_intercept calibration_slope", "E-5 E-6")
 def _(t):
     return E.calibration(long_pred(t), ["score_set"], "y", "p")
 
 
-BREPS = 60
+BREPS = 5000
 _BM = f"""WITH w AS ({draws('SELECT DISTINCT cluster FROM v_pred', 'cluster', '', BREPS)}), x AS (SELECT score_set, rep, p, y, w FROM v_predl JOIN w USING (cluster)),
  l AS (SELECT score_set, rep, sum(w*(y-p)*(y-p))/sum(w) AS brier, sum(w*-(y*ln(p)+(1-y)*ln(1-p)))/sum(w) AS log_loss FROM x GROUP BY 1,2), g AS (SELECT score_set, rep, p, sum(w*y)::DOUBLE AS pos, sum(w*(1-y))::DOUBLE AS neg FROM x GROUP BY 1,2,3),
  r AS (SELECT *, sum(pos) OVER (PARTITION BY score_set, rep ORDER BY p DESC) AS cp, sum(neg) OVER (PARTITION BY score_set, rep ORDER BY p DESC) AS cn, sum(pos) OVER (PARTITION BY score_set, rep) AS tp, sum(neg) OVER (PARTITION BY score_set, rep) AS tn FROM g),
@@ -189,7 +193,7 @@ def boot(t):
     return R.bootstrap_metrics(long_pred(t), ["score_set"], "cluster", "y", "p", BREPS, SEED)
 
 
-@query("bootstrap_metrics", f"{_BM} SELECT score_set, rep, average_precision, auroc, brier, log_loss FROM m", " ".join(_ML), "E-10")
+@query("bootstrap_metrics", f"{_BM} SELECT score_set, rep, average_precision, auroc, brier, log_loss FROM m", " ".join(_ML), "E-10", digits=9)
 def _(t):
     return boot(t).select("score_set", "rep", *_ML)
 
@@ -201,8 +205,8 @@ def _(t):
 
 @query("bootstrap_calibration", None, "", "E-10 E-5 E-6")
 def _(t):
-    w = R.draw_weights(t.pred, "cluster", 20, SEED)
-    return E.calibration(long_pred(t).join(w, "cluster"), ["score_set", "rep"], "y", "p", "w", steps=15, tol=1e-8)
+    w = R.draw_weights(t.pred, "cluster", BREPS, SEED)
+    return E.calibration(long_pred(t).join(w, "cluster"), ["score_set", "rep"], "y", "p", "w", steps=50, tol=1e-8)
 
 
 def _inc(m):

@@ -11,7 +11,7 @@ from ..operators import identity as I
 from ..operators import joins as J
 from ..operators import signals as S
 from ..operators import terms as T
-from .oracle_views import VIEWS, base_sql, name_sql, title_sql
+from .oracle_views import CELLS, VIEWS, base_sql, cells_sql, name_sql, title_sql
 from .registry import query, words
 
 # --- version selection and edges ---------------------------------------------
@@ -34,12 +34,14 @@ def term_index(t):
 
 
 def term_map(t):
-    return T.map_terms_cascade(raw_terms(t), term_index(t))
+    return T.map_terms_cascade(raw_terms(t), term_index(t), T.primary_hierarchy(t.hierarchy))
 
 
 def event_map(t):
+    """Mapped terms whose folded form leads to one code only."""
     terms = t.versioned_report.select("term").distinct()
-    return T.map_terms_cascade(terms, term_index(t)).where("status = 'MAPPED'").select("term", F.col("code").alias("event"))
+    mapped = T.map_terms_cascade(terms, term_index(t), T.primary_hierarchy(t.hierarchy)).select("term", "status", "code")
+    return T.quarantine_conflicts(mapped).where("status = 'MAPPED'").select("term", F.col("code").alias("event"))
 
 
 _CE = "SELECT DISTINCT r.caseid, l.primaryid, l.fda_dt, m.event FROM v_versioned r JOIN v_latest l ON l.caseid=r.caseid AND l.primaryid=r.primaryid JOIN v_event_map m ON m.term=r.term"
@@ -72,6 +74,33 @@ def _(t):
     return S.case_exposures(t.versioned_report, S.latest_cases(t.versioned_report), drug_map(t))
 
 
+def _own(sql):
+    """The window cells over the edges of the latest reports."""
+    for a, b in (("v_cases", "y_cases"), ("v_exp", "y_exp"), ("v_ev ", "y_ev ")):
+        sql = sql.replace(a, b)
+    return sql
+
+
+_CHAIN = f"""WITH y_cases AS (SELECT caseid, try_strptime(fda_dt::VARCHAR,'%Y%m%d')::DATE AS report_date FROM v_latest WHERE fda_dt IS NOT NULL),
+ y_exp AS (SELECT DISTINCT r.caseid, c.report_date, m.entity FROM v_versioned r JOIN v_latest l ON l.caseid=r.caseid AND l.primaryid=r.primaryid JOIN y_cases c ON c.caseid=l.caseid JOIN v_drugmap m ON m.drugname=r.drugname WHERE r.role='PS'),
+ y_ev AS (SELECT DISTINCT e.caseid, c.report_date, e.event FROM ({_CE}) e JOIN y_cases c ON c.caseid=e.caseid),
+ y_pairs AS (SELECT DISTINCT x.entity, y.event, w.anchor, h.horizon, (w.anchor+h.horizon*INTERVAL 1 YEAR)::DATE AS window_end FROM y_exp x JOIN y_ev y ON y.caseid=x.caseid JOIN v_approval w ON w.entity=x.entity, (VALUES (1),(2),(3)) h(horizon)),
+ y_cells AS ({_own(cells_sql('y_pairs'))}), y_stat AS ({CELLS.format(src='y_cells')})
+ SELECT entity, event, horizon, a, b, c, d, total_cases, ror, ror_lcl95, ic, ic025, (a>=3 AND ror_lcl95>1) AS criterion_r, (a>=3 AND ic025>0) AS criterion_ic FROM y_stat"""
+
+
+@query("signals_from_reports", _CHAIN, "ror ror_lcl95 ic ic025", "D-1 D-2 D-4 D-5 D-6 D-7 D-8 D-9 D-10 D-11 T-3 T-5 T-6")
+def _(t):
+    """Reports to newest version, mapped terms and names, unique edges, window cells and flags."""
+    latest = A.keep(S.latest_cases(t.versioned_report), "latest")
+    cases = latest.select("caseid", X.safe_date("fda_dt").alias("report_date")).where("report_date IS NOT NULL")
+    exposures = A.keep(S.case_exposures(t.versioned_report, latest, drug_map(t)).select("caseid", "report_date", "entity"), "exposures")
+    events = A.keep(S.case_events(t.versioned_report, latest, event_map(t)).select("caseid", "event").join(cases, "caseid"), "events")
+    pairs = exposures.join(events.select("caseid", "event"), "caseid").select("entity", "event").distinct()
+    out = S.anchored_signals(S.anchored_pairs(pairs, t.approval.select("entity", "anchor")), cases, exposures, events, restrict=False)
+    return out.select("entity", "event", "horizon", "a", "b", "c", "d", "total_cases", "ror", "ror_lcl95", "ic", "ic025", "criterion_r", "criterion_ic")
+
+
 # --- text keys ----------------------------------------------------------------
 
 _L1 = "trim(regexp_replace(replace(lower(text),'ß','ss'), '\\s+', ' ', 'g'))"
@@ -80,10 +109,9 @@ _L2 = "trim(regexp_replace(replace(lower(text),'ß','ss'), '[^\\p{L}\\p{N}]+', '
 
 @query("corpus_normal_forms", f"SELECT doc_id, md5({_L1}) AS folded, md5({_L2}) AS alnum, length({_L2}) AS n FROM documents", "", "F-1 F-2")
 def _(t):
-    # whole texts; distinct texts are normalised once
     d = t.table("documents")
-    k = d.select("text").distinct().select("text", X.norm_l1(F.col("text")).alias("l1"), X.norm_l2(F.col("text")).alias("l2"))
-    return d.join(k, "text").select("doc_id", F.md5("l1").alias("folded"), F.md5("l2").alias("alnum"), F.length("l2").cast("long").alias("n"))
+        return d.select("doc_id", X.norm_l1(F.col("text")).alias("l1"), X.norm_l2(F.col("text")).alias("l2")).select(
+        "doc_id", F.md5("l1").alias("folded"), F.md5("l2").alias("alnum"), F.length("l2").cast("long").alias("n"))
 
 
 @query("title_keys", f"SELECT DISTINCT title, {title_sql('title')} AS title_norm FROM v_rg", "", "F-3")
@@ -110,7 +138,7 @@ def _(t):
 def _(t):
     d = t.approval_row.withColumn("approval_date", X.parse_mixed_date("approval_text"))
     return d.select("source_row", "approval_date", X.date_year_mismatch("approval_date", "stated_year").alias("mismatch"),
-                    X.safe_long(F.substring("application", 2, 20)).alias("number"), X.non_blank("notes").alias("has_note"))
+                    X.safe_long(F.expr("substring(application, 2)")).alias("number"), X.non_blank("notes").alias("has_note"))
 
 
 @query("name_flags", f"""SELECT x, regexp_matches(lower(x),'\\+|/|\\sand\\s') AS combination, regexp_matches(regexp_replace(x,'\\([^)]*\\)','','g'),'(?i)[,;]|\\s+and\\s+') AS multi_active,
@@ -233,10 +261,10 @@ def _(t):
     return T.mapping_failures(term_map(t))
 
 
-@query("vocabulary_overlap", """WITH l AS (SELECT DISTINCT p_name AS code FROM part WHERE p_size<10), r AS (SELECT DISTINCT name AS code FROM v_base WHERE qty>45 AND suppkey<20), s AS (SELECT count(*) AS n FROM l JOIN r USING (code))
+@query("vocabulary_overlap", """WITH l AS (SELECT DISTINCT p_name AS code FROM part), r AS (SELECT DISTINCT name AS code FROM v_base), s AS (SELECT count(*) AS n FROM l JOIN r USING (code))
  SELECT (SELECT count(*) FROM l) AS left_codes, (SELECT count(*) FROM r) AS right_codes, n AS shared, 100.0*n/(SELECT count(*) FROM l) AS left_covered_pct, 100.0*n/(SELECT count(*) FROM r) AS right_covered_pct FROM s""", "left_covered_pct right_covered_pct", "T-10 U-3")
 def _(t):
-    return T.vocabulary_overlap(t.table("part").where("p_size < 10").select(F.col("p_name").alias("code")), t.items.where("qty > 45 AND suppkey < 20").select(F.col("name").alias("code")))
+    return T.vocabulary_overlap(t.table("part").select(F.col("p_name").alias("code")), t.items.select(F.col("name").alias("code")))
 
 
 @query("bijection_audit", """SELECT 'code' AS side, count(*) AS values, count(*) FILTER (WHERE n>1) AS with_several FROM (SELECT p_name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1)

@@ -23,9 +23,10 @@ class Query:
     sql: str | None
     doubles: list[str] = field(default_factory=list)
     covers: str = ""
+    digits: int = DIGITS
 
     def run(self, spark: SparkSession, path: str) -> DataFrame:
-        return tidy(self.plan(Tables(spark, path)))
+        return tidy(self.plan(Tables(spark, path)), self.digits)
 
     def oracle(self) -> str | None:
         if self.sql is None:
@@ -33,14 +34,14 @@ class Query:
         text = with_views(self.sql)
         if not self.doubles:
             return text
-        parts = ", ".join(f"round({c}::DOUBLE, {DIGITS}) + 0.0 AS {c}" for c in self.doubles)
+        parts = ", ".join(f"round({c}::DOUBLE, {self.digits}) + 0.0 AS {c}" for c in self.doubles)
         return f"SELECT * REPLACE ({parts}) FROM ({text}) q"
 
 
-def tidy(df: DataFrame) -> DataFrame:
+def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles to a fixed number of digits, so that summation order cannot show."""
     cols = [
-        (F.round(f.name, DIGITS) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        (F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ]
     return df.select(*cols)
@@ -59,6 +60,8 @@ def with_views(sql: str) -> str:
     ctes = [f"{n} AS ({q})" for n, q in VIEWS.items() if n in need]
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(ctes) + ", " + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join(ctes) + ", " + body[5:]
     return "WITH " + ", ".join(ctes) + " " + body
@@ -67,10 +70,12 @@ def with_views(sql: str) -> str:
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None, doubles: str = "", covers: str = ""):
+def query(name: str, sql: str | None = None, doubles: str = "", covers: str = "", digits: int = DIGITS):
+    """Register a plan with its SQL; `digits` is raised where values are short decimals that would end in a five at the last digit."""
+
     def add(plan):
         assert name not in REGISTRY, name
-        REGISTRY[name] = Query(name, plan, sql, doubles.split(), covers)
+        REGISTRY[name] = Query(name, plan, sql, doubles.split(), covers, digits)
         return plan
 
     return add

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,14 +24,3 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "vigitab
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by the cluster; fall back to a scratch folder where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if named and not current:
-        spark.sparkContext.setCheckpointDir(named)
-    elif not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.sparkContext.getCheckpointDir()

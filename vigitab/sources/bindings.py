@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import joins as J
 from ..operators.storage import keep
 
+#: Stages written so far, by application, data folder and name: base joins, edges and labels are made once and then read by every query.
+STAGES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(view: Callable[[Tables], DataFrame]) -> cached_property:
+    """A view that is written to the shared folder when it is first asked for."""
+
+    def get(t: Tables) -> DataFrame:
+        key = (t.spark.sparkContext.applicationId, t.path, view.__name__)
+        if key not in STAGES:
+            STAGES[key] = keep(view(t), view.__name__)
+        return STAGES[key]
+
+    return cached_property(get)
+
 
 class Tables:
-    """Lazy views; nothing runs until a result is asked for."""
+    """Views over a data folder; staged ones are written on first use, the others are lazy."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -21,7 +38,7 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    @cached_property
+    @staged
     def items(self) -> DataFrame:
         """Line items with the part's names; enough for everything that needs no order column."""
         part = self.table("part").select(
@@ -34,9 +51,10 @@ class Tables:
             "brand", "name", "bn", F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"),
             F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"), F.col("l_returnflag").alias("rflag"),
             F.col("l_linestatus").alias("lstatus"),
-        )
+        ).withColumn("row_no", F.row_number().over(Window.partitionBy("orderkey").orderBy(
+            "linenumber", "suppkey", "brand", "name", "qty", "price", "disc", "tax", "rflag", "lstatus")))
 
-    @cached_property
+    @staged
     def base(self) -> DataFrame:
         orders = self.table("orders").select(
             F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"),
@@ -56,16 +74,16 @@ class Tables:
             role.alias("role"), F.col("brand").alias("entity"), F.col("name").alias("event"),
         )
 
-    @cached_property
+    @staged
     def cases(self) -> DataFrame:
         """One row per case with a report."""
         return self.report.select("caseid", "report_date").distinct()
 
-    @cached_property
+    @staged
     def exposures(self) -> DataFrame:
         return self.report.where("role = 'PS'").select("caseid", "report_date", "entity").distinct()
 
-    @cached_property
+    @staged
     def case_event(self) -> DataFrame:
         return self.report.select("caseid", "report_date", "event").distinct()
 
@@ -107,7 +125,7 @@ class Tables:
 
     # --- terminology -----------------------------------------------------
 
-    @cached_property
+    @staged
     def preferred(self) -> DataFrame:
         return self.table("part").groupBy(F.col("p_name").alias("term")).agg(
             (F.min("p_partkey") + 10000000).alias("code")
@@ -155,7 +173,7 @@ class Tables:
 
     # --- cohort and identity ---------------------------------------------
 
-    @cached_property
+    @staged
     def approval(self) -> DataFrame:
         part = self.table("part").select(
             F.col("p_brand").alias("entity"), X.safe_long(F.split_part("p_brand", F.lit("#"), F.lit(2))).alias("bn")
@@ -226,12 +244,15 @@ class Tables:
             F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "NONE").otherwise("DOUBLE").alias("masking"),
             F.when(k % 3 == 0, "PARALLEL").when(k % 3 == 1, "CROSSOVER").otherwise("SINGLE_GROUP").alias("model"),
             (k % 6 + 1).alias("n_arms"),
+            F.when(k % 6 != 0, F.date_add(F.to_date("o_orderdate"), (k % 700).cast("int"))).alias("results_posted_date"),
+            F.when(k % 11 != 0, F.date_sub(F.to_date("o_orderdate"), (k % 90).cast("int"))).alias("primary_completion_date"),
+            F.when(k % 7 == 0, "OBSERVATIONAL").otherwise("INTERVENTIONAL").alias("study_type"),
         )
 
     @cached_property
     def ae_row(self) -> DataFrame:
         return self.items.select(
-            F.col("orderkey").alias("nct_id"), (F.col("orderkey") * 10 + F.col("linenumber")).alias("rgid"),
+            F.col("orderkey").alias("nct_id"), (F.col("orderkey") * 10000 + F.col("linenumber") * 100 + F.col("bn")).alias("rgid"), "row_no",
             F.col("brand").alias("entity"), F.col("name").alias("event"), F.col("qty").alias("affected"),
             F.floor(F.col("price") / 1000).cast("double").alias("at_risk"),
             F.when(F.col("lstatus") == "F", "serious").otherwise("other").alias("event_type"),
@@ -239,11 +260,11 @@ class Tables:
             F.concat(F.lit("Arm "), F.col("brand"), F.lit(" #"), F.col("linenumber").cast("string")).alias("title"),
         )
 
-    @cached_property
+    @staged
     def result_group(self) -> DataFrame:
         return self.ae_row.select("nct_id", "rgid", "title").distinct()
 
-    @cached_property
+    @staged
     def design_group(self) -> DataFrame:
         rows = self.items.where("suppkey % 4 <> 0").select(
             F.col("orderkey").alias("nct_id"), F.col("suppkey").alias("suppkey"),
@@ -256,7 +277,7 @@ class Tables:
             "nct_id", (F.col("_arm") * 2 + F.col("_c")).alias("dgid"), "title", "group_type"
         ).distinct()
 
-    @cached_property
+    @staged
     def intervention(self) -> DataFrame:
         return self.items.select(
             (F.col("orderkey") * 100 + F.col("bn")).alias("intervention_id"), F.col("orderkey").alias("nct_id"),
@@ -264,7 +285,7 @@ class Tables:
             F.when(F.col("bn") % 8 == 7, "DEVICE").otherwise("DRUG").alias("intervention_type"), F.col("brand").alias("entity"),
         ).distinct()
 
-    @cached_property
+    @staged
     def arm_bridge(self) -> DataFrame:
         return self.items.select(
             ((F.col("orderkey") * 10 + F.col("linenumber")) * 2).alias("dgid"),
@@ -277,7 +298,7 @@ class Tables:
 
     # --- predictions, features, contributions -----------------------------
 
-    @cached_property
+    @staged
     def pred(self) -> DataFrame:
         """Two nested scores in two decimals, so ties occur."""
         hexed = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
@@ -310,13 +331,13 @@ class Tables:
 
     # --- composed stages --------------------------------------------------
 
-    @cached_property
+    @staged
     def evidence(self) -> DataFrame:
         from ..operators import evidence as C
 
         return C.evidence_rows(self.ae_row, self.trial, self.trial_anchor)
 
-    @cached_property
+    @staged
     def final_rows(self) -> DataFrame:
         from ..operators import evidence as C
 
@@ -324,12 +345,12 @@ class Tables:
             self.evidence, self.result_group, self.design_group, self.arm_bridge, self.intervention
         )
 
-    @cached_property
+    @staged
     def candidates(self) -> DataFrame:
-        """Distinct pairs: small next to the rows they come from and read several times, so kept."""
-        return self.final_rows.select("entity", "event").distinct().transform(keep)
+        """Distinct pairs of the final evidence."""
+        return self.final_rows.select("entity", "event").distinct()
 
-    @cached_property
+    @staged
     def labels_h(self) -> DataFrame:
         """2x2 labels of candidate pairs at three horizons."""
         from ..operators import signals as S
@@ -337,14 +358,14 @@ class Tables:
         pairs = S.anchored_pairs(self.candidates, self.approval.select("entity", "anchor", "approval_year"))
         return S.anchored_signals(pairs, self.cases, self.exposures, self.case_event)
 
-    @cached_property
+    @staged
     def labels3(self) -> DataFrame:
         from ..operators import signals as S
 
         pairs = S.anchored_pairs(self.candidates, self.approval.select("entity", "anchor", "approval_year"), [3])
         return S.anchored_signals(pairs, self.cases, self.exposures, self.case_event)
 
-    @cached_property
+    @staged
     def signals3(self) -> DataFrame:
         """All exposed pairs with at least three joint cases, classed by earlier presence."""
         from ..operators import signals as S
