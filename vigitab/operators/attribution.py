@@ -9,9 +9,9 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from .aggregates import rank_in, share_of_total
 from .prefix import exact_quantiles, quantile_columns
@@ -80,44 +80,66 @@ def supported(imp: DataFrame, left: str, right: str, k: int = 10, rank: str = "r
     return a.join(b, "feature")
 
 
-def dependence(long: DataFrame, value: str = "raw", bins: int = 5) -> DataFrame:
-    """Binned response per feature; heavily tied features fall back to quantiles of their distinct values."""
+def dependence(long: DataFrame, value: str = "raw", bins: int = 5, binary: Sequence[str] = ()) -> DataFrame:
+    """Binned response per feature, with rows of known and missing value.
+
+    Values fall into right-closed quantile bins; heavily tied features fall back to quantiles of their distinct values. Features named in
+    ``binary`` have the bins absent (0) and present (1).
+    """
+    flag = F.col("feature").isin(list(binary))
+    known = long.groupBy("feature").agg(F.count(value).alias("known"), (F.count(F.lit(1)) - F.count(value)).alias("missing"))
     rows = long.where(F.col(value).isNotNull())
     qs = [i / bins for i in range(bins + 1)]
-    edges = exact_quantiles(rows, ["feature"], value, qs).groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("_e"))
+
+    def edges(df: DataFrame, name: str) -> DataFrame:
+        return exact_quantiles(df, ["feature"], value, qs).groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias(name))
+
     distinct = rows.select("feature", value).distinct()
     n = distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("_d"))
-    spare = exact_quantiles(distinct, ["feature"], value, qs).groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("_s"))
     tied = (F.size("_e") - 1 < 3) & (F.col("_d") >= 3)
-    table = edges.join(n, "feature").join(spare, "feature").select("feature", F.when(tied, F.col("_s")).otherwise(F.col("_e")).alias("_edges"), tied.alias("fallback"))
+    method = F.when(flag, "BINARY").when(tied, "DISTINCT_VALUE_QUANTILES").otherwise("QUANTILES")
+    table = edges(rows, "_e").join(n, "feature").join(edges(distinct, "_s"), "feature").select(
+        "feature", F.when(tied, F.col("_s")).otherwise(F.col("_e")).alias("_edges"), method.alias("method"))
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    placed = rows.join(table, "feature").withColumn("bin", F.greatest(below, F.lit(1)))
-    return placed.groupBy("feature", "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value"),
-        F.avg("contribution").alias("mean_contribution"), F.bool_or("fallback").alias("fallback"),
-    )
+    place = F.when(flag, F.col(value).cast("int")).otherwise(F.greatest(below, F.lit(1)))
+    placed = rows.join(table, "feature").withColumn("bin", place).select("feature", "bin", F.col(value).alias("_v"), "contribution", "method")
+    keys = ["feature", "bin"]
+    out = placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("min_value"), F.max("_v").alias("max_value"), F.avg("_v").alias("mean_value"),
+        F.avg("contribution").alias("mean_contribution"), F.max("method").alias("method"))
+    for column, name in (("_v", "median_value"), ("contribution", "median_contribution")):
+        out = out.join(quantile_columns(placed, keys, column, {name: 0.5}), keys)
+    return out.join(known, "feature")
 
 
 def shape_label(bins: DataFrame) -> DataFrame:
-    """Direction of the binned response: at least three bins, |rank correlation| ≥ 0.8, else mixed or unclear."""
+    """Direction of the binned response: at least three bins, |rank correlation| of bin medians ≥ 0.8, else mixed or unclear.
+
+    A binary feature has the sign of present against absent.
+    """
     w = Window.partitionBy("feature")
     b = bins.select(
-        "feature", "bin", "mean_contribution", F.rank().over(w.orderBy("mean_value")).cast("double").alias("_rv"),
-        F.rank().over(w.orderBy("mean_contribution")).cast("double").alias("_rc"),
+        "feature", "bin", "mean_contribution", "method", mean_rank("median_value", w).alias("_rv"), mean_rank("mean_contribution", w).alias("_rc"),
         (F.col("mean_contribution") - F.lag("mean_contribution").over(w.orderBy("bin"))).alias("_d"),
     )
     g = b.groupBy("feature").agg(
         F.count(F.lit(1)).alias("bins"), F.round(F.corr("_rv", "_rc"), 12).alias("rho"),
         (F.max_by("mean_contribution", "bin") - F.min_by("mean_contribution", "bin")).alias("change"),
-        (F.max("mean_contribution") - F.min("mean_contribution")).alias("_range"),
+        (F.max("mean_contribution") - F.min("mean_contribution")).alias("_range"), F.max(F.col("method") == "BINARY").alias("_binary"),
         F.bool_or(F.col("_d") > 0).alias("_up"), F.bool_or(F.col("_d") < 0).alias("_down"),
     )
+    flat = (F.col("_range") <= 1e-6) | (F.col("bins") < F.when(F.col("_binary"), 2).otherwise(3))
     label = (
-        F.when((F.col("bins") < 3) | (F.col("_range") <= 1e-6), "no clear direction")
+        F.when(flat, "no clear direction").when(F.col("_binary"), F.when(F.col("change") > 0, "higher when present").otherwise("lower when present"))
         .when((F.col("rho") >= 0.8) & (F.col("change") > 0), "increasing").when((F.col("rho") <= -0.8) & (F.col("change") < 0), "decreasing")
         .when(F.col("_up") & F.col("_down"), "nonmonotonic").otherwise("no clear direction")
     )
-    return g.withColumn("shape", label).drop("_range", "_up", "_down")
+    return g.withColumn("shape", label).drop("_range", "_up", "_down", "_binary")
+
+
+def mean_rank(c: str, w: WindowSpec) -> Column:
+    """Rank within the window's groups, ties sharing their mean rank. Meant for a few rows a group."""
+    return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(w.partitionBy("feature", c)) - 1) / 2
 
 
 def availability_audit(imp: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

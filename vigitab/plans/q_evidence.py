@@ -12,6 +12,7 @@ from ..operators import evidence as C
 from ..operators import joins as J
 from ..operators import prefix as P
 from ..operators import resample as R
+from ..operators import terms as T
 from .oracle_views import VIEWS, strict_sql
 from .q_resample import REPS, SEED, draws
 from .registry import query
@@ -92,23 +93,40 @@ def _(t):
 def _stage(tag, src, trial, arm, event, rows, year="approval_year"):
     n = lambda have, e: e if have else "NULL::BIGINT"
     return f"""SELECT s.start, '{tag}' AS stage, count(DISTINCT entity) AS entities, {n(trial, 'count(DISTINCT nct_id)')} AS trials, {n(arm, 'count(DISTINCT rgid)')} AS arms,
- {n(event, 'count(DISTINCT event)')} AS events, {n(event, 'count(DISTINCT (entity,event))')} AS pairs, {n(rows, 'count(*)')} AS rows FROM {src} JOIN (VALUES (1996),(1997)) s(start) ON {year}>=s.start WHERE {year}<=1998 GROUP BY 1"""
+ {n(event, 'count(DISTINCT event)')} AS events, {n(event, 'count(DISTINCT (entity,event))')} AS pairs, {n(rows, 'count(*)')} AS rows FROM {src} JOIN (VALUES (1995),(1996),(1997),(1998)) s(start) ON {year}>=s.start WHERE {year}<=1998 GROUP BY 1"""
 
 
+VIEWS["v_linked"] = "SELECT DISTINCT i.entity, i.nct_id, a.approval_year, a.anchor FROM v_iv i JOIN v_anchor2 a ON a.entity=i.entity"
+VIEWS["v_done"] = "SELECT l.*, t.completion_date, t.completion_type, t.phase FROM v_linked l JOIN v_trial t ON t.nct_id=l.nct_id WHERE t.completion_type='ACTUAL' AND t.completion_date<=l.anchor AND coalesce(t.phase,'')<>'PHASE4'"
+VIEWS["v_results"] = "SELECT d.*, a.rgid, a.event AS term, a.affected, a.at_risk, a.event_type, a.row_no FROM v_done d JOIN v_ae a ON a.nct_id=d.nct_id AND a.entity=d.entity"
+VIEWS["v_results_den"] = "SELECT * FROM v_results WHERE at_risk>0 AND affected IS NOT NULL AND affected<=at_risk"
+VIEWS["v_results_code"] = "SELECT d.*, d.term AS event FROM v_results_den d JOIN v_pt p ON p.term=d.term JOIN v_branch b ON b.code=p.code"
+_STARTS = [1995, 1996, 1997, 1998]
 _FUN = " UNION ALL ".join([
-    _stage("S0_COHORT", "v_approval", 0, 0, 0, 0), _stage("S1_LINKED", "(SELECT DISTINCT i.entity, i.nct_id, a.approval_year FROM v_iv i JOIN v_approval a ON a.entity=i.entity)", 1, 0, 0, 0),
-    _stage("S2_EVIDENCE", "v_evidence", 1, 1, 1, 1), _stage("S3_ATTRIBUTED", f"({strict_sql('v_evidence', 1)})", 1, 1, 1, 1),
-    _stage("S4_MONOTHERAPY", f"({strict_sql('v_evidence', 3)})", 1, 1, 1, 1), _stage("S5_TREATMENT", "v_final", 1, 1, 1, 1)])
+    _stage("S0_COHORT", "v_approval", 0, 0, 0, 0), _stage("S1_LINKED", "v_linked", 1, 0, 0, 0), _stage("S2_COMPLETED", "v_done", 1, 0, 0, 0), _stage("S3_RESULTS", "v_results", 1, 1, 0, 1),
+    _stage("S4_DENOMINATOR", "v_results_den", 1, 1, 0, 1), _stage("S5_MAPPED", "v_results_code", 1, 1, 1, 1), _stage("S6_ATTRIBUTED", f"({strict_sql('v_results_code', 1)})", 1, 1, 1, 1),
+    _stage("S7_MONOTHERAPY", f"({strict_sql('v_results_code', 3)})", 1, 1, 1, 1), _stage("S8_TREATMENT", f"({strict_sql('v_results_code')})", 1, 1, 1, 1),
+    _stage("S9_PAIRS", f"(SELECT DISTINCT entity, event, approval_year FROM ({strict_sql('v_results_code')}))", 0, 0, 1, 0)])
 
 
 @query("stage_funnel", _FUN, "", "C-9 A-20")
 def _(t):
-    a = C.attribute_arms(t.evidence, t.result_group, t.design_group)
-    m = C.target_monotherapy(a, C.arm_composition(t.design_group, t.arm_bridge, t.intervention), t.arm_bridge, t.intervention)
-    linked = t.intervention.select("entity", "nct_id").distinct().join(t.approval.select("entity", "approval_year"), "entity")
-    stages = [("COHORT", t.approval), ("LINKED", linked), ("EVIDENCE", t.evidence), ("ATTRIBUTED", a), ("MONOTHERAPY", m), ("TREATMENT", C.treatment_arms(m))]
+    """Ten stages, each from the one before, over four window starts."""
+    anchors = t.trial_anchor.select("entity", "anchor", "approval_year")
+    linked = t.intervention.select("entity", "nct_id").distinct().join(anchors, "entity")
+    done = C.completed_before(linked.join(t.trial.select("nct_id", "completion_date", "completion_type", "phase"), "nct_id"))
+    results = done.join(t.ae_row.withColumnRenamed("event", "term"), ["nct_id", "entity"])
+    den = C.valid_denominator(results)
+    codes = t.preferred.join(T.primary_hierarchy(t.hierarchy).where("hierarchy_status = 'RESOLVED'").select("code"), "code")
+    mapped = A.keep(den.join(codes.select("term"), "term").withColumn("event", F.col("term")), "funnel_mapped")
+    a = A.keep(C.attribute_arms(mapped, t.result_group, t.design_group), "funnel_attributed")
+    m = A.keep(C.target_monotherapy(a, C.arm_composition(t.design_group, t.arm_bridge, t.intervention), t.arm_bridge, t.intervention), "funnel_mono")
+    final = C.treatment_arms(m)
+    stages = [
+        ("COHORT", t.approval), ("LINKED", linked), ("COMPLETED", done), ("RESULTS", results), ("DENOMINATOR", den), ("MAPPED", mapped), ("ATTRIBUTED", a), ("MONOTHERAPY", m),
+        ("TREATMENT", final), ("PAIRS", final.select("entity", "event", "approval_year").distinct())]
     counts = {"entities": ["entity"], "trials": ["nct_id"], "arms": ["rgid"], "events": ["event"], "pairs": ["entity", "event"]}
-    return A.funnel(stages, "approval_year", [1996, 1997], 1998, counts, row_id="affected")
+    return A.funnel(stages, "approval_year", _STARTS, 1998, counts, row_id="row_no")
 
 
 VIEWS["v_defrow"] = """SELECT c.*, x.anchor, u.definition FROM v_ceil c JOIN v_anchor2 x ON x.entity=c.entity, (VALUES ('STRICT_COMPLETION'),('RESULTS_POSTED'),('WIDE_COMPLETION')) u(definition)

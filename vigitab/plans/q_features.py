@@ -212,25 +212,32 @@ def _(t):
     return X.supported(A.keep(X.importance(glong(t))), "linear", "tree")
 
 
-VIEWS["v_dep0"] = "SELECT feature, contribution, CASE WHEN feature IN ('f3','f7') THEN greatest(round(raw*4),1) ELSE raw END AS raw FROM v_glong WHERE family='linear'"
-VIEWS["v_dep"] = """WITH e AS (SELECT feature, list_sort(list_distinct(quantile_cont(raw,[0,0.2,0.4,0.6,0.8,1.0]))) AS e, count(DISTINCT raw) AS d FROM v_dep0 GROUP BY 1), s AS (SELECT feature, list_sort(list_distinct(quantile_cont(raw,[0,0.2,0.4,0.6,0.8,1.0]))) AS s FROM (SELECT DISTINCT feature, raw FROM v_dep0) GROUP BY 1),
- t AS (SELECT feature, CASE WHEN len(e)-1<3 AND d>=3 THEN s ELSE e END AS ed, len(e)-1<3 AND d>=3 AS fallback FROM e JOIN s USING (feature)) SELECT feature, greatest(len(list_filter(ed, lambda q: q<raw)),1)::INT AS bin, count(*) AS n, min(raw) AS min_value, max(raw) AS max_value, avg(raw) AS mean_value,
- avg(contribution) AS mean_contribution, bool_or(fallback) AS fallback FROM v_dep0 JOIN t USING (feature) GROUP BY 1,2"""
+VIEWS["v_dep0"] = """SELECT feature, contribution, CASE WHEN feature IN ('f3','f7') THEN greatest(round(raw*4),1) WHEN feature='f5' THEN (raw>0)::INT WHEN feature='f2' AND vec_id%13=0 THEN NULL ELSE raw END AS raw FROM v_glong WHERE family='linear'"""
+VIEWS["v_dep"] = """WITH k AS (SELECT * FROM v_dep0 WHERE raw IS NOT NULL), e AS (SELECT feature, list_sort(list_distinct(quantile_cont(raw,[0,0.2,0.4,0.6,0.8,1.0]))) AS e, count(DISTINCT raw) AS d FROM k GROUP BY 1), s AS (SELECT feature, list_sort(list_distinct(quantile_cont(raw,[0,0.2,0.4,0.6,0.8,1.0]))) AS s FROM (SELECT DISTINCT feature, raw FROM k) GROUP BY 1),
+ t AS (SELECT feature, CASE WHEN len(e)-1<3 AND d>=3 THEN s ELSE e END AS ed, CASE WHEN feature='f5' THEN 'BINARY' WHEN len(e)-1<3 AND d>=3 THEN 'DISTINCT_VALUE_QUANTILES' ELSE 'QUANTILES' END AS method FROM e JOIN s USING (feature)),
+ m AS (SELECT feature, count(raw) AS known, count(*)-count(raw) AS missing FROM v_dep0 GROUP BY 1)
+ SELECT feature, CASE WHEN method='BINARY' THEN raw ELSE greatest(len(list_filter(ed, lambda q: q<raw)),1) END::INT AS bin, count(*) AS n, min(raw) AS min_value, max(raw) AS max_value, avg(raw) AS mean_value, avg(contribution) AS mean_contribution, max(method) AS method,
+ median(raw) AS median_value, median(contribution) AS median_contribution, max(known) AS known, max(missing) AS missing FROM k JOIN t USING (feature) JOIN m USING (feature) GROUP BY 1,2"""
 
 
 def dep(t):
-    g = glong(t).where("family = 'linear'")
-    return X.dependence(g.withColumn("raw", F.when(F.col("feature").isin("f3", "f7"), F.greatest(F.round(F.col("raw") * 4), F.lit(1.0))).otherwise(F.col("raw"))))
+    """One feature made binary, one with missing values, two with heavy ties."""
+    raw = F.col("raw")
+    kinds = F.when(F.col("feature").isin("f3", "f7"), F.greatest(F.round(raw * 4), F.lit(1.0))).when(F.col("feature") == "f5", (raw > 0).cast("double"))
+    kinds = kinds.when((F.col("feature") == "f2") & (F.col("vec_id") % 13 == 0), F.lit(None)).otherwise(raw)
+    return X.dependence(glong(t).where("family = 'linear'").withColumn("raw", kinds), binary=["f5"])
 
 
-@query("binned_response", "SELECT * FROM v_dep", "min_value max_value mean_value mean_contribution", "X-11 W-6")
+@query("binned_response", "SELECT * FROM v_dep", "min_value max_value mean_value mean_contribution median_value median_contribution", "X-11 W-6")
 def _(t):
     return dep(t)
 
 
-@query("response_shape", """WITH b AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY mean_value) AS rv, rank() OVER (PARTITION BY feature ORDER BY mean_contribution) AS rc, mean_contribution-lag(mean_contribution) OVER (PARTITION BY feature ORDER BY bin) AS d FROM v_dep),
- g AS (SELECT feature, count(*) AS bins, round(corr(rv,rc),12) AS rho, max_by(mean_contribution,bin)-min_by(mean_contribution,bin) AS change, max(mean_contribution)-min(mean_contribution) AS r, bool_or(d>0) AS up, bool_or(d<0) AS dn FROM b GROUP BY 1)
- SELECT feature, bins, rho, change, CASE WHEN bins<3 OR r<=1e-6 THEN 'no clear direction' WHEN rho>=0.8 AND change>0 THEN 'increasing' WHEN rho<=-0.8 AND change<0 THEN 'decreasing' WHEN up AND dn THEN 'nonmonotonic' ELSE 'no clear direction' END AS shape FROM g""", "rho change", "X-12 W-7")
+@query("response_shape", """WITH r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY median_value)+(count(*) OVER (PARTITION BY feature, median_value)-1)/2.0 AS rv, rank() OVER (PARTITION BY feature ORDER BY mean_contribution)+(count(*) OVER (PARTITION BY feature, mean_contribution)-1)/2.0 AS rc,
+ mean_contribution-lag(mean_contribution) OVER (PARTITION BY feature ORDER BY bin) AS d FROM v_dep),
+ g AS (SELECT feature, count(*) AS bins, round(corr(rv,rc),12) AS rho, max_by(mean_contribution,bin)-min_by(mean_contribution,bin) AS change, max(mean_contribution)-min(mean_contribution) AS r, bool_or(method='BINARY') AS bi, bool_or(d>0) AS up, bool_or(d<0) AS dn FROM r GROUP BY 1)
+ SELECT feature, bins, rho, change, CASE WHEN r<=1e-6 OR bins<(CASE WHEN bi THEN 2 ELSE 3 END) THEN 'no clear direction' WHEN bi THEN CASE WHEN change>0 THEN 'higher when present' ELSE 'lower when present' END WHEN rho>=0.8 AND change>0 THEN 'increasing' WHEN rho<=-0.8 AND change<0 THEN 'decreasing'
+ WHEN up AND dn THEN 'nonmonotonic' ELSE 'no clear direction' END AS shape FROM g""", "rho change", "X-12 W-7")
 def _(t):
     return X.shape_label(A.keep(dep(t)))
 

@@ -1,14 +1,20 @@
-"""Registered queries: replication in the second database, with limits from whole entities."""
+"""Registered queries: replication in the second database, and other endpoints and horizons, with limits from whole entities."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..functions import numeric as N
+from ..functions import text as X
+from ..operators import aggregates as A
 from ..operators import describe as D
+from ..operators import evaluate as E
 from ..operators import joins as J
 from ..operators import resample as R
 from ..operators import signals as S
-from .q_resample import REPS, SEED, draws
+from .oracle_views import VIEWS
+from .q_resample import REPS, SEED, draws, metric_sql
 from .q_signals import _DB2, _UNION, REP_MIN, second_db
 from .registry import query
 
@@ -42,3 +48,42 @@ def _(t):
 def _(t):
     g = tagged(t).groupBy("coverage_class").agg(F.count(F.when(F.col("assessable"), 1)).alias("total"), F.count(F.when(F.col("replicated"), 1)).alias("n"))
     return D.denominator_table(g.where("total > 0"), "coverage_class", "n", "total")
+
+
+# --- endpoints and horizons -------------------------------------------------
+
+#: (endpoint, horizon in years): the first is the one the scores stand for.
+ENDPOINTS = [("criterion_r", 3), ("consensus", 3), ("criterion_r", 2), ("criterion_r", 1)]
+_HASH = "((('0x'||substr(md5(entity||'|'||event),1,8))::BIGINT%10000)+0.5::DOUBLE)/10000"
+VIEWS["v_endpoint"] = f"""WITH w AS (SELECT entity, event, {_HASH} AS u, coalesce(bool_or(criterion_r) FILTER (WHERE horizon=3),false)::INT AS y3, {', '.join(f"coalesce(bool_or({e}) FILTER (WHERE horizon={h}),false)::INT AS {e}_{h}" for e, h in ENDPOINTS)} FROM v_labels GROUP BY 1,2)
+ SELECT entity, event, x.endpoint, x.horizon, x.y, s.score_set, s.p FROM w, LATERAL (VALUES {', '.join(f"('{e}',{h},{e}_{h})" for e, h in ENDPOINTS)}) x(endpoint, horizon, y), LATERAL (VALUES ('p0', round(u,2)), ('p1', round(0.7*u+0.3*y3,2))) s(score_set, p)"""
+
+
+def endpoint_scores(t):
+    """Two nested scores of every candidate pair against each endpoint; a missing label counts as none."""
+    wide = S.label_wide(t.labels_h, fixed.HORIZONS)
+    u = (F.conv(F.substring(X.pair_id("entity", "event"), 1, 8), 16, 10).cast("long") % 10000 + 0.5) / 10000
+    y = lambda e, h: F.coalesce(F.col(f"{e}_{h}y").cast("int"), F.lit(0))
+    labels = F.array(*(F.struct(F.lit(e).alias("endpoint"), F.lit(h).alias("horizon"), y(e, h).alias("y")) for e, h in ENDPOINTS))
+    scores = wide.select("entity", "event", F.round(u, 2).alias("p0"), F.round(0.7 * u + 0.3 * y(*ENDPOINTS[0]), 2).alias("p1"), F.explode(labels).alias("l"))
+    return E.stack_scores(scores.select("entity", "event", "l.*", "p0", "p1"), ["entity", "event", "endpoint", "horizon", "y"], ["p0", "p1"])
+
+
+_BY = ["endpoint", "horizon", "score_set"]
+
+
+@query("endpoint_performance", f"SELECT endpoint, horizon, score_set, rows, positives, prevalence, average_precision, auroc, ap_lift FROM ({metric_sql('(SELECT * REPLACE (least(greatest(p,1e-6),1-1e-6) AS p) FROM v_endpoint)', 'endpoint, horizon, score_set')})",
+       "prevalence average_precision auroc ap_lift", "E-16 D-29")
+def _(t):
+    clipped = endpoint_scores(t).withColumn("p", N.clip("p", fixed.PRED_CLIP, 1 - fixed.PRED_CLIP))
+    return E.metrics_by(clipped, _BY, "y", "p").select(*_BY, "rows", "positives", "prevalence", "average_precision", "auroc", "ap_lift")
+
+
+@query("endpoint_increment", f"""WITH w AS ({draws('SELECT DISTINCT entity FROM v_endpoint', 'entity')}), c AS (SELECT endpoint, horizon, score_set, entity, p, sum(y)::DOUBLE AS pos, sum(1-y)::DOUBLE AS neg FROM v_endpoint GROUP BY 1,2,3,4,5),
+ g AS (SELECT endpoint, horizon, score_set, rep, p, sum(w*pos) AS pos, sum(w*neg) AS neg FROM c JOIN w USING (entity) GROUP BY 1,2,3,4,5), r AS (SELECT *, sum(pos) OVER q AS cp, sum(neg) OVER q AS cn FROM g WINDOW q AS (PARTITION BY endpoint, horizon, score_set, rep ORDER BY p DESC)),
+ b AS (SELECT endpoint, horizon, score_set, rep, sum(pos*cp/nullif(cp+cn,0))/nullif(sum(pos),0) AS ap FROM r GROUP BY 1,2,3,4)
+ SELECT a.endpoint, a.horizon, 'average_precision' AS measure, quantile_cont(b.ap-a.ap,0.5) AS median, quantile_cont(b.ap-a.ap,0.025) AS low, quantile_cont(b.ap-a.ap,0.975) AS high, count(b.ap-a.ap) AS valid
+ FROM b a JOIN b ON a.endpoint=b.endpoint AND a.horizon=b.horizon AND a.rep=b.rep AND a.score_set='p0' AND b.score_set='p1' GROUP BY 1,2""", "median low high", "E-16 E-12")
+def _(t):
+    boot = A.keep(R.bootstrap_metrics(endpoint_scores(t), _BY, "entity", "y", "p", REPS, SEED), "endpoint_boot")
+    return E.paired_increment(boot, "rep", ["endpoint", "horizon"], "score_set", "p0", "p1", ["average_precision"])
