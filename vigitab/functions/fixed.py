@@ -75,11 +75,11 @@ DEV_CODE = r"^[A-Za-z]{1,8}[- ]?\d{2,}[A-Za-z0-9-]*$"
 
 # fixed values: boundary-scan patterns
 BOUNDARY_PATTERNS = {
-    "local user path": "/" + "Users/",
-    "api secret": "sk" + r"-[A-Za-z0-9_-]{20,}",
-    "repository token": "gh" + r"[pousr]_[A-Za-z0-9]{20,}",
-    "cloud access key": "AK" + r"IA[0-9A-Z]{16}",
-    "private key": "-----BEGIN " + r"(?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "local user path": "/Users/",
+    "api secret": r"sk-[A-Za-z0-9_-]{20,}",
+    "repository token": r"gh[pousr]_[A-Za-z0-9]{20,}",
+    "cloud access key": r"AKIA[0-9A-Z]{16}",
+    "private key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
     "assigned secret": r"(?i)(?:api[_-]?key|access[_-]?token|password|passwd|secret)\s*[:=]\s*[\"'][^\"']{8,}[\"']",
 }
 
