@@ -8,10 +8,12 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import isfinite
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,7 +132,7 @@ def mean_log_loss(scored: DataFrame, y: str) -> float:
     return scored.agg(F.avg(-(F.col(y) * F.ln(p) + (1 - F.col(y)) * F.ln(1 - p)))).first()[0]
 
 
-def tune(train: DataFrame, y: str, fold: str, folds: int, prep, grid: Sequence[dict], max_iter: int = 10_000, boosted: bool = False) -> DataFrame:
+def tune(train: DataFrame, y: str, fold: str, folds: int, prep, grid: Sequence[dict], max_iter: int = 10_000, boosted: bool = False, parallelism: int = 4) -> DataFrame:
     """Mean inner log loss of each setting of either family; preprocessing and penalty are those of each inner training part.
 
     A setting is valid if every inner fit converged to a finite loss. The lowest mean loss among valid settings is chosen, ties go to the
@@ -142,11 +144,15 @@ def tune(train: DataFrame, y: str, fold: str, folds: int, prep, grid: Sequence[d
         ready = keep(pre.apply(train).select(y, fold, "features"), "inner_split")
         part, check = ready.where(F.col(fold) != k).cache(), ready.where(F.col(fold) == k).cache()
         rows = part.count()
-        for i, g in enumerate(grid):
+
+        def one(g: dict) -> tuple[float | None, bool]:
             model = fit_boosted(part, y, g) if boosted else fit_elastic_net(part, y, g["C"], g["mix"], rows, max_iter)
-            loss = mean_log_loss(positive_probability(model.transform(check)), y)
-            valid[i] = valid[i] and (boosted or converged(model, max_iter)) and loss is not None and isfinite(loss)
-            sums[i] += loss if loss is not None else float("nan")
+            return mean_log_loss(positive_probability(model.transform(check)), y), boosted or converged(model, max_iter)
+
+        with ThreadPool(parallelism) as pool:  # fits are short and independent: several run at a time
+            for i, (loss, ended) in enumerate(pool.map(inheritable_thread_target(train.sparkSession)(one), grid)):
+                valid[i] = valid[i] and ended and loss is not None and isfinite(loss)
+                sums[i] += loss if loss is not None else float("nan")
         part.unpersist()
         check.unpersist()
     rows = [(i, json.dumps(g), sums[i] / folds, valid[i]) for i, g in enumerate(grid)]
