@@ -60,7 +60,8 @@ def calibration(df: DataFrame, by: Sequence[str], y: str, p: str, w: str | None
     """Calibration intercept (offset logit) and slope by Newton steps for all groups at once.
 
     Rows are summed per distinct score first. The parameters are a table with a row per group: each step joins it to the sums, moves every
-    group that has not settled, and writes the table; the driver only learns how many groups are left.
+    group that has not settled, and writes the table; the driver only learns whether any group is left. A
+    parameter that has not settled is null and its flag false.
     """
     by = list(by)
     keyed = tie_groups(df, by, y, p, w).withColumn("_x", N.logit("p"))
@@ -94,7 +95,7 @@ def calibration(df: DataFrame, by: Sequence[str], y: str, p: str, w: str | None
         if nxt.where(F.col("_moved") & open_).isEmpty():
             break
     return state.select(
-        *by, F.col("_a").alias("calibration_intercept"), F.col("_b").alias("calibration_slope"), F.col("_done_a").alias("intercept_ok"), F.col("_done_s").alias("slope_ok")).drop("_g")
+        *by, F.when(F.col("_done_a"), F.col("_a")).alias("calibration_intercept"), F.when(F.col("_done_s"), F.col("_b")).alias("calibration_slope"), F.col("_done_a").alias("intercept_ok"), F.col("_done_s").alias("slope_ok")).drop("_g")
 
 
 def calibration_bins(df: DataFrame, by: Sequence[str], y: str, p: str, bins: int = 10) -> DataFrame:

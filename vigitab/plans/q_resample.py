@@ -166,14 +166,13 @@ def _(t):
 
 
 VIEWS["v_ties"] = "SELECT score_set, ln(p/(1-p)) AS x, count(*)::DOUBLE AS w, sum(y)::DOUBLE AS y FROM v_predl GROUP BY score_set, p"
-#: Twelve Newton steps from (0, 1), far more than these scores need to settle to the digits compared.
-_NEWTON = """WITH RECURSIVE n(score_set, k, a, c, b) AS (SELECT DISTINCT score_set, 0, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE FROM v_ties UNION ALL
- SELECT score_set, k+1, a+ga/va, c+(h11*g0-h01*g1)/(h00*h11-h01*h01), b+(h00*g1-h01*g0)/(h00*h11-h01*h01) FROM (
-  SELECT n.score_set, n.k, n.a, n.c, n.b, sum(t.y-t.w/(1+exp(-(n.a+t.x)))) AS ga, sum(t.w/(1+exp(-(n.a+t.x)))/(1+exp(n.a+t.x))) AS va,
-   sum(t.y-t.w/(1+exp(-(n.c+n.b*t.x)))) AS g0, sum(t.x*(t.y-t.w/(1+exp(-(n.c+n.b*t.x))))) AS g1, sum(t.w/(1+exp(-(n.c+n.b*t.x)))/(1+exp(n.c+n.b*t.x))) AS h00,
-   sum(t.x*t.w/(1+exp(-(n.c+n.b*t.x)))/(1+exp(n.c+n.b*t.x))) AS h01, sum(t.x*t.x*t.w/(1+exp(-(n.c+n.b*t.x)))/(1+exp(n.c+n.b*t.x))) AS h11
-  FROM n JOIN v_ties t ON t.score_set=n.score_set WHERE n.k<12 GROUP BY n.score_set, n.k, n.a, n.c, n.b))
- SELECT score_set, a AS calibration_intercept, b AS calibration_slope, true AS intercept_ok, true AS slope_ok FROM n WHERE k=12"""
+#: Thirty Newton steps from (0, 1): what settles at all has settled by then to the digits compared; the rest has no value.
+_NEWTON = """WITH RECURSIVE n(score_set, k, a, c, b, da, ds) AS (SELECT DISTINCT score_set, 0, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM v_ties UNION ALL
+ SELECT score_set, k+1, a+ga/va, c+(h11*g0-h01*g1)/(h00*h11-h01*h01), b+(h00*g1-h01*g0)/(h00*h11-h01*h01), abs(ga/va), greatest(abs((h11*g0-h01*g1)/(h00*h11-h01*h01)), abs((h00*g1-h01*g0)/(h00*h11-h01*h01))) FROM (
+  SELECT score_set, k, a, c, b, sum(y-w*m1) AS ga, sum(w*m1*(1-m1)) AS va, sum(y-w*m2) AS g0, sum(x*(y-w*m2)) AS g1, sum(w*m2*(1-m2)) AS h00, sum(x*w*m2*(1-m2)) AS h01, sum(x*x*w*m2*(1-m2)) AS h11
+  FROM (SELECT n.*, t.x, t.y, t.w, 1/(1+exp(-(n.a+t.x))) AS m1, 1/(1+exp(-(n.c+n.b*t.x))) AS m2 FROM n JOIN v_ties t ON t.score_set=n.score_set WHERE n.k<30) GROUP BY score_set, k, a, c, b))
+ SELECT score_set, CASE WHEN ok_a THEN a END AS calibration_intercept, CASE WHEN ok_s THEN b END AS calibration_slope, ok_a AS intercept_ok, ok_s AS slope_ok
+ FROM (SELECT *, isfinite(da) AND da<1e-8 AS ok_a, isfinite(ds) AND ds<1e-8 AS ok_s FROM n WHERE k=30)"""
 
 
 @query("calibration_newton", _NEWTON, "calibration_intercept calibration_slope", "E-5 E-6")
