@@ -18,14 +18,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, map_batches, whole_text
 
 #: The published split pattern of byte-level BPE (a fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_MERGE = np.iinfo(np.int64).max
 PLACE_BITS = 32
 #: Leaves of the trees merged side by side at once, and pieces remembered by one task.
-TREE_CELLS, KNOWN_PIECES = 1 << 19, 400_000
+TREE_CELLS, KNOWN_PIECES = 1 << 19, 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -183,7 +183,7 @@ def decoded(docs: DataFrame, vocabulary_path: str, ids: str = "ids", out: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in kept)).schema) + f", `{out}` string"
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def digests(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
@@ -218,7 +218,7 @@ def _mapped(docs: DataFrame, path: str, text: str, made: list[tuple[str, str]],
                 [*(batch.column(f.name) for f in kept), *(pa.array(cells[n], types[t]) for n, t in made)], [*(f.name for f in kept), *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{n}` {t}" for n, t in made)])
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept), whole_text(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return map_batches(docs.select(*(F.col(f"`{f.name}`") for f in kept), whole_text(f"`{text}`").alias("__text")), run, schema)
 
 
 def default_vocabulary() -> str:

@@ -33,6 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch handed to Python: texts are long, and both sides hold a batch as a whole.
+ARROW_ROWS = 1000
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow in batches of ARROW_ROWS rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

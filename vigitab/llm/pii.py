@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, map_batches, whole_text
 
 # Character classes, cues and account lengths.
 DIGITS = frozenset("0123456789")
@@ -241,8 +241,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Null and empty texts have no spans. Kinds may overlap one another, spans of one kind don't. Every row stands for itself, so repeated
     rows get equal answers and an empty table gives an empty result. Other columns are not read.
     """
-    return docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).mapInArrow(
-        _scan, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")
+    return map_batches(
+        docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")), _scan, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

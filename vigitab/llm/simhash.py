@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, stored, whole_text
+from .common import documents, join_groups, map_batches, stored, whole_text
 
 BUDGET = 2
 #: (rotation that brings the block to the top, bits of the block): BUDGET + 1 blocks.
@@ -52,8 +52,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fingerprint (its 64 bits as a long) of every row; a null text has no words."""
-    return docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).mapInArrow(
-        _fingerprints, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fingerprint long")
+    return map_batches(
+        docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")), _fingerprints, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fingerprint long")
 
 
 def trie_pairs(groups: np.ndarray, sides: np.ndarray, values: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

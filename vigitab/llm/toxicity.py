@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored, whole_text
+from .common import documents, map_batches, stored, whole_text
 
 #: Labelled rows used for fitting (a bound of the training sample, taken in the order of a seeded hash) and features kept.
 TRAIN_ROWS, MAX_FEATURES = 8000, 2000
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n, bad = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < bad < n:
         return None
-    counts = sample.repartition(64, "doc_id").mapInArrow(_feature_counts, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"))
+    counts = map_batches(sample.repartition(64, "doc_id"), _feature_counts, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"))
     a, b = F.col("t").cast("double"), (F.col("n") - F.col("t")).cast("double")
     chi2 = F.lit(float(n)) * F.pow(a * (n - bad - b) - b * (bad - a), 2) / (F.lit(float(bad) * (n - bad)) * F.col("n") * F.greatest(n - F.col("n"), F.lit(1)))
     kept = counts.where(F.col("n") >= LEAST_ROWS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
@@ -196,8 +196,8 @@ def severities(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", tex
                 [batch.column("doc_id"), pa.array(severity), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0].copy()), pa.array(toxic)],
                 ["doc_id", "severity", "grade", "score", "toxic"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).mapInArrow(
-        run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, severity double, grade int, score double, toxic boolean")
+    return map_batches(
+        docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, severity double, grade int, score double, toxic boolean")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
