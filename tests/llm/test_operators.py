@@ -257,6 +257,37 @@ def test_language_of_odd_rows(odd, none):
     assert {(r.lang_pred, r.score, r.rejected) for r in unlabelled} == {("und", 0.0, True)}
 
 
+def test_statistics_are_those_of_the_whole_table(spark):
+    texts = [prose(lang, s) for lang in PROSE for s in range(30)] + [f"{chr(97 + k % 26)}{chr(97 + k // 26)} rare" for k in range(100)]
+    langs = [lang for lang in PROSE for _ in range(30)] + [f"label{k}" for k in range(100)]
+    df = frame(spark, texts, langs)
+    counts = {}
+    for lang in set(langs):
+        parts = [langid.trigrams(langid.folded(t)) for t, own in zip(texts, langs) if own == lang]
+        counts[lang] = np.unique(np.concatenate(parts), return_counts=True)
+    whole, _ = langid.whole_orders(counts)
+    names, cut = sorted(counts), langid.train(df, room=(2000, 800, 950))
+    for order, room in zip((0, 1, 2), (2000, 800, 950)):
+        rows = [langid.trigram_counts(df.select("lang", "text"))]
+        rows.append(rows[0].groupBy("lang", F.col("gram").bitwiseAND(int(langid.LOW)).alias("gram")).agg(F.count("n").alias("n")))
+        rows.append(rows[1].groupBy("lang", F.col("gram").bitwiseAND(int(langid.ONE)).alias("gram")).agg(F.count("n").alias("n")))
+        got = langid.stored_order(rows[2 - order], names, room)
+        assert np.allclose(got.discounts, whole[order].discounts) and len(got.gram) <= room
+        want = {(k, g): (n, t) for k, g, n, t in zip(whole[order].lang, whole[order].gram, whole[order].n, whole[order].total)}
+        assert all(want[k, g] == (n, t) for k, g, n, t in zip(got.lang, got.gram, got.n, got.total))
+    assert len(cut.three.values) < len(whole[2].gram) and set(cut.langs) == set(names)
+    assert all(cut.langs[int(np.argmin(cut.entropies(prose(lang, 99))[1]))] == lang for lang in PROSE)
+    letters = np.unique(np.concatenate([langid.folded(t) for t in texts]))
+    for a, b in [(32, 32), (ord("t"), ord("h")), (ord("z"), ord("q"))]:
+        p = sum(2 ** cut._total(np.array([a << 42 | b << 21 | int(c)], dtype=np.uint64)) for c in letters)
+        assert np.allclose(p + 2 ** cut._total(np.array([a << 42 | b << 21 | 0x4E00], dtype=np.uint64)), 1, atol=1e-4)
+
+
+def test_rare_labels_leave_room_to_large_ones():
+    sizes = {"en": 5000, "de": 4000, **{f"label{k}": 2 for k in range(1000)}}
+    assert langid.shares_of_room(sizes, 8000) == 3000 and langid.shares_of_room(sizes, 20_000) == 20_000
+
+
 # --- quality rules ----------------------------------------------------------
 
 
