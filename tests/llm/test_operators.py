@@ -325,6 +325,19 @@ def test_divergent_documents_fall(spark):
     assert all(got[i] for i in range(60)) and not got[60] and not got[61]
 
 
+def test_rare_languages_have_their_own_reference(spark):
+    rng, arabic = random.Random(5), "الماء في هذا النهر القديم يجري فوق الحجارة وتحت الجسر الطويل حيث يلعب الأطفال".split()
+    rare = [" ".join(rng.choice(arabic) for _ in range(150)) for _ in range(21)]
+    texts = [prose("en", s, 20_000) for s in range(170)] + rare + [rare[0], rare[1], " ".join(w + "###" for w in rare[2].split())]
+    langs = ["en"] * 170 + ["ar"] * 21 + [None, "fa", "ar"]
+    df = frame(spark, texts, langs)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert len(got) == len(texts) and 1000 * 22 * 150 < 170 * 20_000
+    assert all(got[i].kept and got[i].class_distance is not None and got[i].word_distance is not None for i in range(170, 191))
+    assert all(got[i].kept and got[i].class_distance is None and got[i].word_distance is None for i in (191, 192))
+    assert not got[193].kept
+
+
 def test_distance_is_jensen_shannon(spark):
     p, q = [0.5, 0.5, 0.0], [0.1, 0.2, 0.7]
     m = [(a + b) / 2 for a, b in zip(p, q)]

@@ -13,16 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HOT_SHARE, SPACE, documents, let, stored, whole_text
+from .common import HOT_SHARE, SPACE, documents, join_groups, let, stored, whole_text
 
 #: Patterns of the character classes, taken away one after the other; what is left is the class "other".
 CLASSES = {"lower": r"\p{Ll}+", "letter": r"\p{L}+", "space": f"{SPACE}+", "digit": r"\p{N}+", "stop": r"[.,;:!?'\x22()\x2D]+", "symbol": r"[#*$%&|<>]+"}
 WINDOW = 8
 COMMON_WORDS = 24
-#: Key of the reference over all languages, for documents without a language or of a rare one.
-ANY = "(any)"
 #: (least length, bound of the distance): class histogram by characters, word histogram by words.
 CLASS_TEST, WORD_TEST = (200, 0.25), (60, 0.30)
+#: A language with less text than this many times a test's least length has no histogram for it.
+LEAST_REFERENCE = 50
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -73,53 +73,50 @@ CLASS_COUNTS = [f"n_{c}" for c in (*CLASSES, "other")]
 
 
 def references(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """One row per language key: class_shares, common (words, most frequent first), word_shares (with one bin for the rest).
+    """One row per non-null language: n_docs, class_shares, common (words, most frequent first), word_shares (with one bin for the rest).
 
-    A language with a thousandth of all words or more has a row of its own, so there are HOT_SHARE rows and one for ANY at most; common
-    words are words with a thousandth of the language's words or more, COMMON_WORDS at most.
+    Common words are words with a thousandth of the language's words or more, COMMON_WORDS at most. The shares are null where the language
+    has less than LEAST_REFERENCE times the text of the shortest document tested.
     """
-    base = counted(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")), "text")
-    sums = stored(base.groupBy("lang").agg(*(F.sum(c).alias(c) for c in CLASS_COUNTS), F.sum("n_words").alias("n_words")), "class_sums")
-    words = stored(base.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count(), "word_counts")
-    total = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    own = [r[0] for r in sums.where(F.col("lang").isNotNull() & (F.col("n_words") > 0) & (F.col("n_words") * HOT_SHARE >= total)).select("lang").collect()]
-    keyed = lambda df: df.where(F.col("lang").isin(own)).withColumnRenamed("lang", "key").unionByName(df.drop("lang").withColumn("key", F.lit(ANY)))
-    classes = keyed(sums).groupBy("key").agg(*(F.sum(c).cast("double").alias(c) for c in CLASS_COUNTS), F.sum("n_words").cast("double").alias("n_words"))
-    counts = keyed(words).groupBy("key", "word").agg(F.sum("count").alias("n")).join(F.broadcast(classes.select("key", "n_words")), "key")
-    frequent = counts.where(F.col("n") * HOT_SHARE >= F.col("n_words"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "word"))
-    top = frequent.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    out = classes.join(top, "key", "left").withColumn("top", F.coalesce("top", F.array().cast(top.schema["top"].dataType)))
+    base = counted(docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")), "text")
+    classes = stored(base.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), *(F.sum(c).cast("double").alias(c) for c in CLASS_COUNTS), F.sum("n_words").cast("double").alias("n_words")), "class_sums")
+    words = stored(base.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "word_counts")
+    sizes = stored(words.groupBy("lang").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("distinct")), "word_sums")
+    frequent = join_groups(words, sizes, "lang", words.count(), "distinct").where(F.col("n") * HOT_SHARE >= F.col("all"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # of at most HOT_SHARE words
+    top = frequent.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
+    out = classes.join(top, "lang", "left").withColumn("top", F.coalesce("top", F.array().cast(top.schema["top"].dataType)))
     hits = F.aggregate("top", F.lit(0.0), lambda a, x: a + x["n"])
+    n_chars = sum(F.col(c) for c in CLASS_COUNTS)
     return out.select(
-        "key", shares(F.array(*CLASS_COUNTS)).alias("class_shares"), F.transform("top", lambda x: x["word"]).alias("common"),
-        shares(F.concat(F.transform("top", lambda x: x["n"].cast("double")), F.array(F.col("n_words") - hits))).alias("word_shares"), F.lit(True).alias("known"))
+        "lang", "n_docs", F.when(n_chars >= LEAST_REFERENCE * CLASS_TEST[0], shares(F.array(*CLASS_COUNTS))).alias("class_shares"), F.transform("top", lambda x: x["word"]).alias("common"),
+        F.when(F.col("n_words") >= LEAST_REFERENCE * WORD_TEST[0], shares(F.concat(F.transform("top", lambda x: x["n"].cast("double")), F.array(F.col("n_words") - hits)))).alias("word_shares"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Return doc_id, lang, the counts, base_failed, class_distance, word_distance (null below the tests' least lengths) and kept.
 
-    A null text counts as empty: no words, base_failed. A null language is compared with the reference over all languages. Rows that
-    repeat an id are judged one by one. An empty table gives an empty result. Other columns are not read.
+    A null text counts as empty: no words, base_failed. A document is compared with its own language only: where that is null or has too
+    little text for a histogram, the distances are null and the counts decide alone. Rows that repeat an id are judged one by one. An
+    empty table gives an empty result. Other columns are not read.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     refs = stored(references(source, "text", "lang"), "references")
-    known = [r[0] for r in refs.select("key").where(F.col("key") != ANY).collect()]
+    total = refs.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    judged = join_groups(source, refs, "lang", total, "n_docs").unionByName(source.where(F.col("lang").isNull()), allowMissingColumns=True)
     lines = F.filter(F.split(whole_text("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashes = F.transform("words", lambda w: F.xxhash64(w))
-    rows = counted(source, "text").select(
+    rows = counted(judged, "text").select(
         "doc_id", "lang", "words", *CLASS_COUNTS, "n_words", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(hashes, repeated_words).alias("n_repeat_words"), F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ANY)).alias("key"))
-    # at most HOT_SHARE + 1 references of a fixed size
-    rows = rows.join(F.broadcast(refs), "key", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+        let(hashes, repeated_words).alias("n_repeat_words"), "class_shares", F.coalesce("common", F.array().cast("array<string>")).alias("common"), "word_shares")
     places = F.filter(F.transform("words", lambda w: F.array_position(F.col("common"), w)), lambda k: k > 0)
     numbers = F.when(F.size("common") > 0, F.sequence(F.lit(1), F.greatest(F.size("common"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
     seen = let(places, lambda p: F.concat(
         F.transform(numbers, lambda k: F.size(F.filter(p, lambda x: x == k)).cast("double")), F.array((F.col("n_words") - F.size(p)).cast("double"))))
     n_chars = sum(F.col(c) for c in CLASS_COUNTS)
     rows = rows.withColumns({
-        "class_distance": F.when(n_chars >= CLASS_TEST[0], js_distance(shares(F.array(*(F.col(c).cast("double") for c in CLASS_COUNTS))), F.col("class_shares"))),
-        "word_distance": F.when(F.col("n_words") >= WORD_TEST[0], js_distance(shares(seen), F.col("word_shares"))),
+        "class_distance": F.when((n_chars >= CLASS_TEST[0]) & F.col("class_shares").isNotNull(), js_distance(shares(F.array(*(F.col(c).cast("double") for c in CLASS_COUNTS))), F.col("class_shares"))),
+        "word_distance": F.when((F.col("n_words") >= WORD_TEST[0]) & F.col("word_shares").isNotNull(), js_distance(shares(seen), F.col("word_shares"))),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
         "word_chars": n_chars - F.col("n_space"), "n_symbols": F.col("n_symbol"),
     })
