@@ -1,5 +1,6 @@
 """Small frames for the corpus operators, and a run of registered queries against their SQL."""
 
+import os
 import sys
 import time
 
@@ -36,7 +37,10 @@ def against_sql(spark, path, name):
     got = sorted(map(repr, (tuple(r) for r in df.select(*cols).collect())))
     took = time.time() - t0
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet{'/*.parquet' if __import__('os').path.isdir(path + '/documents.parquet') else ''}')")
+    for table in ("documents", "benchmark"):
+        at = f"{path}/{table}.parquet"
+        if os.path.exists(at):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{at}{'/*.parquet' if os.path.isdir(at) else ''}')")
     want = sorted(map(repr, con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()))
     if got == want:
         return None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +63,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, count:
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key))
 
 
+#: Bytes of a term stay (A-Z as a-z), all others are blanks: a term is a run of digits, letters of ASCII and bytes from 0x80 on.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+TEXT_PART = 1 << 20
+
+
+def term_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, in lists of about TEXT_PART bytes: a long text is cut between terms."""
+    plain, at = text.translate(TERM_BYTES), 0
+    while at < len(plain):
+        stop = plain.find(b" ", at + TEXT_PART)
+        stop = len(plain) if stop < 0 else stop
+        yield plain[at:stop].split()
+        at = stop
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Compute `value` once for a row and use it any number of times in `body`."""
     return F.transform(F.array(value), body)[0]
