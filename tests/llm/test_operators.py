@@ -78,6 +78,33 @@ def test_index_side_is_not_shuffled(spark):
     assert "Exchange" not in batch._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_batches_meet_a_filled_index(spark, odd, monkeypatch):
+    given, dropped = [], []
+    fresh = exact_dedup.DigestIndex.fresh
+
+    def watched(self, batch):
+        out = fresh(self, batch)
+        given.append(batch.count())
+        dropped.append(given[-1] - out.count())
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" in plan and "Aggregate" not in plan  # the batch is reduced and written before it meets the index
+        assert batch.select("digest").distinct().count() == given[-1]
+        return out
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "fresh", watched)
+    texts = [f"text {k % 30}" for k in range(200)] + [None]
+    df = frame(spark, texts, ids=[*range(200, 0, -1), None])
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, exact_dedup.new_index(spark), batches=4).collect()), key=repr)
+    first = {}
+    for t, d in zip(texts[:200], range(200, 0, -1)):
+        first[t] = min(d, first.get(t, d))
+    want = [(d, first[t], texts.count(t), d == first[t]) for t, d in zip(texts[:200], range(200, 0, -1))] + [(None, None, 1, True)]
+    assert got == sorted(want, key=repr) and len(given) == 4 and dropped[0] == 0 and dropped[1:] == [30, 30, 30]
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    again = exact_dedup.exact_dedup(odd, exact_dedup.new_index(spark), batches=3).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, bytes(r.digest).hex()) for r in again) == expected_groups(rows)
+
+
 # --- near dedup -------------------------------------------------------------
 
 
@@ -126,6 +153,14 @@ def test_near_duplicates(spark, monkeypatch, members):
     assert got == {i: (prints[i], first[roots[i]]) for i in range(len(texts))}
 
 
+def test_null_ids_carry_links(spark, monkeypatch):
+    values = {b"a": 0, b"b": 3, b"c": 15, b"d": 0x7777}
+    monkeypatch.setattr(simhash, "_fingerprints", lambda batches: (
+        simhash.pa.RecordBatch.from_arrays([b.column("doc_id"), simhash.pa.array([values[t.as_py().encode()] for t in b.column("text")], simhash.pa.int64())], ["doc_id", "fingerprint"]) for b in batches))
+    got = simhash.near_duplicates(frame(spark, ["a", "b", "c", "d", "b"], ids=[4, None, 3, None, None])).collect()
+    assert sorted((r.fingerprint, r.doc_id or -1, r.component_id) for r in got) == [(0, 4, 3), (3, -1, 3), (3, -1, 3), (15, 3, 3), (0x7777, -1, None)]
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in odd.collect())
@@ -208,6 +243,23 @@ def test_bpe_equals_the_tokenizers_library(odd, none):
     assert bpe.digests(none, path).collect() == []
 
 
+def test_long_pieces():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    vocabulary = bpe.Vocabulary(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    rng = random.Random(2)
+    for n in (64, 65, 300, 200_000):
+        text = "".join(rng.choices("abcdeéñ", k=n))
+        assert np.frombuffer(bpe.Coder(vocabulary).encode_batch([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_round_trip(spark, odd, none):
+    rows = bpe.round_trip(odd, bpe.default_vocabulary()).collect()
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in rows) and "text" not in rows[0].asDict() and rows[0].words == "mine"
+    assert bpe.round_trip(none, bpe.default_vocabulary()).collect() == []
+
+
 def test_merge_pieces_side_by_side():
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_vocabulary()

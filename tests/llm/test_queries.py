@@ -58,6 +58,24 @@ def test_pipeline_stages(spark, tmp_path):
         step = out
 
 
+def test_stages_on_repeated_rows_null_ids_and_clashing_names(spark, tmp_path):
+    texts = [prose("en", k, 100) for k in range(40)] + [prose("en", 0, 100)] * 2 + [None, "12 34", prose("en", 50, 100)]
+    ids = [*range(40), 0, 90, None, 1, None]  # row 0 twice, a copy under another id, null ids with a rejected and a good text
+    docs = frame(spark, texts, ids=ids).withColumns({c: F.lit("own") for c in ("ids", "decoded", "round_trip", "digest", "kept", "label", "tokens", "key")})
+    step = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, step, str(tmp_path))
+        if name != "bpe":
+            assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}")
+            step = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "language_id":
+            assert {r.doc_id for r in step.collect()} == {*ids}
+        if name == "exact_dedup":
+            assert sorted((r.doc_id for r in step.where("doc_id is not null").collect())) == sorted([*range(40), 1])
+    assert out.where("not round_trip").isEmpty() and out.first().decoded == "own"
+
+
 def test_empty_pipeline(spark, tmp_path):
     path = saved(spark, frame(spark, []), tmp_path)
     assert corpus_pipeline.run(spark, path).collect() == []

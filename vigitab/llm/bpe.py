@@ -25,7 +25,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 NO_MERGE = np.iinfo(np.int64).max
 PLACE_BITS = 32
 #: Leaves of the trees merged side by side at once, and pieces remembered by one task.
-TREE_CELLS, KNOWN_PIECES = 1 << 19, 200_000
+TREE_CELLS, KNOWN_PIECES = 1 << 19, 100_000
+#: Pieces of like length below which each is merged in a tree of its own, and the longest piece that is remembered.
+FEW_PIECES, KNOWN_PIECE = 64, 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,6 +54,9 @@ class Vocabulary:
         left, right, made = (np.array([ids[v] for v in part], dtype=np.int64) for part in zip(*((a, b, a + b) for a, b in pairs)))
         order = np.argsort(left << PLACE_BITS | right)
         self.pairs, self.rank, self.made = (left << PLACE_BITS | right)[order], order.astype(np.int64), made[order]
+        self.merge_of = dict(zip(self.pairs.tolist(), self.rank.tolist()))
+        self.made_by_rank = np.zeros(len(order), dtype=np.int64)
+        self.made_by_rank[self.rank] = self.made
         self.special = special
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
@@ -72,11 +77,50 @@ def merge_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> list[bytes]:
     while at < len(order):
         width = 1 << max(1, int(size[order[at]] - 1).bit_length())
         stop = min(int(np.searchsorted(size[order], width, side="right")), at + max(1, TREE_CELLS // width))
-        _merge_rows(vocabulary, pieces, order[at:stop], width, out)
+        if stop - at < FEW_PIECES and width >= FEW_PIECES:
+            for i in order[at:stop].tolist():
+                out[i] = _merge_one(vocabulary, pieces[i], width)
+        else:
+            _merge_rows(vocabulary, pieces, order[at:stop], width, out)
         at = stop
     return out
 
 
+def _merge_one(vocabulary: Vocabulary, piece: bytes, width: int) -> bytes:
+    """Merge one piece of at most `width` bytes; a path is followed upwards only as far as its values change."""
+    n, merge_of, made, low = len(piece), vocabulary.merge_of, vocabulary.made_by_rank.tolist(), (1 << PLACE_BITS) - 1
+    token = vocabulary.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
+    after, ahead = [*range(1, n), -1], [*range(-1, n - 1)]
+
+    def value(i: int, j: int) -> int:
+        rank = merge_of.get(token[i] << PLACE_BITS | token[j]) if i >= 0 <= j else None
+        return NO_MERGE if rank is None else rank << PLACE_BITS | i
+
+    tree = [NO_MERGE] * width + [value(i, i + 1) for i in range(n - 1)] + [NO_MERGE] * (width - n + 1)
+    for at in range(width - 1, 0, -1):
+        tree[at] = min(tree[2 * at], tree[2 * at + 1])
+    while (root := tree[1]) != NO_MERGE:
+        i = root & low
+        j, h = after[i], ahead[i]
+        k = after[j]
+        token[i], token[j], after[i] = made[root >> PLACE_BITS], -1, k
+        if k >= 0:
+            ahead[k] = i
+        changed = [(i, value(i, k)), (j, NO_MERGE)]
+        if h >= 0:
+            changed.append((h, value(h, i)))
+        for leaf, new in changed:
+            at = leaf + width
+            tree[at] = new
+            while at > 1:
+                at >>= 1
+                new = tree[2 * at] if tree[2 * at] < tree[2 * at + 1] else tree[2 * at + 1]
+                if tree[at] == new:
+                    break
+                tree[at] = new
+    return np.array([t for t in token if t >= 0], dtype="<u4").tobytes()
+
+
 def _merge_rows(vocabulary: Vocabulary, pieces: list[bytes], chosen: np.ndarray, width: int, out: list[bytes]) -> None:
     """Merge pieces of at most `width` bytes, one row each. `width` is a power of two; leaf i of the tree is at width + i."""
     n = len(chosen)
@@ -144,7 +188,11 @@ class Coder:
         new = list({p for own in pieces for p in own if p not in known and p not in special})
         known.update(zip(new, merge_pieces(self.vocabulary, [p.encode() for p in new])))
         known.update((s, np.array([i], dtype="<u4").tobytes()) for s, i in special.items())
-        return [b"".join(map(known.__getitem__, own)) for own in pieces]
+        out = [b"".join(map(known.__getitem__, own)) for own in pieces]
+        for p in new:
+            if len(p) > KNOWN_PIECE:
+                del known[p]
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", errors="replace")
@@ -169,7 +217,21 @@ def encoded(docs: DataFrame, vocabulary_path: str, text: str = "text", out: str
 
     The text of a special token becomes its id. `vocabulary_path` is read by the driver only. An existing column named `out` is replaced.
     """
-    return _mapped(docs, vocabulary_path, text, [(out, "array<int>")], lambda coder, ids, _: (np.frombuffer(i, dtype="<u4").astype(np.int32) for i in ids))
+    return _mapped(docs, vocabulary_path, text, [(out, "array<int>")], lambda coder, ids, texts, _: (np.frombuffer(i, dtype="<u4").astype(np.int32) for i in ids))
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
+    """Replace `text` by n_tokens, ids, and round_trip: whether decoding the ids gives the text back (null counts as empty).
+
+    Encoder, decoder and comparison are one step over one copy of the text. Texts may be of any length; a row that repeats another gets
+    the same values; an empty table stays empty. Other columns go along; those named like one of the three are replaced.
+    """
+    def rows(coder: Coder, ids: list[bytes], texts: list[str], what: str):
+        if what == "round_trip":
+            return (coder.decode(i) == t for i, t in zip(ids, texts))
+        return (len(i) // 4 for i in ids) if what == "n_tokens" else (np.frombuffer(i, dtype="<u4").astype(np.int32) for i in ids)
+
+    return _mapped(docs, vocabulary_path, text, [("n_tokens", "bigint"), ("ids", "array<int>"), ("round_trip", "boolean")], rows, drop=[text])
 
 
 def decoded(docs: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -187,8 +249,12 @@ def decoded(docs: DataFrame, vocabulary_path: str, ids: str = "ids", out: str =
 
 
 def digests(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
-    """Append n_tokens, ids_sha256 and decoded_sha256 to every row: what was encoded, and what decoding it gives."""
-    def rows(coder: Coder, ids: list[bytes], what: str):
+    """Append n_tokens, ids_sha256 and decoded_sha256 to every row: what was encoded, and what decoding it gives.
+
+    A null text counts as empty: no tokens, and the digests of nothing. Texts and their unbroken runs may be of any length. Rows that
+    repeat others get equal values; an empty table stays empty. Other columns go along; those named like one of the three are replaced.
+    """
+    def rows(coder: Coder, ids: list[bytes], texts: list[str], what: str):
         if what == "n_tokens":
             return (len(i) // 4 for i in ids)
         return (hashlib.sha256(i if what == "ids_sha256" else coder.decode(i).encode()).hexdigest() for i in ids)
@@ -201,10 +267,10 @@ def _broadcast(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(Vocabulary(f.read()))
 
 
-def _mapped(docs: DataFrame, path: str, text: str, made: list[tuple[str, str]], values) -> DataFrame:
+def _mapped(docs: DataFrame, path: str, text: str, made: list[tuple[str, str]], values, drop: list[str] | None = None) -> DataFrame:
     vocabulary, names = _broadcast(docs.sparkSession, path), [n for n, _ in made]
-    kept = [f for f in docs.schema.fields if f.name not in names]
-    types = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    kept = [f for f in docs.schema.fields if f.name not in (*names, *(drop or []))]
+    types = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(vocabulary.value)
@@ -213,7 +279,7 @@ def _mapped(docs: DataFrame, path: str, text: str, made: list[tuple[str, str]],
             for texts in _slices(batch.column("__text")):
                 ids = coder.encode_batch(texts)
                 for n in names:
-                    cells[n].extend(values(coder, ids, n))
+                    cells[n].extend(values(coder, ids, texts, n))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in kept), *(pa.array(cells[n], types[t]) for n, t in made)], [*(f.name for f in kept), *names])
 

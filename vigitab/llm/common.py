@@ -18,9 +18,11 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a scratch folder only where the session names none."""
+    """The folder that driver and executors share. A local session that names none gets a scratch folder; a cluster has to name it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -33,13 +35,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a batch handed to Python: texts are long, and both sides hold a batch as a whole.
-ARROW_ROWS = 1000
+#: Rows and bytes of a batch handed to Python: texts are long, and both sides hold a batch as a whole.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow in batches of ARROW_ROWS rows."""
+    """mapInArrow in batches of at most ARROW_ROWS rows that end once they hold ARROW_BYTES.
+
+    Spark takes both bounds from the session; they bound memory and change no result.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -1,7 +1,8 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by hash.
 
-New rows are reduced to one row per digest, digests that the index holds are dropped by a sort-merge anti-join, and the rest is appended
-to the index's buckets. The index side of that join is never shuffled: its buckets are the join's partitions.
+New rows come in batches in the order of their ids. A batch is reduced to one row per digest and written, digests that the index holds are
+dropped by a sort-merge anti-join, and the rest is appended to the index's buckets. The index side of that join is never shuffled: its
+buckets are the join's partitions; the batch side has a digest once, so no text, however frequent, makes a large task.
 """
 
 from __future__ import annotations
@@ -37,27 +38,43 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, batch: DataFrame) -> None:
-        """Add the digests of `batch` (digest, keep_id; a digest once) that are not in the index yet."""
-        fresh = batch.select("digest", "keep_id").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """The rows of `batch` (digest, keep_id) whose digest the index does not hold."""
+        return batch.select("digest", "keep_id").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+
+    def append(self, rows: DataFrame) -> None:
+        """Reduce `rows` (digest, doc_id) to a row per digest and add the digests that are not in the index yet."""
+        batch = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id")), "digest_batch")
         (
-            fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+            self.fresh(batch).repartition(self.buckets, "digest").write.mode("append").format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
         )
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add `docs` to the index; one row per input row: doc_id, digest, keep_id, group_size, kept.
+def in_batches(rows: DataFrame, batches: int) -> list[DataFrame]:
+    """`rows` cut by doc_id into at most `batches` parts of like size, smaller ids first; null ids stand in the last part."""
+    bounds = sorted(set(rows.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
+    edge = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf")))
+    return [rows.where((edge > low) & (edge <= high)) for low, high in zip([float("-inf"), *bounds], [*bounds, float("inf")])]
+
+
+BATCHES = 4
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text", batches: int = 1) -> DataFrame:
+    """Add `docs` to the index, in `batches` by ascending id; one row per input row: doc_id, digest, keep_id, group_size, kept.
 
-    keep_id is the document that stays of all equal texts: the smallest id of the batch in which the text first came. group_size counts
-    the rows of this batch with that text. A batch that is given again finds its own digests and gets the same answer. Null and empty
-    texts are one group; rows that repeat an id and its text are equal rows and get equal answers; an empty table gives an empty result
-    and leaves the index as it is. Other columns are not read.
+    keep_id is the document that stays of all equal texts: the smallest id of the batch in which the text first came (so the smallest of
+    all `docs`, if the index was empty). group_size counts the rows of `docs` with that text. Rows that are given again find their own
+    digests and get the same answer. Null and empty texts are one group; a null id stays only if its text has no other; rows that repeat
+    an id and its text are equal rows and get equal answers; a text may be of any length; an empty table gives an empty result and
+    leaves the index as it is. Other columns are not read.
     """
     rows = stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(text).alias("digest")), "digests")
-    batch = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    index.append(batch)
-    groups = stored(batch.drop("keep_id").join(index.rows(), "digest"), "digest_groups")
+    for part in in_batches(rows, batches):
+        index.append(part)
+    sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    groups = stored(sizes.join(index.rows(), "digest"), "digest_groups")
     found = join_groups(rows, groups, "digest", rows.count(), "group_size")
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
@@ -68,7 +85,7 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup(documents(spark, sf_dir), new_index(spark))
+    found = exact_dedup(documents(spark, sf_dir), new_index(spark), batches=BATCHES)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -211,18 +211,18 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Return doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links, for every row.
 
-    Null, empty and blank texts have fingerprint 0 and are linked like others. Rows that repeat an id and a text get equal rows; an id
-    with several texts has a row for each, and counts as one node where it is the smallest of its fingerprint. An empty table gives an
-    empty result. Other columns are not read.
+    Null, empty and blank texts have fingerprint 0 and are linked like others. Links are between fingerprints, so a row with a null id
+    links others; component_id is null only if all ids of the component are. Rows that repeat an id and a text get equal rows; an id with
+    several texts has a row for each. A text may be of any length. An empty table gives an empty result. Other columns are not read.
     """
     rows = stored(fingerprints(docs, doc_id, text), "fingerprints")
     groups = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "distinct_fingerprints")
     near = stored(links(groups), "links")
-    ids = groups.select("fingerprint", "first_id")
-    edges = near.join(ids.toDF("a", "u"), "a").join(ids.toDF("b", "v"), "b").select("u", "v")
-    labels = components(edges).withColumnRenamed("id", "first_id")
-    named = groups.join(labels, "first_id", "left").select("fingerprint", "copies", F.coalesce("label", "first_id").alias("component_id"))
-    return join_groups(rows, stored(named, "components"), "fingerprint", rows.count(), "copies").select("doc_id", "fingerprint", "component_id")
+    labels = components(near.toDF("u", "v")).withColumnRenamed("id", "fingerprint")
+    named = stored(groups.join(labels, "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint")), "labelled")
+    members = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("fingerprints"))
+    whole = join_groups(named, stored(members, "members"), "label", groups.count(), "fingerprints").select("fingerprint", "copies", "component_id")
+    return join_groups(rows, stored(whole, "components"), "fingerprint", rows.count(), "copies").select("doc_id", "fingerprint", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
