@@ -1,9 +1,10 @@
 """A corpus pipeline: language filter, exact dedup, near-dedup, mixing, BPE round trip.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept, written as Parquet and read again. All but the last
-return the columns of `docs`; extra columns go along. The first four drop rows by decisions on doc_id: rows that share an id share the
-decision (a row that repeats id and text is dropped by exact dedup). A null text counts as empty; the language filter rejects it. An
-empty table passes as an empty table.
+return the columns of `docs`; extra columns go along (the last replaces columns named like its own, n_tokens, ids and round_trip). The
+first four drop rows. Exact dedup decides by id and text, and of rows that repeat both one stays. The others decide by id, null being an
+id like others: rows with one id stay if the stage keeps any of them. A null text counts as empty; the language filter rejects it. An
+empty table passes as an empty table; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -19,17 +20,20 @@ from vigitab.llm.common import documents, shared_dir, stored
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents that it rejects go."""
-    rejected = stored(langid.identify(docs).where("rejected").select(F.col("doc_id").alias("__rejected_id")).distinct(), "rejected")
+    """Language ID: documents that it rejects go, unless a row with the same id is not rejected."""
+    judged = langid.identify(docs).groupBy(F.col("doc_id").alias("__rejected_id")).agg(F.min("rejected").alias("__rejected"))
+    rejected = stored(judged.where("__rejected").select("__rejected_id"), "rejected")
     return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__rejected_id")), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the smallest doc_id stays, and one row of it if the row itself is repeated."""
-    kept = exact_dedup.exact_dedup(docs, exact_dedup.new_index(spark)).where("kept")
-    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("digest").alias("__kept_digest")).distinct()
-    same = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (exact_dedup.text_digest() == F.col("__kept_digest")))
-    nth = F.row_number().over(Window.partitionBy("__kept_id", "__kept_digest").orderBy(*(F.col(f"`{c}`") for c in ("lang", "source", "n_chars"))))
+    found = exact_dedup.exact_dedup(docs, exact_dedup.new_index(spark), batches=exact_dedup.BATCHES)
+    key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(digest))
+    kept = found.where("kept").select(key(F.col("digest")).alias("__key")).distinct()
+    same = docs.withColumn("__key", key(exact_dedup.text_digest())).join(kept, "__key", "left_semi")
+    told = [F.col(f"`{c}`") for c in ("lang", "source", "n_chars") if c in docs.columns]
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key", *told))  # the join's partitions serve the window
     return same.withColumn("__nth_copy", nth).where("__nth_copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -49,10 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding: the rows with their token ids, and whether decoding gives the text back."""
-    path = bpe.default_vocabulary()
-    ids = bpe.encoded(docs, path)
-    back = bpe.decoded(ids, path)
-    return back.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": F.col("decoded") == F.coalesce("text", F.lit(""))}).drop("text", "decoded")
+    return bpe.round_trip(docs, bpe.default_vocabulary())
 
 
 STAGES = [("language_id", keep_languages), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
