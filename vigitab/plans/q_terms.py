@@ -276,7 +276,7 @@ def _(t):
 # --- identity -------------------------------------------------------------------
 
 def cohort_names(t):
-    brands = t.table("part").where("p_partkey % 40 = 0").select(
+    brands = t.table("part").select(
         F.col("p_brand").alias("entity"), F.lit("BRAND").alias("kind"),
         F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, "").otherwise("-abcd")).alias("raw")).distinct()
     return t.approval.select("entity", F.lit("ACTIVE").alias("kind"), F.col("entity").alias("raw")).unionByName(brands)
@@ -426,7 +426,7 @@ def _(t):
 
 VIEWS["v_src1"] = "SELECT m.entity, min_by(m.drugname, (-w.n, m.drugname)) AS reports_name, CASE WHEN bool_and(m.drugname NOT LIKE '%sodium') THEN 'HIGH' ELSE 'MEDIUM' END AS reports_confidence FROM v_drugmap m JOIN (SELECT drugname, count(*) AS n FROM v_versioned GROUP BY 1) w ON w.drugname=m.drugname GROUP BY 1"
 VIEWS["v_src2"] = "SELECT m.entity, min_by(m.raw, (-w.n, m.raw)) AS second_name, CASE WHEN bool_and(m.raw NOT LIKE '%sodium') THEN 'HIGH' ELSE 'MEDIUM' END AS second_confidence FROM v_amap m JOIN (SELECT name AS raw, count(*) AS n FROM v_alias_long GROUP BY 1) w ON w.raw=m.raw GROUP BY 1"
-VIEWS["v_src3"] = "SELECT p_brand AS entity, p_brand AS registry_name, 'HIGH' AS registry_confidence FROM part WHERE p_size=50 GROUP BY 1"
+VIEWS["v_src3"] = "SELECT p_brand AS entity, p_brand AS registry_name, 'HIGH' AS registry_confidence FROM part GROUP BY 1"
 VIEWS["v_master"] = """SELECT a.entity, a.kind, a.approval_year, bn%9=0 AS excluded, reports_name, second_name, registry_name, coalesce(reports_confidence,'UNRESOLVED') AS reports_confidence, coalesce(second_confidence,'UNRESOLVED') AS second_confidence,
  coalesce(registry_confidence,'UNRESOLVED') AS registry_confidence, CASE WHEN bn%9=0 THEN 'EXCLUDED' WHEN reports_name IS NOT NULL AND second_name IS NOT NULL AND registry_name IS NOT NULL THEN 'MAPPED_ALL'
  WHEN reports_name IS NOT NULL AND second_name IS NOT NULL THEN 'MAPPED_FIRST_TWO' WHEN coalesce(reports_name,second_name,registry_name) IS NOT NULL THEN 'PARTIAL' ELSE 'UNRESOLVED' END AS mapping_status,
@@ -440,7 +440,7 @@ def master(t):
     index = I.build_name_index(names)
     w1 = t.versioned_report.groupBy(F.col("drugname").alias("raw")).agg(F.count(F.lit(1)).alias("weight"))
     w2 = J.unpivot_names(t.alias_row, ["id"], NAMES5).where(X.non_blank("name")).groupBy(F.col("name").alias("raw")).agg(F.count(F.lit(1)).alias("weight"))
-    w3 = t.table("part").where("p_size = 50").groupBy(F.col("p_brand").alias("raw")).agg(F.count(F.lit(1)).alias("weight"))
+    w3 = t.table("part").groupBy(F.col("p_brand").alias("raw")).agg(F.count(F.lit(1)).alias("weight"))
     src = {k: I.source_summary(I.resolve_names(w.select("raw"), index), w, k) for k, w in zip(TAGS, (w1, w2, w3))}
     co = t.approval.select("entity", "kind", "approval_year", (F.col("bn") % 9 == 0).alias("excluded"))
     return I.identity_master(co, src)
