@@ -4,7 +4,7 @@ import importlib
 
 from .registry import REGISTRY
 
-MODULES = ["q_signals", "q_terms", "q_evidence", "q_resample", "q_features", "q_quality", "q_replication"]
+MODULES = ["q_signals", "q_terms", "q_evidence", "q_resample", "q_features", "q_nested", "q_quality", "q_replication"]
 for _m in MODULES:
     importlib.import_module(f"{__package__}.{_m}")
 
