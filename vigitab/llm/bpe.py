@@ -198,7 +198,7 @@ class Coder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", errors="replace")
 
 
-def _slices(column: pa.Array, most: int = 1 << 21) -> Iterator[list[str]]:
+def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[list[str]]:
     """Texts in lists of at most about `most` characters, a longer text by itself."""
     held, n = [], 0
     for t in column:
@@ -276,7 +276,7 @@ def _mapped(docs: DataFrame, path: str, text: str, made: list[tuple[str, str]],
         coder = Coder(vocabulary.value)
         for batch in batches:
             cells: dict[str, list] = {n: [] for n in names}
-            for texts in _slices(batch.column("__text")):
+            for texts in slices(batch.column("__text")):
                 ids = coder.encode_batch(texts)
                 for n in names:
                     cells[n].extend(values(coder, ids, texts, n))

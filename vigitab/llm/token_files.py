@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +30,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import PIECES, default_vocabulary
+from .bpe import PIECES, default_vocabulary, slices
 from .common import documents, map_batches, shared_dir, stored, whole_text
 
 END_ID = 0
 #: Ids of a frame at most, bytes and documents of a file at which it is closed.
 FRAME_IDS, FILE_BYTES, FILE_DOCS = 1 << 20, 64 << 20, 1 << 20
 #: Bytes of remembered pieces in one task, and the longest piece that is remembered.
-KNOWN_BYTES, KNOWN_PIECE = 48 << 20, 64
+KNOWN_BYTES, KNOWN_PIECE = 96 << 20, 64
 #: Fixed values of the published formats: skippable frames, seek table and its descriptor (checksums present).
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("known", "<i1"), ("start", "<i8"), ("n", "<i8"), ("frame", "<u4"), ("frames", "<u4")])
 
 
+#: Letters, digits and white space below this code point are spelled out for the standard `re`, which is twice as fast as properties.
+LATIN_END = 0x250
+
+
+def latin_split():
+    """The split of PIECES for texts without a character from LATIN_END on."""
+    def spelled(kind: str) -> str:
+        return "".join(rf"\u{c:04x}" for c in range(LATIN_END) if regex.match(kind, chr(c)))
+
+    letter, number, space = spelled(r"\p{L}"), spelled(r"\p{N}"), spelled(r"\s")
+    return re.compile(rf" ?[{letter}]+| ?[{number}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, little-endian, in 2 bytes if the vocabulary allows it and else 4.
 
@@ -61,29 +76,43 @@ class Encoder:
         before = shape.get("pre_tokenizer") or {}
         self.by_piece = not shape.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.special = [t["content"] for t in shape.get("added_tokens", [])]
-        self.split, self.known, self.held = regex.compile(PIECES).findall, {}, 0
+        self.any_split, self.latin_split, self.wide = regex.compile(PIECES).findall, latin_split(), re.compile(f"[^\\x00-{chr(LATIN_END - 1)}]").search
+        self.known, self.held = {}, 0
+
+    def split(self, text: str) -> list[str]:
+        return self.any_split(text) if self.wide(text) else self.latin_split(text)
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_piece or any(s in text for s in self.special):
-            return self.library([text])[0]
-        pieces, known = self.split(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            new = [p for p in set(pieces) if p not in known]
-            found = dict(zip(new, self.library(new)))
-            ids = b"".join([found[p] if p in found else known[p] for p in pieces])
-            for p, i in found.items():
-                if len(p) <= KNOWN_PIECE:
-                    known[p] = i
-                    self.held += 150 + len(p) + len(i)  # of the two objects and their place
-            if self.held > KNOWN_BYTES:
-                known.clear()
-                self.held = 0
-            return ids
+        letter = "HI"[self.kind.itemsize // 4]
+        return [array(letter, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of a list of texts; what is new in all of them goes to the library at once."""
+        whole = [not self.by_piece or any(s in t for s in self.special) for t in texts]
+        pieces = [[] if w else self.split(t) for t, w in zip(texts, whole)]
+        known = self.known
+        new = list(set().union(*pieces).difference(known))
+        known.update(zip(new, self.library(new)))
+        out = [self.library([t])[0] if w else b"".join(map(known.__getitem__, own)) for t, w, own in zip(texts, whole, pieces)]
+        for p in new:
+            if len(p) > KNOWN_PIECE:
+                del known[p]
+        self.held += sum(150 + len(p) for p in new)  # of a piece, its ids and their place
+        if self.held > KNOWN_BYTES:
+            known.clear()
+            self.held = 0
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(spec: str) -> Encoder:
+    """The encoder of this worker process, kept from task to task as long as the tokenizer is the same."""
+    if spec not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[spec] = Encoder(spec)
+    return _ENCODERS[spec]
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -102,14 +131,14 @@ ENCODED = "row long, doc_id long, n long, frames array<binary>, plain array<long
 
 def _encode(spec, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, compressor = Encoder(spec.value), zstandard.ZstdCompressor(write_checksum=True)
+        encoder, compressor = encoder_of(spec.value), zstandard.ZstdCompressor(write_checksum=True)
         last, width = np.array([end], dtype=encoder.kind).tobytes(), encoder.kind.itemsize
         for batch in batches:
             sizes, frames = [], []
-            for text in batch.column("text"):
-                ids = encoder.encode(text.as_py()) + last
-                sizes.append(len(ids) // width)
-                frames.append(frames_of(ids, width, compressor))
+            for texts in slices(batch.column("text")):
+                for ids in encoder.encode(texts):
+                    sizes.append(len(ids) // width + 1)
+                    frames.append(frames_of(ids + last, width, compressor))
             columns = [pa.array([[f[k] for f in own] for own in frames], pa.list_(t)) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), *columns], ["row", "doc_id", "n", "frames", "plain", "checks"])
