@@ -65,3 +65,28 @@ def test_chosen_fits_equal_plain_ones(spark, table):
             valid = [r for r in rows if fold_of[r["pair_id"]] == fold]
             p = 1 / (1 + np.exp(-make(*encode(valid)) @ w))
             assert np.allclose(p, [scores[name, r["pair_id"]][1] for r in valid], atol=1e-6)
+
+
+def test_bands_change_no_replicate(spark, monkeypatch):
+    from vigitab.operators import resample as R
+
+    rng = np.random.default_rng(1)
+    rows = [(f"g{k % 2}", k % 7, int(rng.uniform() < 0.4), float(round(rng.uniform(), 2))) for k in range(300)] + [("one", 99, 1, 0.5)]
+    df = spark.createDataFrame(rows, "side string, cluster int, y int, p double")
+    take = lambda: {(r.side, r.rep): r for r in R.bootstrap_metrics(df, ["side"], "cluster", "y", "p", 700, 3).collect()}
+    whole = take()
+    monkeypatch.setattr(R, "BAND_ROWS", 20)
+    cut = take()
+    assert whole.keys() == cut.keys() and {s for s, _ in whole} == {"g0", "g1", "one"} and all(r.auroc is None and r.average_precision == 1.0 for (s, _), r in cut.items() if s == "one")
+    for k, r in whole.items():
+        for m in ("average_precision", "auroc", "brier", "log_loss"):
+            assert r[m] == cut[k][m] or abs(r[m] - cut[k][m]) < 1e-12
+    draws = {}
+    for r in R.draw_weights(df.select("cluster").distinct(), "cluster", 700, 3).where("rep = 123").collect():
+        draws[r["cluster"]] = r["w"]
+    own = [(p, y, draws.get(c, 0)) for s, c, y, p in rows if s == "g0"]
+    n = sum(w for _, _, w in own)
+    assert abs(whole["g0", 123].brier - sum(w * (y - p) ** 2 for p, y, w in own) / n) < 1e-12
+    pos, neg = sum(w * y for _, y, w in own), sum(w * (1 - y) for _, y, w in own)
+    area = sum(w * y * sum(v * (1 - z) * (1.0 if q < p else 0.5 if q == p else 0.0) for q, z, v in own) for p, y, w in own) / (pos * neg)
+    assert abs(whole["g0", 123].auroc - area) < 1e-12

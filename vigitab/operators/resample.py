@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,29 +176,106 @@ def nested_folds(df: DataFrame, folds: DataFrame, group: str, y: str, inner: int
 
 # --- bootstrap of metrics -------------------------------------------------
 
+#: Replicates of a vector, and (cluster, score) rows of a score band, so that a task holds about BLOCK * BAND_ROWS draws.
+BLOCK, BAND_ROWS = 500, 4000
+_MEASURES = ["average_precision", "auroc", "brier", "log_loss"]
+
+
+def weight_vectors(clusters: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
+    """(cluster, block, draws): how often each of a block's replicates draws the cluster, as unsigned 32-bit integers side by side."""
+    drawn = draw_weights(clusters, cluster, reps, seed).withColumn("block", (F.col("rep") / BLOCK).cast("int"))
+    lists = drawn.groupBy(cluster, "block").agg(F.collect_list(F.struct("rep", "w")).alias("_l"))  # at most BLOCK entries
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own in batch.column("_l").to_pylist():
+                v = np.zeros(BLOCK, dtype="<u4")
+                v[[d["rep"] % BLOCK for d in own]] = [d["w"] for d in own]
+                out.append(v.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(cluster), batch.column("block"), pa.array(out, pa.binary())], [cluster, "block", "draws"])
+
+    return lists.mapInArrow(pack, f"`{cluster}` {dict(clusters.dtypes)[cluster]}, block int, draws binary")
+
+
+def _vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a band's rows: scores, highest first, weighted positives and negatives of each score, a column per replicate, and what each score counts."""
+    p = rows.column("_p").to_numpy()
+    order = np.argsort(-p, kind="stable")
+    draws = np.stack([np.frombuffer(v.as_py(), dtype="<u4") for v in rows.column("draws")])[order].astype(float)
+    scores, first = np.unique(-p[order], return_index=True)
+    pos, neg = (np.add.reduceat(draws * rows.column(c).to_numpy()[order][:, None], first, axis=0) for c in ("_pos", "_neg"))
+    return -scores, pos, neg, draws
+
+
 def bootstrap_metrics(df: DataFrame, by: Sequence[str], cluster: str, y: str, p: str, reps: int, seed: int) -> DataFrame:
     """AP, AUROC, Brier and log loss per replicate; all ``by`` groups share their draws.
 
-    Scores are summed per (cluster, score) before any weight is joined, so ties
-    and copies never multiply; ranking sums run over split score levels.
+    Rows are summed per (cluster, score) first, and what multiplies them is a vector of draws, one for a block of replicates, never a row
+    for each replicate. Scores stand in bands; a band's totals give the others their running starts, and each band then adds its part of
+    every replicate's area. Replicates that draw no row of a group are left out of it.
     """
     by = list(by)
-    w = draw_weights(df, cluster, reps, seed)
-    ties = keep(df.groupBy(*by, cluster, F.col(p).alias("_p")).agg(
-        F.sum(F.col(y).cast("double")).alias("_pos"), F.sum(1.0 - F.col(y)).alias("_neg")
-    ))
-    pc = N.clip("_p", N.fixed.PRED_CLIP, 1 - N.fixed.PRED_CLIP)
-    sq = F.col("_pos") * F.pow(1 - F.col("_p"), F.lit(2)) + F.col("_neg") * F.pow("_p", F.lit(2))
-    ll = -(F.col("_pos") * F.ln(pc) + F.col("_neg") * F.ln(1 - pc))
-    loss = ties.groupBy(*by, cluster).agg(F.sum(F.col("_pos") + F.col("_neg")).alias("_n"), F.sum(sq).alias("_sq"), F.sum(ll).alias("_ll"))
-    losses = w.join(loss, cluster).groupBy(*by, "rep").agg(
-        F.try_divide(F.sum(F.col("w") * F.col("_sq")), F.sum(F.col("w") * F.col("_n"))).alias("brier"),
-        F.try_divide(F.sum(F.col("w") * F.col("_ll")), F.sum(F.col("w") * F.col("_n"))).alias("log_loss"),
-    )
-    scored = w.join(ties, cluster).groupBy(*by, "rep", "_p").agg(
-        F.sum(F.col("w") * F.col("_pos")).alias("pos"), F.sum(F.col("w") * F.col("_neg")).alias("neg")
-    )
-    return join_same(ranking_from_ties(scored, [*by, "rep"], "_p"), losses, [*by, "rep"])
+    types = dict(df.dtypes)
+    ties = df.groupBy(*by, cluster, F.col(p).cast("double").alias("_p")).agg(F.sum(F.col(y).cast("double")).alias("_pos"), F.sum(1.0 - F.col(y)).alias("_neg"))
+    ties = keep(ties.where("_p is not null"), "score_ties")
+    bands = 1 + ties.count() // BAND_ROWS
+    cuts = ties.groupBy(*by).agg(F.percentile_approx("_p", [k / bands for k in range(1, bands)] or [1.0], max(1000, 10 * bands)).alias("_cuts"))
+    banded = join_same(ties, cuts, by) if by else ties.join(cuts)
+    banded = banded.withColumn("band", F.size(F.filter("_cuts", lambda c: c > F.col("_p")))).drop("_cuts")
+    joined = keep(banded.join(weight_vectors(df.select(cluster), cluster, reps, seed), cluster), "score_draws")
+    keys = [*by, "block", "band"]
+    joined = joined.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    head = ", ".join([*(f"`{c}` {types[c]}" for c in by), "block int, band int"])
+    names = [*by, "block", "band"]
+
+    def row(key: tuple, found: pa.Table, columns: list[str], values: list[np.ndarray]) -> pa.Table:
+        own = [found.column(c).slice(0, 1) for c in names]
+        return pa.Table.from_arrays([*own, *(pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values)], names=[*names, *columns])
+
+    def totals(key, found):
+        _, pos, neg, _ = _vectors(found)
+        return row(key, found, ["pos", "neg"], [pos.sum(axis=0), neg.sum(axis=0)])
+
+    def starts(key, found):
+        """Sums of the bands with higher scores, and of all, for every band of a block."""
+        order = np.argsort(found.column("band").to_numpy(), kind="stable")
+        found = found.take(pa.array(order))
+        out = [found.column(c) for c in names]
+        for c in ("pos", "neg"):
+            v = np.stack([np.frombuffer(x.as_py()) for x in found.column(c)])
+            upto = np.cumsum(v, axis=0)
+            out.append(pa.array([(u - w).tobytes() for u, w in zip(upto, v)], pa.binary()))
+            out.append(pa.array([upto[-1].tobytes()] * len(v), pa.binary()))
+        return pa.Table.from_arrays(out, names=[*names, "pos", "all_pos", "neg", "all_neg"])
+
+    def areas(key, found, before):
+        scores, pos, neg, _ = _vectors(found)
+        p0, n0, n_all = (np.frombuffer(before.column(c)[0].as_py()) for c in ("pos", "neg", "all_neg"))
+        cp, cn = p0 + np.cumsum(pos, axis=0), n0 + np.cumsum(neg, axis=0)
+        precision = np.divide(cp, cp + cn, out=np.zeros_like(cp), where=cp + cn > 0)
+        clipped = np.clip(scores, N.fixed.PRED_CLIP, 1 - N.fixed.PRED_CLIP)[:, None]
+        s = scores[:, None]
+        parts = [precision * pos, pos * (n_all - cn + 0.5 * neg), pos * (1 - s) ** 2 + neg * s**2, -(pos * np.log(clipped) + neg * np.log(1 - clipped))]
+        return row(key, found, _MEASURES, [v.sum(axis=0) for v in parts])
+
+    def finish(key, found):
+        """A row per replicate of a block."""
+        sums = {c: sum(np.frombuffer(x.as_py()) for x in found.column(c)) for c in _MEASURES}
+        tp, tn = (np.frombuffer(found.column(c)[0].as_py()) for c in ("all_pos", "all_neg"))
+        at = np.flatnonzero(tp + tn > 0)
+        below = {"average_precision": tp, "auroc": tp * tn, "brier": tp + tn, "log_loss": tp + tn}
+        columns = [pa.array(sums[c][at] / np.where(below[c][at] > 0, below[c][at], 1), mask=below[c][at] <= 0) for c in _MEASURES]
+        own = [pa.chunked_array([found.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(at), dtype=np.int64)))]) for c in by]
+        rep = found.column("block")[0].as_py() * BLOCK + at.astype(np.int64)
+        return pa.Table.from_arrays([*own, pa.array(rep), *columns], names=[*by, "rep", *_MEASURES])
+
+    sums = joined.groupBy(*keys).applyInArrow(lambda key, found: totals(key, found), f"{head}, pos binary, neg binary")
+    begun = keep(sums.groupBy(*by, "block").applyInArrow(lambda key, found: starts(key, found), f"{head}, pos binary, all_pos binary, neg binary, all_neg binary"), "band_starts")
+    both = joined.groupBy(*keys).cogroup(begun.groupBy(*keys))
+    part = both.applyInArrow(lambda key, found, before: areas(key, found, before), f"{head}, " + ", ".join(f"{m} binary" for m in _MEASURES))
+    whole = join_same(part, begun.select(*keys, "all_pos", "all_neg"), keys)
+    return whole.groupBy(*by, "block").applyInArrow(lambda key, found: finish(key, found), ", ".join([*(f"`{c}` {types[c]}" for c in by), "rep long", *(f"{m} double" for m in _MEASURES)]))
 
 
 def ranking_from_ties(ties: DataFrame, by: Sequence[str], score: str) -> DataFrame:
