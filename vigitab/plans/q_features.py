@@ -119,6 +119,12 @@ def _(t):
     return FE.outcome_distribution(labels(t), ["entity"])
 
 
+@query("outcome_concentration", "WITH e AS (SELECT entity, sum(label)::DOUBLE AS p FROM v_lab GROUP BY 1), r AS (SELECT p, row_number() OVER (ORDER BY p DESC) AS k FROM e) SELECT count(*) AS entities, count(*) FILTER (WHERE p=0) AS without_any, quantile_cont(p,0.25) AS q1, median(p) AS median, quantile_cont(p,0.75) AS q3, "
+ + ", ".join(f"100.0*sum(p) FILTER (WHERE k<={k})/nullif(sum(p),0) AS top_{k}_percent" for k in FE.TOP_SHARES) + " FROM r", "q1 median q3 " + " ".join(f"top_{k}_percent" for k in FE.TOP_SHARES), "FE-8")
+def _(t):
+    return FE.outcome_concentration(labels(t))
+
+
 @query("support_buckets", "SELECT event, count(DISTINCT entity) AS entities, count(*) AS pairs, CASE WHEN count(DISTINCT entity)=1 THEN '1' WHEN count(DISTINCT entity)<5 THEN '2_TO_4' ELSE 'GE_5' END AS bucket FROM v_cand GROUP BY 1", "", "FE-9")
 def _(t):
     return FE.support_buckets(t.candidates)
