@@ -43,6 +43,33 @@ def importance(long: DataFrame, specific: str = "pair_specific") -> DataFrame:
     return out.join(inside, KEY, "left")
 
 
+def mean_abs_ranks(long: DataFrame) -> DataFrame:
+    """Mean absolute and mean signed contribution of each family's features, with the rank of the former."""
+    m = long.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("mean_signed"))
+    return rank_in(m, FAM, "mean_abs", "rank_all")
+
+
+def left_out_weights(cells: DataFrame, column: str, fold: str, x: str, y: str) -> DataFrame:
+    """Weights of one-column linear models by family, column and fold: `own` from the other folds' rows, `full` from all.
+
+    Families: slope (least squares of y on x) and gap (difference of the classes' means). One sum per column and fold is shuffled; a fold's
+    model comes from the totals less its own sums. Without spread, or without both classes, the weight is null.
+    """
+    v, t = F.col(x).cast("double"), F.col(y).cast("double")
+    parts = {"_n": F.lit(1.0), "_x": v, "_y": t, "_xy": v * t, "_xx": v * v}
+    sums = cells.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(column, fold).agg(*(F.sum(e).alias(n) for n, e in parts.items()))
+    every = Window.partitionBy(column)  # a row per fold
+
+    def weights(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column) -> list[Column]:
+        return [F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.try_divide(sxy, sy) - F.try_divide(sx - sxy, n - sy)]
+
+    full = [F.sum(c).over(every) for c in parts]
+    own = weights(*(a - F.col(c) for a, c in zip(full, parts)))
+    pairs = [F.struct(F.lit(f).alias("family"), o.alias("own"), w.alias("full")) for f, o, w in zip(("slope", "gap"), own, weights(*full))]
+    return sums.select(column, fold, F.array(*pairs).alias("_w")).select(column, fold, F.explode("_w").alias("_w")).select(column, fold, "_w.*")
+
+
 def domain_shares(imp: DataFrame) -> DataFrame:
     d = imp.groupBy("family", "domain").agg(F.sum("mean_abs").alias("total_abs"), F.count(F.lit(1)).alias("features"))
     return share_of_total(d, FAM, "total_abs")
@@ -189,10 +216,21 @@ def linear_contributions(model, df: DataFrame, row: str, features: str = "featur
 
 
 def concept_map(names: DataFrame, features: DataFrame) -> DataFrame:
-    """Encoded column → parent: exact name, or ``parent=level``; must be unique."""
-    n = names.withColumn("feature", F.split_part("column_name", F.lit("="), F.lit(1)))
-    out = n.join(features.select("feature").distinct().withColumn("_ok", F.lit(True)), "feature", "left")
-    return out.withColumn("mapped", F.coalesce("_ok", F.lit(False))).drop("_ok")
+    """Encoded column → feature → parent: the longest feature that is the column's name or stands before one of its equals signs.
+
+    `features` may carry a `parent`; without it a feature is its own. Columns without a feature stay, unmapped. A feature with two parents,
+    or a column name that stands for two columns, fails when the rows are read. Prefixes meet features by equality, so no pairs are formed.
+    """
+    own = features if "parent" in features.columns else features.withColumn("parent", F.col("feature"))
+    known = own.groupBy("feature").agg(F.min("parent").alias("parent"), F.countDistinct("parent").alias("_parents"))
+    cuts = F.expr("transform(sequence(1, size(split(column_name, '='))), k -> substring_index(column_name, '=', k))")
+    tried = names.groupBy("column_name").agg(F.count(F.lit(1)).alias("_columns")).withColumn("feature", F.explode(cuts))
+    best = tried.join(known, "feature", "left").groupBy("column_name").agg(
+        F.max("_columns").alias("_columns"), F.max(F.when(F.col("_parents").isNotNull(), F.struct(F.length("feature").alias("size"), "feature", "parent", "_parents"))).alias("_hit"))
+    wrong = F.when(F.col("_hit._parents") > 1, F.raise_error(F.concat(F.lit("two parents: "), F.col("column_name")))).when(
+        F.col("_columns") > 1, F.raise_error(F.concat(F.lit("repeated column: "), F.col("column_name"))))
+    checked = best.select("column_name", F.coalesce(wrong.cast("string"), F.col("_hit.feature")).alias("feature"), F.col("_hit.parent").alias("parent"), F.col("_hit").isNotNull().alias("mapped"))
+    return names.join(checked, "column_name")
 
 
 def flatten_trees(model) -> list[tuple[float, list]]:

@@ -14,7 +14,9 @@ from .prefix import quantile_columns
 
 
 def stack(df: DataFrame, ids: Sequence[str], variables: Sequence[str], kind: str = "double") -> DataFrame:
-    """(ids, variable, value) over many columns in one pass."""
+    """(ids, variable, value) over many columns in one pass; no columns give no rows."""
+    if not variables:
+        return df.select(*ids, F.lit("").alias("variable"), F.lit(None).cast(kind).alias("value")).where("false")
     arr = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast(kind).alias("value")) for v in variables])
     return df.select(*ids, F.explode(arr).alias("_s")).select(*ids, "_s.variable", "_s.value")
 

@@ -52,17 +52,19 @@ def inputs_of(table: DataFrame, sets: dict[str, list[str]], least: int) -> Input
         [n for n in names if types[n] == "string"], {n: least for n in names if kinds[n][2] == "rare level"})
 
 
-def folded_rows(table: DataFrame, inputs: Inputs, outer: int, inner: int, seed: int) -> DataFrame:
+def folded_rows(table: DataFrame, inputs: Inputs, outer: int, inner: int, seed: int, full: bool = False) -> DataFrame:
     """The model table's rows with their fold, the parts they train (`parts`) and those they check (`checks`).
 
-    Part number: outer fold left out * (inner + 1) + 1 + inner fold left out, or + 0 for the whole outer training part.
+    Part number: outer fold left out * (inner + 1) + 1 + inner fold left out, or + 0 for the whole outer training part. With `full` there
+    is one more outer part, number `outer`, which leaves no fold out.
     """
+    lefts = outer + int(full)
     folds = grouped_folds(table, inputs.entity, inputs.y, outer, seed).select(inputs.entity, F.col("fold").cast("int").alias("fold"))
-    deep = nested_folds(table, folds, inputs.entity, inputs.y, inner, seed + 1, outer)
+    deep = nested_folds(table, folds, inputs.entity, inputs.y, inner, seed + 1, lefts)
     by_outer = deep.groupBy(inputs.entity).agg(F.map_from_entries(F.collect_list(F.struct("outer_fold", F.col("fold").cast("int")))).alias("inner"))
     step = inner + 1
-    train = f"filter(sequence(0, {outer * step - 1}), p -> int(p div {step}) <> fold and (p % {step} = 0 or p % {step} - 1 <> inner[int(p div {step})]))"
-    check = f"filter(sequence(0, {outer * step - 1}), p -> if(p % {step} = 0, int(p div {step}) = fold, int(p div {step}) <> fold and p % {step} - 1 = inner[int(p div {step})]))"
+    train = f"filter(sequence(0, {lefts * step - 1}), p -> int(p div {step}) <> fold and (p % {step} = 0 or p % {step} - 1 <> inner[int(p div {step})]))"
+    check = f"filter(sequence(0, {lefts * step - 1}), p -> if(p % {step} = 0, int(p div {step}) = fold, int(p div {step}) <> fold and p % {step} - 1 = inner[int(p div {step})]))"
     entities = folds.join(by_outer, inputs.entity, "left").select(inputs.entity, "fold", F.expr(train).alias("parts"), F.expr(check).alias("checks"))
     return table.join(entities, inputs.entity)
 
@@ -291,26 +293,64 @@ def _scores(shared, inputs: Inputs, step: int, kept: Sequence[str]):
     return run
 
 
+def _contributions(shared, inputs: Inputs, step: int, kept: Sequence[str], full: int):
+    """Each row's contributions, summed with sign over a feature's columns: by the fit that did not see the row, and by the full fit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        designs, fits = shared.value
+        for batch in batches:
+            numeric, categorical, _ = _rows_of(batch, inputs)
+            fold = batch.column("fold").to_numpy()
+            for k, (name, features) in enumerate(inputs.sets.items()):
+                place = {f: j for j, f in enumerate(features)}
+                for kind, parts in (("oof", fold * step), ("full", np.full(len(batch), full * step))):
+                    values, base, margin = np.zeros((len(batch), len(features))), np.zeros(len(batch)), np.zeros(len(batch))
+                    for part in np.unique(parts):
+                        at, design, w = np.flatnonzero(parts == part), designs[int(part)], fits[int(part), k].weights[:, 0]
+                        x = design.encode(numeric[at], [[c[i] for i in at] for c in categorical])
+                        for j, (feature, _) in enumerate(design.columns):
+                            if feature in place:
+                                values[at, place[feature]] += x[:, j] * w[j]
+                        base[at], margin[at] = w[-1], x @ w
+                    n = len(batch)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c) for c in kept), pa.array([name] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(base), pa.array(margin), pa.array(list(values), pa.list_(pa.float64()))],
+                        [*kept, "feature_set", "fit", "base", "margin", "contributions"])
+
+    return run
+
+
+def contribution_cells(wide: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """Long form of a `Nested`'s contributions: a row for each feature of the set."""
+    names = F.create_map(*[v for s, features in sets.items() for v in (F.lit(s), F.array(*map(F.lit, features)))])
+    cells = F.arrays_zip(names[F.col("feature_set")].alias("feature"), F.col("contributions").alias("contribution"))
+    return wide.select(*(c for c in wide.columns if c not in ("base", "margin", "contributions")), F.explode(cells).alias("_c")).select("*", "_c.feature", "_c.contribution").drop("_c")
+
+
 @dataclass
 class Nested:
-    """Results: out-of-fold scores, the search, and the column statistics, coefficients and score equations of the outer fits."""
+    """Results: out-of-fold scores, the search, and the column statistics, coefficients and score equations of the outer fits.
+
+    With a full fit there are also the contributions of every row, by the fit of its own fold and by the full one.
+    """
 
     scores: DataFrame
     search: DataFrame
     numeric: DataFrame
     levels: DataFrame
     coefficients: DataFrame
+    contributions: DataFrame | None = None
 
 
-def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], outer: int = 5, inner: int = 4, seed: int = 21) -> Nested:
+def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], outer: int = 5, inner: int = 4, seed: int = 21, full: bool = False) -> Nested:
     """Tune and fit every feature set inside every outer training part, and score the rows left out.
 
     A setting's penalty C on the summed loss is 1 / (C n) on the mean loss. A setting is valid if its fits of all inner parts came to rest;
     of the valid ones the lowest mean of the inner folds' mean log losses is chosen, the lower id of equal ones. Rows with a null
-    entity or label are left out. A level that the training part lacks has no column. An empty table gives empty results.
+    entity or label are left out. A level that the training part lacks has no column. An empty table gives empty results. With `full`, all
+    rows are one more training part, tuned and fitted in the same passes; it stands as fold `outer` in the tables and scores no row.
     """
     spark, step = table.sparkSession, inner + 1
-    spread = folded_rows(table.where(F.col(inputs.y).isNotNull()), inputs, outer, inner, seed).repartition(spark.sparkContext.defaultParallelism)
+    spread = folded_rows(table.where(F.col(inputs.y).isNotNull()), inputs, outer, inner, seed, full).repartition(spark.sparkContext.defaultParallelism)
     rows = keep(spread, "nested_rows")
     numeric, levels = keep(numeric_statistics(rows, inputs), "nested_numeric"), keep(level_statistics(rows, inputs), "nested_levels")
     of_part: dict[int, tuple[list, list]] = {}
@@ -346,7 +386,7 @@ def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], o
     search_df = spark.createDataFrame([(*r, best.get((r[1], sets.index(r[0])), (0, None))[1] == r[2]) for r in search], "feature_set string, fold int, config_id int, c double, mix double, mean_log_loss double, valid boolean, chosen boolean")
     final, table_rows = {}, []
     for s in range(len(sets)):
-        fits = {fold * step: start(fold * step, [(s, best[fold, s][1])], True) for fold in range(outer) if (fold, s) in best}
+        fits = {fold * step: start(fold * step, [(s, best[fold, s][1])], True) for fold in range(outer + int(full)) if (fold, s) in best}
         _, last = fit_all(used, inputs, designs, fits, EXACT * 100)
         for part, fit in fits.items():
             final[part, s] = fit
@@ -366,5 +406,9 @@ def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], o
     types = dict(used.dtypes)
     shared = spark.sparkContext.broadcast((designs, final))
     scores = keep(used.mapInArrow(_scores(shared, inputs, step, kept), ", ".join(f"`{c}` {types[c]}" for c in kept) + ", feature_set string, p double"), "nested_scores")
+    wide = None
+    if full:
+        types_of = ", ".join(f"`{c}` {types[c]}" for c in kept)
+        wide = keep(used.mapInArrow(_contributions(shared, inputs, step, kept, outer), f"{types_of}, feature_set string, fit string, base double, margin double, contributions array<double>"), "nested_contributions")
     shared.unpersist()
-    return Nested(scores, search_df, numeric, levels, coefficients)
+    return Nested(scores, search_df, numeric, levels, coefficients, wide)

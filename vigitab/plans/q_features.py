@@ -264,13 +264,41 @@ def _(t):
     return X.duplicate_flags(pair(t), _FL)
 
 
-def _half(m):
-    return f"SELECT family, feature, rank() OVER (PARTITION BY family ORDER BY avg(abs(contribution)) DESC) AS r FROM v_glong WHERE vec_id%2={m} GROUP BY 1,2"
+VIEWS["v_cfold"] = "SELECT c.*, g.fold FROM v_contrib c JOIN v_folds g USING (grp)"
+_GAP = "avg(raw) FILTER (WHERE y=1)-avg(raw) FILTER (WHERE y=0)"
+VIEWS["v_ownw"] = f"SELECT a.fold, k, regr_slope(y, raw) AS slope, {_GAP} AS gap FROM (SELECT DISTINCT fold FROM v_folds) a JOIN v_cfold f ON f.fold<>a.fold GROUP BY 1, 2"
+VIEWS["v_allw"] = f"SELECT k, regr_slope(y, raw) AS slope, {_GAP} AS gap FROM v_cfold GROUP BY 1"
 
 
-@query("rank_agreement", f"SELECT family, rho, largest_shift, CASE WHEN rho>=0.75 THEN 'HIGH' WHEN rho>=0.5 THEN 'MODERATE' ELSE 'LOW' END AS agreement FROM (SELECT a.family, corr(a.r,b.r) AS rho, max(abs(a.r-b.r)) AS largest_shift FROM ({_half(0)}) a JOIN ({_half(1)}) b ON a.family=b.family AND a.feature=b.feature GROUP BY 1)", "rho", "X-14")
+def _ranks(weights, on):
+    return f"""SELECT family, feature, rank() OVER (PARTITION BY family ORDER BY avg(abs(c)) DESC) AS r FROM (
+ SELECT w.family, vec_id, 'f'||(k//4) AS feature, sum(raw*w.value) AS c FROM v_cfold JOIN (UNPIVOT {weights} ON slope, gap INTO NAME family VALUE value) w USING ({on}) GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
+@query("rank_agreement", f"SELECT family, rho, largest_shift, CASE WHEN rho>=0.75 THEN 'HIGH' WHEN rho>=0.5 THEN 'MODERATE' ELSE 'LOW' END AS agreement FROM (SELECT a.family, corr(a.r,b.r) AS rho, max(abs(a.r-b.r)) AS largest_shift FROM ({_ranks('v_ownw', 'k, fold')}) a JOIN ({_ranks('v_allw', 'k')}) b ON a.family=b.family AND a.feature=b.feature GROUP BY 1)", "rho", "X-14")
+def _(t):
+    """Ranks of features where each row is explained by the weights of the other folds, against those under the weights of all rows."""
+    folds = R.grouped_folds(t.feat, "grp", "y", 5, 11).select("grp", "fold")
+    cells = t.contrib.join(folds, "grp").select("vec_id", "k", "fold", "raw", "y")
+    weighted = cells.join(A.keep(X.left_out_weights(cells, "k", "fold", "raw", "y"), "left_out_weights"), ["k", "fold"])
+    sums = weighted.groupBy("family", "vec_id", F.concat(F.lit("f"), F.floor(F.col("k") / 4).cast("string")).alias("feature")).agg(
+        *(F.sum(F.col("raw") * F.col(w)).alias(w) for w in ("own", "full")))
+    sums = A.keep(sums, "left_out_contributions")
+    return X.agreement(*(X.mean_abs_ranks(sums.withColumn("contribution", F.col(w))) for w in ("own", "full")))
+
+
+VIEWS["v_colname"] = "SELECT DISTINCT u AS column_name FROM (SELECT unnest(['p_type='||p_type||'='||p_size, 'p_type='||p_type, 'p_type=size='||p_size, 'p_brand='||p_brand, p_name]) AS u FROM part)"
+VIEWS["v_concept"] = "SELECT DISTINCT 'p_type='||p_type AS feature, 'kind' AS parent FROM part WHERE p_type<'M' UNION ALL VALUES ('p_type', 'type'), ('p_type=size', 'size'), ('p_typ', 'none')"
+
+
+@query("concept_parents", "SELECT n.column_name, arg_max(feature, len(feature)) AS feature, arg_max(parent, len(feature)) AS parent, count(feature)>0 AS mapped FROM v_colname n LEFT JOIN v_concept c ON n.column_name=c.feature OR starts_with(n.column_name, c.feature||'=') GROUP BY 1", "", "X-3")
 def _(t):
-    return X.agreement(X.importance(glong(t, "vec_id % 2 = 0")), X.importance(glong(t, "vec_id % 2 = 1")))
+    part = t.table("part")
+    typed, size = F.concat(F.lit("p_type="), F.col("p_type")), F.col("p_size").cast("string")
+    spelled = F.array(typed, F.concat(typed, F.lit("="), size), F.concat(F.lit("p_type=size="), size), F.concat(F.lit("p_brand="), "p_brand"), F.col("p_name"))
+    nested = part.where("p_type < 'M'").select(typed.alias("feature"), F.lit("kind").alias("parent")).distinct()
+    plain = t.spark.createDataFrame([("p_type", "type"), ("p_type=size", "size"), ("p_typ", "none")], "feature string, parent string")
+    return X.concept_map(part.select(F.explode(spelled).alias("column_name")).distinct(), nested.unionByName(plain))
 
 
 @query("additivity", "SELECT count(*) AS rows, 0::BIGINT AS violations FROM v_feat", "", "X-15")

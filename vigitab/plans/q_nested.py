@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators import attribution as X
 from ..operators import features as FE
 from ..operators import model as M
 from ..operators import nested as N
@@ -27,12 +28,12 @@ def nested(t) -> N.Nested:
     key = (t.spark.sparkContext.applicationId, t.path, "nested_elastic_net")
     if key not in STAGES:
         rows = keep(table(t), "model_table")
-        STAGES[key] = N.nested_elastic_net(rows, N.inputs_of(rows, SETS, fixed.RARE_MIN_ENTITIES), M.ELASTIC_NET_GRID, OUTER, INNER, SEED)
+        STAGES[key] = N.nested_elastic_net(rows, N.inputs_of(rows, SETS, fixed.RARE_MIN_ENTITIES), M.ELASTIC_NET_GRID, OUTER, INNER, SEED, full=True)
     return STAGES[key]
 
 
 VIEWS["v_nfold"] = _fold_sql("SELECT entity AS grp, label AS y FROM v_model", OUTER, SEED)
-VIEWS["v_ninner"] = _fold_sql(f"SELECT m.entity AS grp, m.label AS y, o.ofold AS outer_fold FROM v_model m JOIN v_nfold g ON g.grp=m.entity, range({OUTER}) o(ofold) WHERE o.ofold<>g.fold", INNER, SEED + 1, "outer_fold")
+VIEWS["v_ninner"] = _fold_sql(f"SELECT m.entity AS grp, m.label AS y, o.ofold AS outer_fold FROM v_model m JOIN v_nfold g ON g.grp=m.entity, range({OUTER + 1}) o(ofold) WHERE o.ofold<>g.fold", INNER, SEED + 1, "outer_fold")
 VIEWS["v_nmember"] = f"""SELECT i.grp AS entity, (i.outer_fold*{INNER + 1}+s.k)::INT AS part FROM v_ninner i, range({INNER + 1}) s(k) WHERE s.k=0 OR s.k-1<>i.fold"""
 VIEWS["v_nlong"] = " UNION ALL ".join(f"SELECT entity, pair_id, label, '{n}' AS variable, {f'ln(1+{n}::DOUBLE)' if KIND[n][1].startswith('log1p') else f'{n}::DOUBLE'} AS value, {n}::DOUBLE AS plain FROM v_model" for n in NUMBERS)
 _MEDIAN = ", ".join(f"'{n}'" for n in NUMBERS if KIND[n][2].startswith("median"))
@@ -81,7 +82,7 @@ def _(t):
     return nested(t).search
 
 
-@query("nested_choice", f"SELECT feature_set, fold::INT AS fold, 1::BIGINT AS chosen, {len(M.ELASTIC_NET_GRID)}::BIGINT AS settings, TRUE AS least_loss FROM (SELECT DISTINCT fold FROM v_nfold), ({_SET_NAMES}) GROUP BY 1, 2", "", "M-7")
+@query("nested_choice", f"SELECT feature_set, fold::INT AS fold, 1::BIGINT AS chosen, {len(M.ELASTIC_NET_GRID)}::BIGINT AS settings, TRUE AS least_loss FROM (SELECT DISTINCT fold FROM v_nfold UNION ALL SELECT {OUTER}), ({_SET_NAMES}) GROUP BY 1, 2", "", "M-7")
 def _(t):
     """One setting for every set and outer fold, and none that is valid has a lower loss."""
     s = nested(t).search
@@ -99,3 +100,34 @@ def _(t):
 def _(t):
     """Every pair of the model table has a score between 0 and 1 of every set, from the models of its own outer fold."""
     return nested(t).scores.select("feature_set", "pair_id", "entity", "fold", "label", F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("usable"))
+
+
+# --- attribution: every row by the fit that did not see it, and by the full fit ---------
+
+
+@query("oof_contribution_sums", f"""SELECT f.feature_set, k.fit, m.pair_id, m.entity, g.fold::INT AS fold, f.features, TRUE AS adds_up FROM v_model m JOIN v_nfold g ON g.grp=m.entity,
+ (SELECT feature_set, count(*) AS features FROM ({_SET_NAMES}) GROUP BY 1) f, (VALUES ('oof'), ('full')) k(fit)""", "", "X-1 X-14 X-15")
+def _(t):
+    """Every pair is explained by both fits, in all features of the set, and base and contributions add up to the log odds of its score."""
+    n = nested(t)
+    scores = n.scores.select("feature_set", "pair_id", F.ln(F.col("p") / (1 - F.col("p"))).alias("scored"))
+    total = F.aggregate("contributions", F.col("base"), lambda a, v: a + v)
+    right = F.when(F.col("fit") == "oof", F.col("scored")).otherwise(F.col("margin"))
+    return n.contributions.join(scores, ["feature_set", "pair_id"], "left").select(
+        "feature_set", "fit", "pair_id", "entity", "fold", F.size("contributions").cast("long").alias("features"), F.coalesce(F.abs(total - right) < 1e-6, F.lit(False)).alias("adds_up"))
+
+
+def ranked(t, fit):
+    cells = N.contribution_cells(nested(t).contributions.where(F.col("fit") == fit), SETS)
+    return X.mean_abs_ranks(cells.withColumn("family", F.col("feature_set")))
+
+
+@query("oof_importance", None, "", "X-6 X-14")
+def _(t):
+    return ranked(t, "oof")
+
+
+@query("oof_rank_agreement", None, "", "X-14")
+def _(t):
+    """Agreement of the features' ranks out of fold with those under the full fit, over the same rows."""
+    return X.agreement(ranked(t, "oof"), ranked(t, "full"))

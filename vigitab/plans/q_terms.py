@@ -347,6 +347,32 @@ def _(t):
     return b.select("key", F.array_join("entities", "|").alias("entities"), F.size("entities").cast("long").alias("n"))
 
 
+VIEWS["v_balias"] = "SELECT p_partkey AS record_id, unnest(['maker code '||p_partkey, 'pack '||p_type, 'line '||p_brand, 'grade '||p_size||', '||'zzz', p_name]) AS name FROM part"
+VIEWS["v_braw"] = "SELECT DISTINCT trim(raw) AS raw FROM (SELECT p_brand AS raw FROM part UNION SELECT name FROM v_balias UNION SELECT n_name FROM nation)"
+VIEWS["v_bvar"] = VIEWS["v_nvar"].replace("v_rawname", "v_braw")
+VIEWS["v_bmap"] = VIEWS["v_nmap"].replace("v_nvar", "v_bvar")
+VIEWS["v_blink"] = "SELECT p_partkey AS record_id, min(m.entity) AS entity FROM part JOIN v_balias a ON a.record_id=p_partkey JOIN v_bmap m ON m.raw=a.name OR m.raw=p_brand WHERE m.entity IS NOT NULL GROUP BY 1 HAVING count(DISTINCT m.entity)=1"
+VIEWS["v_bkey"] = f"SELECT key, list_sort(list(DISTINCT entity)) AS x FROM (SELECT {name_sql('a.name')} AS key, l.entity FROM (SELECT * FROM v_balias UNION ALL SELECT p_partkey, p_brand FROM part) a JOIN v_blink l ON l.record_id=a.record_id) WHERE key<>'' GROUP BY 1"
+
+
+@query("bridged_names", f"""SELECT raw, CASE WHEN open AND n=1 THEN x[1] ELSE entity END AS entity, CASE WHEN open AND n=1 THEN 'SYNONYM_BRIDGE' ELSE method END AS method, CASE WHEN open AND n=1 THEN 'MEDIUM' ELSE confidence END AS confidence,
+ CASE WHEN open AND n=1 THEN 'MAPPED' WHEN open AND n>1 THEN 'AMBIGUOUS' ELSE status END AS status, array_to_string(CASE WHEN open THEN coalesce(x, candidates) ELSE candidates END,'|') AS candidates
+ FROM (SELECT m.*, b.x, coalesce(len(b.x),0) AS n, m.status='UNRESOLVED' AS open FROM v_bmap m LEFT JOIN v_bkey b ON b.key={name_sql('m.raw')})""", "", "T-15 T-13")
+def _(t):
+    """Names of parts and their aliases: those that neither pass over the index settles go through the aliases of linked records."""
+    p = t.table("part")
+    spelled = F.array(
+        F.concat(F.lit("maker code "), F.col("p_partkey").cast("string")), F.concat(F.lit("pack "), "p_type"),
+        F.concat(F.lit("line "), "p_brand"), F.concat(F.lit("grade "), F.col("p_size").cast("string"), F.lit(", zzz")), F.col("p_name"))
+    rec = p.select(F.col("p_partkey").alias("record_id"), F.col("p_brand").alias("name"))
+    other = p.select(F.col("p_partkey").alias("record_id"), F.explode(spelled).alias("name"))
+    catalog = rec.select(F.col("name").alias("raw")).union(other.select("name")).union(t.table("nation").select("n_name"))
+    index = A.keep(I.build_name_index(cohort_names(t)), "name_index")
+    links = I.link_records(rec, other, I.resolve_names(catalog, index, split_lists=True))
+    found = I.resolve_names(catalog, index, split_lists=True, bridge=I.bridge_index(links, rec.unionAll(other)))
+    return found.select("raw", "entity", "method", "confidence", "status", F.array_join("candidates", "|").alias("candidates"))
+
+
 VIEWS["v_alias_long"] = "SELECT id, seq, role, u.f AS field, u.n AS name FROM (SELECT id, seq, role, unnest([{'f':'name1','n':name1},{'f':'name2','n':name2},{'f':'name3','n':name3},{'f':'name4','n':name4},{'f':'name5','n':name5}]) AS u FROM v_alias) WHERE u.n IS NOT NULL AND trim(u.n)<>''"
 NAMES5 = ["name1", "name2", "name3", "name4", "name5"]
 
