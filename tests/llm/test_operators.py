@@ -222,6 +222,15 @@ def test_cues_lead_to_accounts():
     assert found == [("account", "DE89370400440532013000"), ("login", "http://u:pw@h.com"), ("account", "123-45-6789"), ("account", "12345678"), ("address", "00:1b:44:11:3a:b7")]
 
 
+def test_cues_lead_to_secrets():
+    key = "9f86d081884c7d659a2f"
+    text = f'token = "{key}" TOKEN:{key}. my_api_key=\'{key}\', password: hunter2hunter22; token = short1 token {key} mistoken = {key} secret = onlylettershere passwords: {key} Secret_key = "{key}=='
+    found = [(s, text[s:e]) for k, s, e in pii.find_spans(text, pii.automaton()) if k == "secret"]
+    assert [v for _, v in found] == [key, key, key, "hunter2hunter22", key]
+    assert all(text[s - 1] in "\"':= " for s, _ in found)
+    assert [k for k, _, _ in pii.find_spans("The token was lost: nobody knew the password of 12345678901234.", pii.automaton()) if k == "secret"] == []
+
+
 def test_personal_data_rows(odd, none):
     got = {(r.doc_id, len(r.spans)) for r in pii.personal_data(odd).collect()}
     assert got == {(r.doc_id, len(base_spans(r.text or ""))) for r in odd.collect()}
@@ -497,6 +506,51 @@ def test_toxicity(spark, odd, none):
     assert {(r.severity, r.toxic) for r in toxicity.severities(odd, None).collect()} == {(0.0, False)}
 
 
+def test_rare_labels_are_seen(spark):
+    rng, texts, rows = random.Random(5), [], []
+    for i in range(3000):
+        words, toxic = prose("en", i, 40).split(), i % 300 == 7
+        for _ in range(6 if toxic else 0):
+            words[rng.randrange(len(words))] = rng.choice(["blighter", "rotter", "cadder"])
+        texts.append(" ".join(words))
+        rows.append((i, int(toxic)))
+    docs, labels = frame(spark, texts), spark.createDataFrame(rows, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, rows=100)
+    assert model.tilt == pytest.approx((90 / 2990) / 1)
+    got = {r.doc_id: r for r in toxicity.severities(docs, model).collect()}
+    assert sum(got[i].toxic for i, y in rows if y) == 10 and sum(got[i].toxic for i, y in rows if not y) <= 3
+    assert sum(r.score for r in got.values()) < 100  # chances are those of all rows, not of the sample
+    with pytest.warns(UserWarning, match="no model"):
+        assert toxicity.train(docs, labels.where("toxic = 0")) is None
+    with pytest.warns(UserWarning, match="0 toxic rows among 0"):
+        assert toxicity.train(docs, labels.where("doc_id < 0")) is None
+
+
+def test_samples_are_shared_by_class():
+    assert toxicity.sample_sizes(2990, 10, 100) == (90, 10) and toxicity.sample_sizes(10, 2990, 100) == (10, 90)
+    assert toxicity.sample_sizes(500, 500, 100) == (50, 50) and toxicity.sample_sizes(30, 20, 100) == (30, 20) and toxicity.sample_sizes(0, 0, 100) == (0, 0)
+
+
+def test_ordinal_fit_equals_a_plain_maximum():
+    """Against the likelihood written out and climbed by finite differences."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2))
+    grade = (x @ [1.5, -1.0] + rng.logistic(size=300) > np.array([[0.0], [1.0], [2.0]])).sum(axis=0)
+    row, col = np.repeat(np.arange(300), 2), np.tile(np.arange(2), 300)
+    got = toxicity.fit_ordinal(row, col, x.ravel(), grade, 2, steps=3000, ridge=0.01, pace=0.02)
+
+    def loss(v):
+        theta = np.concatenate([[-np.inf], v[2:], [np.inf]])
+        cut = lambda t: 1 / (1 + np.exp(-(t - x @ v[:2])))
+        return -np.log(cut(theta[grade + 1]) - cut(theta[grade])).mean() + 0.005 * (v[:2] ** 2).sum()
+
+    best = np.concatenate([got.weights, got.thresholds])
+    for k in range(5):  # no direction leads down from the fit
+        for step in (0.01, -0.01):
+            assert loss(best + step * np.eye(5)[k]) > loss(best) - 1e-7
+    assert np.abs([(loss(best + 1e-5 * e) - loss(best - 1e-5 * e)) / 2e-5 for e in np.eye(5)]).max() < 1e-3
+
+
 def test_ordinal_gradient_finds_the_weights():
     rng = np.random.default_rng(0)
     x = rng.normal(size=4000)

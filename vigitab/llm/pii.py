@@ -23,13 +23,17 @@ DIGITS = frozenset("0123456789")
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 LABEL = frozenset(string.ascii_letters + string.digits + "-")
 PHONE = frozenset(" ().0123456789-")
-KINDS = ["email", "ip", "card", "phone", "login", "account", "address"]
+SECRET = frozenset(string.ascii_letters + string.digits + "_-+/=.~")
+KINDS = ["email", "ip", "card", "phone", "login", "account", "address", "secret"]
 SCHEME_MARK = "://"
 CUES = {
     "iban": "account", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account",
     "ssn": "account", "passport": "account", "wallet": "address", "mac": "address", "ipv6": "address",
+    "token": "secret", "password": "secret", "passwd": "secret", "secret": "secret", "api_key": "secret", "api-key": "secret", "apikey": "secret",
+    "secret_key": "secret", "private_key": "secret",
 }
 ACCOUNT_DIGITS = (8, 18)
+SECRET_LENGTH = 12
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -172,6 +176,22 @@ def hex_address_at(text: str, at: int) -> tuple[int, int] | None:
     return (start, end) if len(value) == 42 and value.startswith("0x") and "x" not in value[2:] else None
 
 
+def secret_at(text: str, at: int) -> tuple[int, int] | None:
+    """The value after a cue and an equals sign or colon, quoted or not: 12 characters or more, digits and letters among them."""
+    start, n, marks = at, len(text), 0
+    while start < n and start < at + 8 and text[start] in " \t\"'`:=":
+        marks += text[start] in ":="
+        start += 1
+    if not marks:
+        return None
+    end = run_of(text, start, SECRET)
+    while end > start and text[end - 1] in ".=-":  # ends of sentences and padding
+        end -= 1
+    value = text[start:end]
+    mixed = any(c in DIGITS for c in value) and any(c not in DIGITS and c.isalpha() for c in value)
+    return (start, end) if len(value) >= SECRET_LENGTH and mixed else None
+
+
 Span = tuple[str, int, int]
 
 
@@ -213,7 +233,7 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
                 add("login", *found)
         elif at == 0 or not text[at - 1].isalnum():
             if last + 1 < len(text) and not text[last + 1].isalpha() and at >= free[what]:
-                found = (account_at if what == "account" else hex_address_at)(text, last + 1)
+                found = {"account": account_at, "address": hex_address_at, "secret": secret_at}[what](text, last + 1)
                 if found:
                     add(what, *found)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -238,7 +258,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and spans (kind, start, end) of every row, by start and then by kind.
 
-    Null and empty texts have no spans. Kinds may overlap one another, spans of one kind don't. Every row stands for itself, so repeated
+    Null and empty texts have no spans; a text of any length is scanned once, from end to end. Kinds may overlap one another, spans of one kind don't. Every row stands for itself, so repeated
     rows get equal answers and an empty table gives an empty result. Other columns are not read.
     """
     return map_batches(
@@ -251,4 +271,5 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        "doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+        "doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
+        count("secret").alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))

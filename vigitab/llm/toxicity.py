@@ -7,6 +7,7 @@ severity. Features are words and word beginnings; which ones, and the weights, a
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, map_batches, stored, whole_text
 
-#: Labelled rows used for fitting (a bound of the training sample, taken in the order of a seeded hash) and features kept.
+#: Labelled rows used for fitting (a bound of the training sample: half of it for each class, more where the other has fewer; within a
+#: class in the order of a seeded hash) and features kept.
 TRAIN_ROWS, MAX_FEATURES = 8000, 2000
 #: A feature must stand in so many sampled rows and have so large a chi-square against the label.
 LEAST_ROWS, LEAST_CHI2 = 5, 24.0
@@ -122,17 +124,45 @@ class Model:
     ordinal: Ordinal
     telling: np.ndarray  # features that stand for toxicity
     flag_at: float  # expected severity from which a text counts as toxic
+    tilt: float = 1.0  # sampling rate of clean rows over that of toxic ones
+
+    def chances(self, eta: np.ndarray) -> np.ndarray:
+        """P(grade) for every grade among all documents: the sample's, each class divided by its sampling rate."""
+        above = self.ordinal.above(eta)
+        each = -np.diff(np.c_[np.ones(len(eta)), above, np.zeros(len(eta))], axis=1)
+        each[:, 1:] *= self.tilt
+        return each / each.sum(axis=1, keepdims=True)
+
+    def severity(self, eta: np.ndarray) -> np.ndarray:
+        return self.chances(eta) @ np.arange(GRADES)
+
+
+def sample_sizes(clean: int, toxic: int, rows: int) -> tuple[int, int]:
+    """Rows of each class in a sample of at most `rows`."""
+    of_toxic = min(toxic, max(rows // 2, rows - clean))
+    return min(clean, rows - of_toxic), of_toxic
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most `rows` labelled rows (null labels and texts left out); None if they are not of both kinds."""
+    """Fit on at most `rows` labelled rows, up to half for each class, so that a rare class is seen.
+
+    Null labels, ids and texts are left out. Grades' chances and the flag's bound are corrected for the classes' sampling rates; where all
+    rows fit in, the rates are one. If labels are of one kind only, or none, a warning says so and the answer is None: `severities` then
+    flags nothing.
+    """
     labelled = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
-    chosen = stored(labelled.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows), "toxic_sample")
+    all_rows, all_bad = labelled.agg(F.count(F.lit(1)), F.count(F.when(F.col("toxic") > 0, 1))).first()
+    sizes = sample_sizes(all_rows - all_bad, all_bad, rows)
+    order = (F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    parts = [labelled.where(kind).orderBy(*order).limit(size) for kind, size in zip((F.col("toxic") <= 0, F.col("toxic") > 0), sizes)]
+    chosen = stored(parts[0].unionByName(parts[1]), "toxic_sample")
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     sample = stored(sample.dropDuplicates(["doc_id"]), "toxic_texts")
-    n, bad = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n, bad = sample.agg(F.count(F.lit(1)), F.count(F.when(F.col("toxic") > 0, 1))).first()
     if not 0 < bad < n:
+        warnings.warn(f"toxicity: {bad} toxic rows among {n} labelled texts, so there is no model and nothing is flagged", stacklevel=2)
         return None
+    rates = [size / max(whole, 1) for size, whole in zip(sizes, (all_rows - all_bad, all_bad))]
     counts = map_batches(sample.repartition(64, "doc_id"), _feature_counts, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"))
     a, b = F.col("t").cast("double"), (F.col("n") - F.col("t")).cast("double")
     chi2 = F.lit(float(n)) * F.pow(a * (n - bad - b) - b * (bad - a), 2) / (F.lit(float(bad) * (n - bad)) * F.col("n") * F.greatest(n - F.col("n"), F.lit(1)))
@@ -160,19 +190,22 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     grade = np.where(label, 1 + np.searchsorted(marks, share, side="right") * (share > 0), 0)
     values = rate(count, words[row])
     ordinal = fit_ordinal(row, col, values, grade, len(index))
-    severity = ordinal.severity(np.bincount(row, weights=values * ordinal.weights[col], minlength=len(encoded)))
+    model = Model(index, ordinal, telling, 0.0, rates[0] / rates[1])
+    severity = model.severity(np.bincount(row, weights=values * ordinal.weights[col], minlength=len(encoded)))
     order = np.argsort(-severity, kind="stable")
-    right = np.cumsum(label[order])
-    f = 2 * right / (np.arange(1, len(order) + 1) + label.sum())
+    stands_for = np.where(label, 1 / rates[1], 1 / rates[0])  # rows of the whole table
+    right = np.cumsum((label * stands_for)[order])
+    f = 2 * right / (np.cumsum(stands_for[order]) + right[-1])
     last = np.r_[severity[order][1:] < severity[order][:-1], True]  # equal severities stand or fall together
-    return Model(index, ordinal, telling, float(severity[order][np.argmax(np.where(last, f, 0))]))
+    model.flag_at = float(severity[order][np.argmax(np.where(last, f, 0))])
+    return model
 
 
 def severities(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, severity (expected grade, 0 to GRADES - 1), grade (most likely), score (P of any grade above 0), toxic for every row.
 
     A null or empty text has no features: it gets what such a text gets from the model, and is never flagged. Without a model (labels of
-    one kind only, or none) the values are 0 and false. Rows that repeat an id are judged one by one. An empty table gives an empty
+    one kind only, or none) the values are 0 and false. Texts of any length are read whole. Rows that repeat an id are judged one by one. An empty table gives an empty
     result. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -188,12 +221,11 @@ def severities(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", tex
                     at = np.fromiter(found.keys(), np.int64, len(found))
                     eta[i] = model.ordinal.weights[at] @ rate(np.fromiter(found.values(), float, len(found)), words)
                     hits[i] = model.telling[at].any()
-            above = model.ordinal.above(eta) if model else np.zeros((len(batch), GRADES - 1))
-            each = -np.diff(np.c_[np.ones(len(batch)), above, np.zeros(len(batch))], axis=1)
-            severity = above.sum(axis=1)
+            each = model.chances(eta) if model else np.eye(GRADES)[np.zeros(len(batch), dtype=int)]
+            severity, above = each @ np.arange(GRADES), each[:, 1:].sum(axis=1)
             toxic = hits & (severity >= model.flag_at) if model else hits
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(severity), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0].copy()), pa.array(toxic)],
+                [batch.column("doc_id"), pa.array(severity), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above), pa.array(toxic)],
                 ["doc_id", "severity", "grade", "score", "toxic"])
 
     return map_batches(
