@@ -78,3 +78,10 @@ def test_bridge_is_the_last_step(spark):
     assert got["shared"] == (None, None, "AMBIGUOUS", ["one", "two"])  # shared alias: the clash list goes along
     assert got["both"] == (None, None, "AMBIGUOUS", ["one", "two"])  # clash of the index stays, although its alias leads to one entity
     assert got["one"][1] == "EXACT_ACTIVE" and got["nothing"] == (None, None, "UNRESOLVED", [])
+
+
+def test_agreement_without_spread_is_undefined(spark):
+    oof = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("b", "x", 1), ("b", "y", 2), ("b", "z", 3)], "family string, feature string, rank_all int")
+    full = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 2), ("b", "y", 1), ("b", "z", 3)], "family string, feature string, rank_all int")
+    got = {r.family: (r.rho, r.largest_shift, r.agreement) for r in X.agreement(oof, full).collect()}
+    assert got["a"] == (None, 1, "UNDEFINED") and got["b"][0] == pytest.approx(0.5) and got["b"][1:] == (1, "MODERATE")

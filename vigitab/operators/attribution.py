@@ -187,14 +187,15 @@ def duplicate_flags(table: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def agreement(oof: DataFrame, full: DataFrame) -> DataFrame:
-    """Rank agreement class between two importance tables, per family."""
+    """Rank agreement class between two importance tables, per family; where all ranks of a side are equal, rho is null, the class UNDEFINED."""
     a = oof.select(*KEY, F.col("rank_all").alias("rank_oof"))
     b = full.select(*KEY, F.col("rank_all").alias("rank_full"))
+    x, z = F.col("rank_oof").cast("double"), F.col("rank_full").cast("double")
     g = a.join(b, KEY).groupBy("family").agg(
-        F.corr(F.col("rank_oof").cast("double"), F.col("rank_full").cast("double")).alias("rho"),
+        F.try_divide(F.covar_pop(x, z), F.stddev_pop(x) * F.stddev_pop(z)).alias("rho"),
         F.max(F.abs(F.col("rank_full") - F.col("rank_oof"))).cast("long").alias("largest_shift"),
     )
-    return g.withColumn("agreement", F.when(F.col("rho") >= 0.75, "HIGH").when(F.col("rho") >= 0.5, "MODERATE").otherwise("LOW"))
+    return g.withColumn("agreement", F.when(F.col("rho").isNull(), "UNDEFINED").when(F.col("rho") >= 0.75, "HIGH").when(F.col("rho") >= 0.5, "MODERATE").otherwise("LOW"))
 
 
 def additivity(contrib: DataFrame, margin: DataFrame, row: Sequence[str], base: float, tolerance: float = 1e-6) -> DataFrame:
