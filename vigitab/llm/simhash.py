@@ -56,8 +56,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")), _fingerprints, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fingerprint long")
 
 
-def trie_pairs(groups: np.ndarray, sides: np.ndarray, values: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within BUDGET bits, for many node pairs at once.
+def trie_pairs(
+    groups: np.ndarray, sides: np.ndarray, values: np.ndarray, depths: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within `budget` bits, for many node pairs at once.
 
     Rows stand by group, side and unsigned value; a group with one side is a node against itself. A node is a range of rows that agree in
     all bits above the one it is split by, so its half with that bit set is the end of the range.
@@ -80,7 +81,7 @@ def trie_pairs(groups: np.ndarray, sides: np.ndarray, values: np.ndarray, depths
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
         leaf = single & ~same
         x, y = a0[leaf], b0[leaf]
-        near = np.bitwise_count(values[x] ^ values[y]) <= BUDGET
+        near = np.bitwise_count(values[x] ^ values[y]) <= budget
         found.append((x[near], y[near]))
         go = ~single
         a0, a1, b0, b1, bit, errors, same = (v[go] for v in (a0, a1, b0, b1, bit, errors, same))
@@ -91,7 +92,7 @@ def trie_pairs(groups: np.ndarray, sides: np.ndarray, values: np.ndarray, depths
         kids = [(a0, am, b0, bm, 0, True), (am, a1, bm, b1, 0, True), (a0, am, bm, b1, 1, True), (am, a1, b0, bm, 1, ~same)]
         parts = []
         for l0, l1, r0, r1, more, open_ in kids:
-            keep = open_ & (l1 > l0) & (r1 > r0) & (errors + more <= BUDGET) & ~((l0 == r0) & (l1 - l0 == 1))
+            keep = open_ & (l1 > l0) & (r1 > r0) & (errors + more <= budget) & ~((l0 == r0) & (l1 - l0 == 1))
             parts.append([v[keep] for v in (l0, l1, r0, r1, bit - 1, errors + more)])
         a0, a1, b0, b1, bit, errors = (np.concatenate(v) for v in zip(*parts))
     return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.zeros(0, np.int64),) * 2
