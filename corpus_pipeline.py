@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vigitab.llm import bpe, exact_dedup, langid, mixing, simhash
+from vigitab.llm import bpe, exact_dedup, langid, mixing, near_copies
 from vigitab.llm.common import documents, shared_dir, stored
 
 
@@ -38,9 +38,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group of linked documents the one with the smallest doc_id stays."""
+    """SimHash near-dedup on five-word shingles: of documents linked by a Jaccard of 0.8 or more the one with the smallest doc_id stays."""
     first = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    kept = simhash.near_duplicates(docs).where(first).select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = near_copies.near_copies(docs).where(first).select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
@@ -58,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", keep_languages), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
 
-#: The language models and fingerprints cannot be said in SQL; tests/llm holds the pipeline against brute force.
+#: The language models and near copies cannot be said in SQL; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
