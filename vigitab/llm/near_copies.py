@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,12 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     runs = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, seed=SEED) for r in runs), np.uint64))
+    return _distinct(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, count=max(len(words) - shingle + 1, 1)))
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values.sort()
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
 
 
 def set_fingerprint(hashes: np.ndarray) -> int:
@@ -85,7 +91,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
             digests.append(xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED))
             prints.append(set_fingerprint(hashes))
             keys.append(samples(hashes, similarity))
-            sets.append(np.unique(hashes.astype(np.uint32)).view(np.int32))
+            sets.append(_distinct(hashes.astype(np.uint32)).view(np.int32))
         ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
         told = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
         yield pa.RecordBatch.from_arrays(
