@@ -90,3 +90,39 @@ def test_bands_change_no_replicate(spark, monkeypatch):
     pos, neg = sum(w * y for _, y, w in own), sum(w * (1 - y) for _, y, w in own)
     area = sum(w * y * sum(v * (1 - z) * (1.0 if q < p else 0.5 if q == p else 0.0) for q, z, v in own) for p, y, w in own) / (pos * neg)
     assert abs(whole["g0", 123].auroc - area) < 1e-12
+
+
+def test_no_valid_setting_leaves_scores_null(spark, table, monkeypatch):
+    monkeypatch.setattr(N, "MAX_PASSES", 1)
+    inputs = N.inputs_of(table, {"few": ["approval_year"]}, 5)
+    got = N.nested_elastic_net(table, inputs, GRID, outer=3, inner=2, seed=1, full=True)
+    assert not any(r.valid or r.chosen for r in got.search.collect()) and got.coefficients.count() == 0
+    assert got.scores.count() == got.scores.where("p is null").count() == 160
+    assert got.contributions.count() == got.contributions.where("contributions is null and base is null").count() == 320
+    none = N.nested_elastic_net(table.limit(0), inputs, GRID, outer=3, inner=2, seed=1, full=True)
+    assert none.scores.count() == none.contributions.count() == none.search.count() == 0
+
+
+def test_momentum_needs_fewer_passes(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 12))
+    x[:, 1:6] = x[:, :1] + 0.05 * x[:, 1:6]  # nearly one column, so steps under the bounding quadratic are short
+    x[:, -1] = 1.0
+    y = (rng.uniform(size=300) < N.sigmoid(4 * x[:, 0])).astype(float)
+    curvature = 0.25 * x.T @ x / 300
+
+    def passes(momentum):
+        fit = N.Fit(np.zeros((12, 2)), np.array([0.0, 1e-4]), np.array([1e-4, 1e-4]), np.ones((12, 2), dtype=bool), curvature)
+        for k in range(5000):
+            new = N.stepped(fit, x.T @ (N.sigmoid(x @ fit.weights) - y[:, None]) / 300, curvature)
+            still = np.abs(new - fit.weights).max(axis=0) < N.TOLERANCE
+            if momentum:
+                fit.advance(new, still)
+            else:
+                fit.weights = new
+            if still.all():
+                break
+        return k, new
+
+    slow, fast = passes(False), passes(True)
+    assert fast[0] < 0.5 * slow[0] and np.allclose(slow[1], fast[1], atol=0.02)

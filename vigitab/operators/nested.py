@@ -3,8 +3,8 @@
 A part is an outer training part or an inner one inside it. Which parts a row trains is a matter of its entity's folds, so rows are kept
 once, raw; a task encodes its rows for each part (fills, scales and levels are those of the part), and one pass adds up, for all parts,
 the gradients of all settings at once. The sums of a part meet in one task, where every setting takes a proximal step on the quadratic
-that bounds its loss; what meets is a matrix of columns by settings, however many rows there are. Passes go on until no coefficient
-moves. The driver sees settings, coefficients and column statistics, never rows.
+that bounds its loss; what meets is a matrix of columns by settings, however many rows there are. The next pass starts ahead of it by
+the setting's momentum (accelerated proximal steps, begun anew where they point uphill). Passes go on until no coefficient moves. The driver sees settings, coefficients and column statistics, never rows.
 """
 
 from __future__ import annotations
@@ -134,6 +134,19 @@ class Fit:
     mask: np.ndarray
     curvature: np.ndarray | None = None  # of the bounding quadratic, once known; None: sum it up in this pass
     newton: bool = False  # one setting, whose own curvature is summed in every pass
+    reached: np.ndarray | None = None  # where the last step ended; `weights` is where the next one starts
+    momentum: np.ndarray | None = None  # by setting
+
+    def advance(self, new: np.ndarray, still: np.ndarray) -> None:
+        """Take the step that ended in `new`; settings that stand still and those whose momentum points uphill start without any."""
+        if self.newton:
+            self.weights = self.reached = new
+            return
+        before = np.zeros_like(new) if self.reached is None else self.reached
+        t = np.ones(new.shape[1]) if self.momentum is None else self.momentum
+        t = np.where(still | (((self.weights - new) * (new - before)).sum(axis=0) > 0), 1.0, t)
+        grown = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        self.weights, self.reached, self.momentum = new + np.where(still, 0.0, (t - 1) / grown) * (new - before), new, grown
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -231,27 +244,30 @@ def _step(shared):
 def fit_all(rows: DataFrame, inputs: Inputs, designs: dict[int, Design], fits: dict[int, Fit], tolerance: float) -> tuple[dict[int, np.ndarray], dict[int, tuple]]:
     """Pass over `rows` until no setting of any part moves by more than `tolerance`; parts leave as they come to rest.
 
-    Returns, by part, which settings came to rest, and the gradient and target sums of the last pass. `fits` hold the coefficients.
+    Returns, by part, which settings came to rest, and the gradient and target sums of the last pass. `fits` hold the coefficients; without
+    any there is nothing to do.
     """
     rest, last, todo = {}, {}, dict(fits)
     context = rows.sparkSession.sparkContext
-    for _ in range(MAX_PASSES):
+    for _ in range(MAX_PASSES if todo else 0):
         shared = context.broadcast((designs, todo))
         found = rows.mapInArrow(_sums(shared, inputs), SUMS).repartition(len(todo), "part").groupBy("part").applyInArrow(
             _step(shared), STEPS).collect()  # coefficients of each part
-        shared.unpersist()
+        shared.destroy()
         for r in found:
             fit = todo[r["part"]]
             shape = fit.weights.shape
             moved = np.frombuffer(r["moved"])
             last[r["part"]] = (np.frombuffer(r["gradient"]).reshape(shape), np.frombuffer(r["target"]), fit.weights)
             rest[r["part"]] = moved < tolerance
-            fit.weights = np.frombuffer(r["weights"]).reshape(shape)
+            fit.advance(np.frombuffer(r["weights"]).reshape(shape), rest[r["part"]])
             if not fit.newton and fit.curvature is None:
                 fit.curvature = np.frombuffer(r["curvature"]).reshape(shape[0], shape[0])
         todo = {p: f for p, f in todo.items() if not rest[p].all()}
         if not todo:
             break
+    for fit in fits.values():
+        fit.weights = fit.weights if fit.reached is None else fit.reached
     return rest, last
 
 
@@ -283,12 +299,15 @@ def _scores(shared, inputs: Inputs, step: int, kept: Sequence[str]):
             numeric, categorical, _ = _rows_of(batch, inputs)
             fold = batch.column("fold").to_numpy()
             for k, name in enumerate(inputs.sets):
-                p = np.zeros(len(batch))
+                p, fitted = np.zeros(len(batch)), np.zeros(len(batch), dtype=bool)
                 for f in np.unique(fold):
                     at = np.flatnonzero(fold == f)
                     part = int(f) * step
+                    if (part, k) not in fits:
+                        continue
+                    fitted[at] = True
                     p[at] = sigmoid(designs[part].encode(numeric[at], [[c[i] for i in at] for c in categorical]) @ fits[part, k].weights)[:, 0]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([name] * len(batch), pa.string()), pa.array(p)], [*kept, "feature_set", "p"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([name] * len(batch), pa.string()), pa.array(p, mask=~fitted)], [*kept, "feature_set", "p"])
 
     return run
 
@@ -304,7 +323,8 @@ def _contributions(shared, inputs: Inputs, step: int, kept: Sequence[str], full:
                 place = {f: j for j, f in enumerate(features)}
                 for kind, parts in (("oof", fold * step), ("full", np.full(len(batch), full * step))):
                     values, base, margin = np.zeros((len(batch), len(features))), np.zeros(len(batch)), np.zeros(len(batch))
-                    for part in np.unique(parts):
+                    fitted = np.array([(int(part), k) in fits for part in parts], dtype=bool)
+                    for part in np.unique(parts[fitted]):
                         at, design, w = np.flatnonzero(parts == part), designs[int(part)], fits[int(part), k].weights[:, 0]
                         x = design.encode(numeric[at], [[c[i] for i in at] for c in categorical])
                         for j, (feature, _) in enumerate(design.columns):
@@ -313,7 +333,7 @@ def _contributions(shared, inputs: Inputs, step: int, kept: Sequence[str], full:
                         base[at], margin[at] = w[-1], x @ w
                     n = len(batch)
                     yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(c) for c in kept), pa.array([name] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(base), pa.array(margin), pa.array(list(values), pa.list_(pa.float64()))],
+                        [*(batch.column(c) for c in kept), pa.array([name] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(base, mask=~fitted), pa.array(margin, mask=~fitted), pa.array([v if ok else None for v, ok in zip(values, fitted)], pa.list_(pa.float64()))],
                         [*kept, "feature_set", "fit", "base", "margin", "contributions"])
 
     return run
@@ -345,7 +365,8 @@ def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], o
     """Tune and fit every feature set inside every outer training part, and score the rows left out.
 
     A setting's penalty C on the summed loss is 1 / (C n) on the mean loss. A setting is valid if its fits of all inner parts came to rest;
-    of the valid ones the lowest mean of the inner folds' mean log losses is chosen, the lower id of equal ones. Rows with a null
+    of the valid ones the lowest mean of the inner folds' mean log losses is chosen, the lower id of equal ones. Where none is valid
+    there is no fit, and scores and contributions are null. Rows with a null
     entity or label are left out. A level that the training part lacks has no column. An empty table gives empty results. With `full`, all
     rows are one more training part, tuned and fitted in the same passes; it stands as fold `outer` in the tables and scores no row.
     """
@@ -372,7 +393,7 @@ def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], o
     shared = spark.sparkContext.broadcast((designs, tuned))
     losses = used.mapInArrow(_losses(shared, inputs), "part int, at int, loss double, n double").groupBy("part", "at").agg(
         (F.sum("loss") / F.sum("n")).alias("loss")).collect()  # parts by settings
-    shared.unpersist()
+    shared.destroy()
     found: dict[tuple[int, int, int], list] = {}
     for r in losses:
         s, g = every[r["at"]]
@@ -400,8 +421,6 @@ def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], o
                 equation = target[k] + gradient[k] + (0.0 if free else l2 * at[k] + l1 * side)
                 table_rows.append((sets[s], part // step, name if level is None else f"{name}={level}", float(at[k]), float(equation)))
     coefficients = spark.createDataFrame(table_rows, "feature_set string, fold int, column_name string, coefficient double, equation double")
-    if not final:
-        return Nested(spark.createDataFrame([], "pair_id string, entity string, fold int, label int, feature_set string, p double"), search_df, numeric, levels, coefficients)
     kept = [inputs.key, inputs.entity, "fold", inputs.y]
     types = dict(used.dtypes)
     shared = spark.sparkContext.broadcast((designs, final))
@@ -410,5 +429,5 @@ def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], o
     if full:
         types_of = ", ".join(f"`{c}` {types[c]}" for c in kept)
         wide = keep(used.mapInArrow(_contributions(shared, inputs, step, kept, outer), f"{types_of}, feature_set string, fit string, base double, margin double, contributions array<double>"), "nested_contributions")
-    shared.unpersist()
+    shared.destroy()
     return Nested(scores, search_df, numeric, levels, coefficients, wide)
