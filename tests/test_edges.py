@@ -258,3 +258,17 @@ def test_code_without_a_unique_branch_is_not_mapped(spark):
     branches = spark.createDataFrame([(1, "m", "t", "Y"), (2, "m", "t", "Y"), (2, "m", "u", "Y")], "code long, middle string, top string, primary_flag string")
     got = {r["term"]: (r["status"], r["code"]) for r in T.map_terms_cascade(terms, index, T.primary_hierarchy(branches)).collect()}
     assert got == {"a": ("MAPPED", 1), "b": ("UNRESOLVED_HIERARCHY", None)}
+
+
+def test_strict_rows_read_names_of_matched_arms_only(spark, monkeypatch):
+    rows = spark.createDataFrame([("E", "x", 1, 10), ("E", "y", 1, 10), ("F", "x", 2, 20), ("E", "x", 3, 30), ("E", "x", None, 40)], "entity string, event string, nct_id int, rgid int")
+    groups = spark.createDataFrame([(1, 10, "arm a"), (2, 20, "arm b"), (3, 30, "arm c"), (9, 90, "arm z"), (None, 40, "arm z")], "nct_id int, rgid int, title string")
+    arms = spark.createDataFrame([(1, 100, "Arm A", "OTHER"), (2, 200, "Arm B", "OTHER"), (3, 300, "Arm C", "OTHER"), (9, 900, "Arm Z", "OTHER")], "nct_id int, dgid int, title string, group_type string")
+    bridge = spark.createDataFrame([(100, 1), (100, 1), (200, 2), (200, 3), (300, None), (900, 9)], "dgid int, intervention_id int")
+    drugs = spark.createDataFrame([(i, "F" if i == 2 else "E", f"drug {i}", "DRUG") for i in (1, 2, 3, 9)], "intervention_id int, entity string, intervention_name string, intervention_type string")
+    plain = EV.treatment_arms(EV.target_monotherapy(EV.attribute_arms(rows, groups, arms), EV.arm_composition(arms, bridge, drugs), bridge, drugs))
+    asked, compose = [], EV.arm_composition
+    monkeypatch.setattr(EV, "arm_composition", lambda d, b, i: asked.append(({r.dgid for r in d.collect()}, {r.intervention_id for r in b.collect()})) or compose(d, b, i))
+    got = EV.strict_rows(rows, groups, arms, bridge, drugs)
+    assert got.columns == plain.columns and sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect())) and got.count() == 2
+    assert asked == [({100, 200, 300}, {1, 2, 3})]

@@ -90,9 +90,15 @@ def treatment_arms(rows: DataFrame, title: str = "arm_title") -> DataFrame:
 
 
 def strict_rows(rows: DataFrame, result_groups, design_groups, bridge, interventions) -> DataFrame:
-    attributed = attribute_arms(rows, result_groups, design_groups)
-    composition = arm_composition(design_groups, bridge, interventions)
-    return treatment_arms(target_monotherapy(attributed, composition, bridge, interventions))
+    """The cascade over few of the groups: titles are read for the rows' groups and trials only, names for the arms these match only."""
+    groups = result_groups.join(rows.select("nct_id", "rgid").distinct(), ["nct_id", "rgid"], "left_semi")
+    designs = design_groups.join(rows.select("nct_id").distinct(), "nct_id", "left_semi")
+    attributed = keep(attribute_arms(rows, groups, designs), "attributed_rows")
+    arms = attributed.select("dgid").distinct()
+    linked = bridge.join(arms, "dgid", "left_semi").select("dgid", "intervention_id")
+    named = keep(linked.join(interventions.select("intervention_id", "entity", "intervention_name", "intervention_type"), "intervention_id"), "arm_drugs")
+    links, names = (named.select(*c).distinct() for c in (("dgid", "intervention_id"), ("intervention_id", "entity", "intervention_name", "intervention_type")))
+    return treatment_arms(target_monotherapy(attributed, arm_composition(arms, links, names), links, names))
 
 
 def quality_ceiling(ae_rows, trials, result_groups, design_groups, bridge, interventions) -> DataFrame:
