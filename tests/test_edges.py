@@ -272,3 +272,16 @@ def test_strict_rows_read_names_of_matched_arms_only(spark, monkeypatch):
     got = EV.strict_rows(rows, groups, arms, bridge, drugs)
     assert got.columns == plain.columns and sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect())) and got.count() == 2
     assert asked == [({100, 200, 300}, {1, 2, 3})]
+
+
+def test_items_and_orders_meet_in_one_written_stage(spark):
+    from vigitab.sources.bindings import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    lines, orders = t.table("lineitem"), t.table("orders")
+    assert t.items.count() == lines.count() and t.base.count() == lines.join(orders, lines.l_orderkey == orders.o_orderkey).count()
+    assert t.base.where("orderkey IS NULL OR odate IS NULL OR custkey IS NULL").count() == 0 and "orders" not in t.items.columns + t.base.columns
+    for df in (t.items, t.base):  # both read the stage, and neither shuffles again
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    per_order = t.items.groupBy("orderkey").agg(F.max("row_no").alias("last"), F.count(F.lit(1)).alias("n"))
+    assert per_order.where("last <> n").count() == 0

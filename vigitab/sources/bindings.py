@@ -39,13 +39,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     @staged
-    def items(self) -> DataFrame:
-        """Line items with the part's names; enough for everything that needs no order column."""
+    def ordered_items(self) -> DataFrame:
+        """Line items with the part's names and, where there is one, the order: numbered and joined in one exchange by order key."""
         part = self.table("part").select(
             F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"),
             X.safe_long(F.split_part("p_brand", F.lit("#"), F.lit(2))).alias("bn"),
         )
-        return self.table("lineitem").join(part, "l_partkey").select(
+        rows = self.table("lineitem").join(part, "l_partkey").select(
             F.col("l_orderkey").alias("orderkey"),
             F.col("l_linenumber").alias("linenumber"), F.col("l_suppkey").alias("suppkey"),
             "brand", "name", "bn", F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"),
@@ -53,15 +53,22 @@ class Tables:
             F.col("l_linestatus").alias("lstatus"),
         ).withColumn("row_no", F.row_number().over(Window.partitionBy("orderkey").orderBy(
             "linenumber", "suppkey", "brand", "name", "qty", "price", "disc", "tax", "rflag", "lstatus")))
-
-    @staged
-    def base(self) -> DataFrame:
-        orders = self.table("orders").select(
-            F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"),
+        orders = self.table("orders").groupBy(F.col("o_orderkey").alias("orderkey")).agg(F.collect_list(F.struct(
+            F.col("o_custkey").alias("custkey"),
             F.col("o_orderstatus").alias("ostatus"), F.to_date("o_orderdate").alias("odate"),
             F.col("o_orderpriority").alias("oprio"), F.col("o_totalprice").alias("total"),
-        )
-        return self.items.join(orders, "orderkey")
+        )).alias("orders"))
+        return rows.join(orders, "orderkey", "left")
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """Line items with the part's names; enough for everything that needs no order column."""
+        return self.ordered_items.drop("orders")
+
+    @cached_property
+    def base(self) -> DataFrame:
+        """Line items with their order, one row for each order of the key."""
+        return self.ordered_items.select("*", F.inline("orders")).drop("orders")
 
     # --- reports ---------------------------------------------------------
 
