@@ -120,6 +120,16 @@ def test_bootstrap_weights_are_whole_draws(spark):
     assert all(0 <= m <= 2 / 3 for m in micro) and len(set(micro)) > 3
 
 
+def test_copies_meet_the_draws_once(spark):
+    rows = [(f"c{i % 4}", i % 2, 0.2 + 0.1 * (i % 3)) for i in range(12)]
+    df = spark.createDataFrame(rows * 50, "c string, y int, p double").withColumn("g", F.lit("a"))
+    drawn = R.drawn_scores(df, ["g"], "c", "y", "p", 20, 5)
+    plain = df.join(R.draw_weights(df, "c", 20, 5), "c")
+    per = lambda rows: sorted(map(tuple, rows.groupBy("rep", "c", "y", "p").agg(F.sum("w")).collect()))
+    assert per(drawn) == per(plain)
+    assert 50 * drawn.count() == plain.count()  # 50 copies of a row are one row here
+
+
 def test_entity_without_signals_has_null_coverage(spark):
     sig = spark.createDataFrame([("a", True), ("a", False)], "entity string, seen boolean")
     ents = spark.createDataFrame([("a",), ("b",)], "entity string")

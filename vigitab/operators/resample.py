@@ -176,6 +176,16 @@ def nested_folds(df: DataFrame, folds: DataFrame, group: str, y: str, inner: int
 
 # --- bootstrap of metrics -------------------------------------------------
 
+def drawn_scores(df: DataFrame, by: Sequence[str], cluster: str, y: str, p: str, reps: int, seed: int) -> DataFrame:
+    """(by, rep, cluster, p, y, w): what each replicate draws, w counting draws times rows.
+
+    Equal rows of a cluster are counted before they meet the draws, so this grows with the distinct scores of the clusters, not with the rows.
+    """
+    counted = df.groupBy(*by, cluster, p, y).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = counted.join(draw_weights(df.select(cluster), cluster, reps, seed), cluster)
+    return drawn.withColumn("w", F.col("w") * F.col("_n")).drop("_n")
+
+
 #: Replicates of a vector, and (cluster, score) rows of a score band, so that a task holds about BLOCK * BAND_ROWS draws.
 BLOCK, BAND_ROWS = 500, 4000
 _MEASURES = ["average_precision", "auroc", "brier", "log_loss"]

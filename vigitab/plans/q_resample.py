@@ -204,8 +204,8 @@ def _(t):
 
 @query("bootstrap_calibration", None, "", "E-10 E-5 E-6")
 def _(t):
-    w = R.draw_weights(t.pred, "cluster", BREPS, SEED)
-    return E.calibration(long_pred(t).join(w, "cluster"), ["score_set", "rep"], "y", "p", "w", steps=50, tol=1e-8)
+    drawn = R.drawn_scores(long_pred(t), ["score_set"], "cluster", "y", "p", BREPS, SEED)
+    return E.calibration(drawn, ["score_set", "rep"], "y", "p", "w", steps=50, tol=1e-8)
 
 
 def _inc(m):
