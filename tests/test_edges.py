@@ -19,6 +19,7 @@ from vigitab.operators import prefix as P
 from vigitab.operators import resample as R
 from vigitab.operators import signals as S
 from vigitab.operators import terms as T
+from vigitab.operators.storage import keep
 
 D = dt.date
 
@@ -120,6 +121,19 @@ def test_bootstrap_weights_are_whole_draws(spark):
     assert all(0 <= m <= 2 / 3 for m in micro) and len(set(micro)) > 3
 
 
+def test_stages_in_buckets_are_not_shuffled_again(spark):
+    rows = spark.range(200).select((F.col("id") % 50).alias("k"), (F.col("id") % 4).alias("part"), F.col("id").alias("v"))
+    tops = rows.groupBy("k").agg(F.max("v").alias("top"))
+
+    def summed(left, right):
+        met = left.withColumnRenamed("k", "nct_id").join(right.withColumnRenamed("k", "nct_id").hint("merge"), "nct_id")
+        return met.groupBy("nct_id", "part").agg(F.count(F.lit(1)).alias("n"), F.max("top").alias("top"))
+
+    out = summed(keep(rows, "left", "k"), keep(tops, "right", "k"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, summed(rows, tops).collect()))
+
+
 def test_copies_meet_the_draws_once(spark):
     rows = [(f"c{i % 4}", i % 2, 0.2 + 0.1 * (i % 3)) for i in range(12)]
     df = spark.createDataFrame(rows * 50, "c string, y int, p double").withColumn("g", F.lit("a"))

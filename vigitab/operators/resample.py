@@ -52,7 +52,7 @@ def draw_weights(clusters: DataFrame, cluster: str, reps: int, seed: int, by: Se
 def bootstrap_ratio(df: DataFrame, cluster: str, num: str, den: str, reps: int = 5000, seed: int = 20260700, by: Sequence[str] = ()) -> DataFrame:
     """Replicates of the ratio of sums (micro) and the mean of ratios (macro) over whole clusters."""
     by = list(by)
-    sums = df.groupBy(*by, cluster).agg(F.sum(num).cast("double").alias("_num"), F.sum(den).cast("double").alias("_den"))
+    sums = keep(df.groupBy(*by, cluster).agg(F.sum(num).cast("double").alias("_num"), F.sum(den).cast("double").alias("_den")), "cluster_sums")
     w = draw_weights(sums, cluster, reps, seed, by)
     j = join_same(w, sums, [*by, cluster])
     own = N.ratio("_num", "_den")

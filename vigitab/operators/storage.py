@@ -20,9 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def keep(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write `df` once as Parquet; later plans read the rows and need no lineage or executor storage."""
+def keep(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Write `df` once as Parquet; later plans read the rows and need no lineage or executor storage.
+
+    With `by` the rows stand in buckets of that column: what is joined by it, or grouped by it alone or with more columns, is not shuffled again.
+    """
+    spark = df.sparkSession
     typed = df.withColumns({f.name: df[f.name].cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)})
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    typed.write.parquet(path)
-    return df.sparkSession.read.schema(typed.schema).parquet(path)
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    if by is None:
+        typed.write.parquet(path)
+        return spark.read.schema(typed.schema).parquet(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    typed.repartition(buckets, by).write.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(table)
+    return spark.table(table)

@@ -168,7 +168,8 @@ def _(t):
  b AS (SELECT definition, rep, sum(w*num)::DOUBLE/sum(w*den) AS micro FROM w JOIN c USING (definition, entity) GROUP BY 1,2)
  SELECT definition, 'micro' AS measure, 100*quantile_cont(micro,0.025) AS low, 100*quantile_cont(micro,0.975) AS high, count(micro) AS valid, 0::BIGINT AS failed FROM b GROUP BY 1""", "low high", "C-11 B-3")
 def _(t):
-    found = C.represented(defined(t).select("definition", "entity", "event").distinct(), t.signals3.where("criterion_r"), volume(t)).withColumn("den", F.lit(1))
+    pairs = A.keep(defined(t).select("definition", "entity", "event").distinct(), "definition_pairs")  # read twice
+    found = C.represented(pairs, t.signals3.where("criterion_r"), volume(t)).withColumn("den", F.lit(1))
     return R.ci_table(R.bootstrap_ratio(found, "entity", "represented", "den", REPS, SEED, ["definition"]), ["definition"], ["micro"], 100.0)
 
 

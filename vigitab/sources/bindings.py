@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +17,23 @@ from ..operators.storage import keep
 STAGES: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def staged(view: Callable[[Tables], DataFrame]) -> cached_property:
+def staged(view: Callable[[Tables], DataFrame], by: str | None = None) -> cached_property:
     """A view that is written to the shared folder when it is first asked for."""
 
     def get(t: Tables) -> DataFrame:
         key = (t.spark.sparkContext.applicationId, t.path, view.__name__)
         if key not in STAGES:
-            STAGES[key] = keep(view(t), view.__name__)
+            STAGES[key] = keep(view(t), view.__name__, by)
         return STAGES[key]
 
     return cached_property(get)
 
 
+def staged_by(column: str) -> Callable[[Callable[[Tables], DataFrame]], cached_property]:
+    """Like staged, in buckets of the order's key under that name: the distinct rows of the cascade and of the cells are found there."""
+    return partial(staged, by=column)
+
+
 class Tables:
     """Views over a data folder; staged ones are written on first use, the others are lazy."""
 
@@ -38,7 +43,7 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    @staged
+    @staged_by("orderkey")
     def ordered_items(self) -> DataFrame:
         """Line items with the part's names and, where there is one, the order: numbered and joined in one exchange by order key."""
         part = self.table("part").select(
@@ -81,16 +86,16 @@ class Tables:
             role.alias("role"), F.col("brand").alias("entity"), F.col("name").alias("event"),
         )
 
-    @staged
+    @staged_by("caseid")
     def cases(self) -> DataFrame:
         """One row per case with a report."""
         return self.report.select("caseid", "report_date").distinct()
 
-    @staged
+    @staged_by("caseid")
     def exposures(self) -> DataFrame:
         return self.report.where("role = 'PS'").select("caseid", "report_date", "entity").distinct()
 
-    @staged
+    @staged_by("caseid")
     def case_event(self) -> DataFrame:
         return self.report.select("caseid", "report_date", "event").distinct()
 
@@ -267,11 +272,11 @@ class Tables:
             F.concat(F.lit("Arm "), F.col("brand"), F.lit(" #"), F.col("linenumber").cast("string")).alias("title"),
         )
 
-    @staged
+    @staged_by("nct_id")
     def result_group(self) -> DataFrame:
         return self.ae_row.select("nct_id", "rgid", "title").distinct()
 
-    @staged
+    @staged_by("nct_id")
     def design_group(self) -> DataFrame:
         rows = self.items.where("suppkey % 4 <> 0").select(
             F.col("orderkey").alias("nct_id"), F.col("suppkey").alias("suppkey"),
@@ -284,7 +289,7 @@ class Tables:
             "nct_id", (F.col("_arm") * 2 + F.col("_c")).alias("dgid"), "title", "group_type"
         ).distinct()
 
-    @staged
+    @staged_by("nct_id")
     def intervention(self) -> DataFrame:
         return self.items.select(
             (F.col("orderkey") * 100 + F.col("bn")).alias("intervention_id"), F.col("orderkey").alias("nct_id"),
@@ -338,13 +343,13 @@ class Tables:
 
     # --- composed stages --------------------------------------------------
 
-    @staged
+    @staged_by("nct_id")
     def evidence(self) -> DataFrame:
         from ..operators import evidence as C
 
         return C.evidence_rows(self.ae_row, self.trial, self.trial_anchor)
 
-    @staged
+    @staged_by("nct_id")
     def final_rows(self) -> DataFrame:
         from ..operators import evidence as C
 
