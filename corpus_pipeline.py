@@ -40,8 +40,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup on five-word shingles: of documents linked by a Jaccard of 0.8 or more the one with the smallest doc_id stays."""
     first = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    kept = near_copies.near_copies(docs).where(first).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    judged = near_copies.near_copies(docs).groupBy(F.col("doc_id").alias("__dropped_id")).agg(F.max(first).alias("__kept"))
+    dropped = stored(judged.where("not __kept").select("__dropped_id"), "dropped")  # the few: texts stay where they are while Spark can broadcast their ids
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dropped_id")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

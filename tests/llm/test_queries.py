@@ -33,6 +33,15 @@ def test_names_and_numbers():
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
+def test_near_dedup_leaves_texts_where_they_are(spark, tmp_path):
+    texts = [prose("en", i, 120) for i in range(20)]
+    texts[15:] = [edited(random.Random(i), texts[i - 15], 1) for i in range(15, 20)]
+    out = corpus_pipeline.drop_near_copies(spark, frame(spark, texts, ["en"] * 20, ["src0"] * 20), str(tmp_path))
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    roots = brute_near_roots(texts)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(roots))
+
+
 def test_pipeline_stages(spark, tmp_path):
     langs = ["en", "de", "fr"]
     texts = [prose(langs[i % 3], i // 2, 120) for i in range(120)] + [None, "", "12 34", prose("en", 0, 120)]

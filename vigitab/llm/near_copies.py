@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, map_batches, stored, whole_text
+from .common import HOT_SHARE, join_groups, map_batches, stored, whole_text
 from .simhash import SEED, components, spanning, trie_pairs
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -140,8 +140,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(rows: DataFrame, name: str) -> DataFrame:
     """Rows whose key others have too, with the number of rows of the key."""
     rows = stored(rows, name)
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return stored(join_groups(rows, stored(sizes, "sample_sizes"), "key", rows.count(), "members"), "shared_samples")
+    sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sample_sizes")
+    cut = rows.count() // HOT_SHARE
+    hot = [r["key"] for r in sizes.where(F.col("members") > cut).select("key").collect()] if cut else []  # fewer than HOT_SHARE
+    if not hot:
+        return stored(rows.join(sizes, "key"), "shared_samples")
+    large, small = F.col("key").isin(hot), F.col("members") <= cut
+    met = rows.where(large).join(F.broadcast(sizes.where(~small)), "key").unionByName(rows.where(~large).join(sizes.where(small), "key"))
+    return stored(met, "shared_samples")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
