@@ -77,6 +77,33 @@ def test_a_large_group_stays_whole_and_a_common_passage_joins_nothing(spark):
     assert sum(got[700 + k] == 400 + k for k in range(40)) >= 36
 
 
+def test_no_link_is_lost_in_large_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = random_text(rng, 60)
+    texts = [passage + " " + random_text(rng, 60 + k % 40) for k in range(90)]
+    texts += [edited(rng, t, 1 + k % 3) for k, t in enumerate(texts)] + [" ".join(texts[k].split()[: -3 - k % 9]) for k in range(40)]
+    monkeypatch.setattr(near_copies, "BLOCK", 2)
+    monkeypatch.setattr(near_copies, "ORDER_SAMPLE", 4000)
+    got, want = components_of(spark, texts), brute_near_roots(texts)
+    assert len(set(want)) < 100 and [got[k] for k in range(len(texts))] == want
+
+
+def test_similar_sets_meet_in_their_prefixes():
+    rng = np.random.default_rng(4)
+    bases = [np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32)) for n in (4, 5, 9, 10, 30, 200) for _ in range(20)]
+    sets = bases + [np.unique(np.r_[b[rng.random(len(b)) > 0.1], rng.integers(0, 1 << 32, len(b) // 12 + k % 2, dtype=np.uint32)]) for k, b in enumerate(bases)]
+    known = np.unique(np.concatenate([b[: len(b) // 3] for b in bases]))
+    row, shingle, size, left = near_copies.prefixes(sets, known, rng.permutation(len(known)) + 1, 0.8)
+    own = [dict(zip(shingle[row == k].tolist(), left[row == k].tolist())) for k in range(len(sets))]
+    similar = 0
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and len(sets[a]) > 3:
+            similar += 1
+            assert any(min(own[a][s], own[b][s]) >= both for s in own[a].keys() & own[b].keys())
+    assert similar > 40 and all(size[row == k].tolist() == [len(sets[k])] * len(own[k]) for k in range(len(sets)))
+
+
 def test_odd_rows(spark):
     texts = odd_texts()
     docs = frame(spark, texts, ids=[None, *range(1, len(texts) - 1), 3]).withColumn("digest", F.lit("own")).withColumn("keys", F.lit(1))

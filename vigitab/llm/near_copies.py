@@ -1,4 +1,4 @@
-"""Near copies by similarity: SimHash tries below shared samples of five-word shingles, links confirmed by Jaccard.
+"""Near copies by similarity: SimHash tries below shared samples of five-word shingles, links confirmed by Jaccard, the rest by prefixes.
 
 At a Jaccard of 0.8 two 64-bit fingerprints differ in about ten bits, and no block of the fingerprint is both equal in such pairs and
 rare in others. So the block that partners share comes from the text: each of SAMPLES samples takes the shingles whose hash falls into
@@ -10,6 +10,10 @@ A sample gives a row of four numbers, so rows grow with the documents alone. A s
 many documents hold, a large group of near copies) is taken apart twice: by the text's next sample, and by a hash that differs from
 sample to sample, so that the parts of one group overlap and a group of near copies stays connected. No task makes pairs of more than
 BLOCK rows.
+
+Samples, budget and blocks find most links cheaply and may miss some. An exact pass follows: two sets with a Jaccard of t share one of the
+first n - ceil(t * n) + 1 shingles of their n, in any common order. With the frequent shingles last, such prefixes seldom meet; the pairs
+that do, and that are not in one component yet, are confirmed as well. So no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import HOT_SHARE, join_groups, map_batches, stored, whole_text
 from .simhash import SEED, components, spanning, trie_pairs
@@ -36,6 +41,10 @@ BLOCK = 64
 JOIN_ROWS = 1 << 14
 MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK = 1 << 14
+#: Shingles counted to find the frequent ones, and frequent ones kept. Both only order the prefixes: any order gives the same links.
+ORDER_SAMPLE, ORDER_ROOM = 1 << 24, 1 << 18
+#: Slack of comparisons of whole numbers with products of `similarity`.
+SLACK = 1e-6
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -176,6 +185,77 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, similarity: float = SIMILAR
     return met.withColumn("both", both).where(F.col("both") + 1e-9 >= similarity * (F.size("u_set") + F.size("v_set") - F.col("both"))).select("u", "v")
 
 
+def frequent_shingles(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a bounded sample of the sets, ascending, and their ranks from 1, the most frequent highest."""
+    total = sketches.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    part = sketches.where(F.pmod(F.xxhash64("digest"), F.lit(max(1, total // ORDER_SAMPLE))) == 0).dropDuplicates(["digest"])
+    counts = part.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "shingle").limit(ORDER_ROOM).toArrow().combine_chunks()
+    shingles, n = top["shingle"].to_numpy().astype(np.int32).view(np.uint32), top["n"].to_numpy().astype(np.int64)
+    ranks = np.empty(len(n), np.int64)
+    ranks[np.lexsort((shingles, n))] = np.arange(1, len(n) + 1)
+    order = np.argsort(shingles)
+    return shingles[order], ranks[order]
+
+
+def prefixes(sets: list[np.ndarray], known: np.ndarray, ranks: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """Of ascending sets: the place of the set, the shingle, the set's size and its shingles from this one on, for each shingle of a prefix."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+    row = np.repeat(np.arange(len(sets)), size)
+    rank = np.zeros(len(flat), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        rank = np.where(known[at] == flat, ranks[at], 0)
+    order = np.lexsort((rank, row))  # stable, so shingles of one rank ascend
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    length = size - np.ceil(similarity * size - SLACK).astype(np.int64) + 1
+    length[(size + 1) * similarity > size + SLACK] = 0  # only equal sets are similar
+    kept = place < length[row]
+    row, place = row[kept], place[kept]
+    return row, flat[order][kept], size[row], size[row] - place
+
+
+def prefix_rows(sketches: DataFrame, similarity: float) -> DataFrame:
+    """shingle, digest, size, left for every shingle of every set's prefix."""
+    shared = sketches.sparkSession.sparkContext.broadcast(frequent_shingles(sketches))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = shared.value
+        for batch in batches:
+            sets = [s.values.to_numpy().view(np.uint32) for s in batch.column("shingles")]
+            row, shingle, size, left = prefixes(sets, known, ranks, similarity)
+            digest = batch.column("digest").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingle.view(np.int32)), pa.array(digest), pa.array(size.astype(np.int32)), pa.array(left.astype(np.int32))], ["shingle", "digest", "size", "left"])
+
+    return map_batches(sketches.select("digest", "shingles"), run, "shingle int, digest long, size int, left int")
+
+
+def _met(rows: DataFrame, name: str, node: str) -> DataFrame:
+    """Rows whose shingle stands in the prefixes of more than one `node`."""
+    bucket = Window.partitionBy("shingle")
+    met = rows.withColumns({"low": F.min(node).over(bucket), "high": F.max(node).over(bucket)}).where("low < high").drop("low", "high")
+    return stored(met, name)
+
+
+def missing(sketches: DataFrame, labels: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs (u < v) of digests in different components (id, label) that can have a Jaccard of `similarity`.
+
+    Pairs are made between the components that share a shingle of their prefixes, never inside one, so a large group costs its rows.
+    """
+    met = _met(prefix_rows(sketches, similarity), "met_prefixes", "digest")
+    known = met.join(labels.withColumnRenamed("id", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    apart = _met(known.distinct(), "apart_prefixes", "label")
+    heads = apart.select("shingle", "label").distinct()
+    other = lambda df, *names: df.select("shingle", *(F.col(c).alias(f"{c}_2") for c in names))
+    groups = heads.join(other(heads, "label"), "shingle").where("label < label_2")
+    pairs = groups.join(apart, ["shingle", "label"]).join(other(apart, "label", "digest", "size", "left"), ["shingle", "label_2"])
+    least = F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_2"))  # what sets of these sizes have to share
+    pairs = pairs.where(F.least("left", "left_2") + F.lit(SLACK) >= least)
+    return pairs.select(F.least("digest", "digest_2").alias("u"), F.greatest("digest", "digest_2").alias("v")).distinct()
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Return doc_id and component_id, the smallest doc_id reachable over links, for every row.
 
@@ -189,7 +269,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     sets = sketches.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("value").alias("value"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
     sets = stored(sets, "shingle_sets")
     edges = stored(confirmed(stored(candidates(sets), "candidates"), sketches, similarity), "confirmed")
-    labels = components(edges).withColumnRenamed("id", "digest")
+    labels = components(edges)
+    more = stored(confirmed(stored(missing(sketches, labels, similarity), "missing"), sketches, similarity), "confirmed_missing")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
+    labels = labels.withColumnRenamed("id", "digest")
     named = stored(sets.drop("value", "keys").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "labelled_sets")
     members = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     whole = join_groups(named, stored(members, "set_members"), "label", named.count(), "members").select("digest", "copies", "component_id")
