@@ -37,19 +37,47 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return same.withColumn("__nth_copy", nth).where("__nth_copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+#: Bits of the map of dropped ids: 2^16 words of 64 bits at most are broadcast, whatever the number of ids.
+MAP_BITS = 1 << 22
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id (null too) is not in `dropped` (distinct __dropped_id), few texts being moved.
+
+    A bit map of the hashed ids clears most rows where they are. Only rows that hit a set bit are held against the ids themselves.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    word, one = lambda c: F.shiftright(bit(c), 6), lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) as int))")
+    words = stored(dropped.groupBy(word("__dropped_id").alias("__word")).agg(F.bit_or(one("__dropped_id")).alias("__bits")), "dropped_map")
+    met = docs.withColumn("__word", word("doc_id")).join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(one("doc_id")) != 0, F.lit(False))
+    asked = met.where(hit).join(dropped, F.col("doc_id").eqNullSafe(F.col("__dropped_id")), "left_anti")
+    return met.where(~hit).unionByName(asked).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup on five-word shingles: of documents linked by a Jaccard of 0.8 or more the one with the smallest doc_id stays."""
     first = F.col("component_id").eqNullSafe(F.col("doc_id"))
     judged = near_copies.near_copies(docs).groupBy(F.col("doc_id").alias("__dropped_id")).agg(F.max(first).alias("__kept"))
-    dropped = stored(judged.where("not __kept").select("__dropped_id"), "dropped")  # the few: texts stay where they are while Spark can broadcast their ids
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dropped_id")), "left_anti")
+    return without_ids(docs, stored(judged.where("not __kept").select("__dropped_id"), "dropped"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: the rows that a single epoch takes."""
-    taken = mixing.mix(docs, mixing.source_tree(), mixing.TREE_WEIGHTS, mixing.PERCENT, 1, mixing.SEED)
-    kept = taken.where("copies > 0").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """Mixing to target weights: the rows that a single epoch takes.
+
+    A leaf takes a prefix of its rows by order key, so a row is known by the last key that its leaf takes and texts stay where they are.
+    Ids of which some rows are taken and others not, in leaves of their own, are looked up.
+    """
+    tree = mixing.source_tree()
+    taken = stored(mixing.mix(docs, tree, mixing.TREE_WEIGHTS, mixing.PERCENT, 1, mixing.SEED), "mixed").withColumn("__taken", F.col("copies") > 0)
+    leaf = lambda cols: F.to_json(F.array(*(F.coalesce(c.cast("string"), F.lit(mixing.NONE)) for c in cols)))
+    key = mixing.order_key(mixing.SEED, F.lit(0), "doc_id")
+    last = stored(taken.where("__taken").groupBy(leaf([F.col(n) for n in tree]).alias("__leaf")).agg(F.max(key).alias("__last")), "mix_last")
+    ids = taken.groupBy(F.col("doc_id").alias("__kept_id")).agg(F.max("__taken").alias("__any"), F.min("__taken").alias("__all"))
+    partly = stored(ids.where("__any and not __all").select("__kept_id", F.lit(True).alias("__partly")), "partly_taken")
+    told = docs.withColumn("__leaf", leaf(tree.values())).join(last, "__leaf", "left").join(partly, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left")
+    kept = F.coalesce(key <= F.col("__last"), F.lit(False)) | F.col("__partly").isNotNull()
+    return told.where(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,28 @@ def test_near_dedup_leaves_texts_where_they_are(spark, tmp_path):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(roots))
 
 
+def test_dropping_and_mixing_move_few_texts(spark, tmp_path, monkeypatch):
+    texts = [prose("en", i, 40) for i in range(300)]
+    ids = [*range(290), *[3, 4, 5, 6, 7] * 2]  # repeated ids, in other leaves and with other texts
+    docs = frame(spark, texts, [["en", "de"][i % 2] for i in range(300)], [f"src{i % 20}" for i in range(300)], ids=[None, *ids[1:]])
+    dropped = spark.createDataFrame([(None,), *((i,) for i in range(2, 290, 3))], "__dropped_id long")
+    for bits in (64, corpus_pipeline.MAP_BITS):  # a full map, and a thin one
+        monkeypatch.setattr(corpus_pipeline, "MAP_BITS", bits)
+        out = [tuple(r) for r in corpus_pipeline.without_ids(docs, dropped).collect()]
+        assert sorted(out) == sorted(tuple(r) for r in docs.collect() if r.doc_id is not None and r.doc_id % 3 != 2)
+    taken = mixing.mix(docs, mixing.source_tree(), mixing.TREE_WEIGHTS, mixing.PERCENT, 1, mixing.SEED)
+    want = {r.doc_id for r in taken.where("copies > 0").collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert sorted(map(repr, mixed.collect())) == sorted(repr(r) for r in docs.collect() if r.doc_id in want)
+    docs.write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")  # as with many ids: neither stage may shuffle all texts
+    try:
+        mixed = corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+        assert "hashpartitioning" not in mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pipeline_stages(spark, tmp_path):
     langs = ["en", "de", "fr"]
     texts = [prose(langs[i % 3], i // 2, 120) for i in range(120)] + [None, "", "12 34", prose("en", 0, 120)]

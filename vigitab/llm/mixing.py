@@ -54,6 +54,11 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[s
     return table.withColumnRenamed("above", "leaf_budget")
 
 
+def order_key(seed: int, epoch: Column, doc_id: str) -> Column:
+    """The key by which a leaf's rows stand in an epoch."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.col(doc_id).cast("string")))
+
+
 def mix(
     docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], percent: int, max_epochs: int = 1, seed: int = 0,
     doc_id: str = "doc_id", text: str = "text",
@@ -75,8 +80,7 @@ def mix(
     plan = leaf_budgets(leaves.withColumn("supply", F.col("leaf_tokens") * max_epochs), names, weights, tokens * percent // 100)
     epochs = F.coalesce(F.expr("leaf_budget div nullif(leaf_tokens, 0)"), F.lit(0))
     plan = plan.select("leaf", "leaf_rows", "leaf_budget", epochs.alias("epochs"), (F.col("leaf_budget") - epochs * F.col("leaf_tokens")).alias("rest"))
-    order_key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("doc_id").cast("string")))
-    keyed = join_groups(rows, stored(plan, "mix_plan"), "leaf", total, "leaf_rows").withColumn("order_key", order_key)
+    keyed = join_groups(rows, stored(plan, "mix_plan"), "leaf", total, "leaf_rows").withColumn("order_key", order_key(seed, F.col("epochs"), "doc_id"))
     keyed = keyed.withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
     bucket = Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("leaf", "bucket").agg(F.sum("tokens").alias("bucket_tokens")).select(
