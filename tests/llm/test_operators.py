@@ -344,6 +344,17 @@ def test_statistics_are_those_of_the_whole_table(spark):
         assert np.allclose(p + 2 ** cut._total(np.array([a << 42 | b << 21 | 0x4E00], dtype=np.uint64)), 1, atol=1e-4)
 
 
+def test_no_ngram_is_left_out_when_there_is_no_room(spark):
+    texts = [prose(lang, s) for lang in PROSE for s in range(12)] + [None, "", "12 34", "xq" * 40]
+    docs = frame(spark, texts, [lang for lang in PROSE for _ in range(12)] + ["en", None, "en", None])
+    want = {r.doc_id: r for r in langid.identify(docs).collect()}
+    got = {r.doc_id: r for r in langid.identify(docs, room=(20, 60, 90)).collect()}
+    assert set(got) == set(want)
+    for i, r in want.items():
+        assert (got[i].lang_pred, got[i].letters, got[i].rejected, got[i].held_out) == (r.lang_pred, r.letters, r.rejected, r.held_out)
+        assert got[i].entropy == r.entropy or abs(got[i].entropy - r.entropy) < 1e-4
+
+
 def test_rare_labels_leave_room_to_large_ones():
     sizes = {"en": 5000, "de": 4000, **{f"label{k}": 2 for k in range(1000)}}
     assert langid.shares_of_room(sizes, 8000) == 3000 and langid.shares_of_room(sizes, 20_000) == 20_000
