@@ -104,6 +104,50 @@ def test_similar_sets_meet_in_their_prefixes():
     assert similar > 40 and all(size[row == k].tolist() == [len(sets[k])] * len(own[k]) for k in range(len(sets)))
 
 
+def test_candidates_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    rng = random.Random(3)
+    base = random_text(rng, 150)
+    texts = [edited(rng, base, 5) for _ in range(240)]  # most pairs share half of the shingles
+    texts += [edited(rng, t, 1) for t in texts[:20]]
+    want, stored = brute_near_roots(texts), near_copies.stored
+    assert 150 < len(set(want)) < 250
+    monkeypatch.setattr(near_copies, "BLOCK", 2)
+    for rows in (near_copies.NODE_ROWS, 16):  # buckets as a whole, and in parts
+        monkeypatch.setattr(near_copies, "NODE_ROWS", rows)
+        counts = {}
+
+        def counted(df, name):
+            if name == "missing":
+                assert not re.search(r"Join \[[^\]]*shingle", df._jdf.queryExecution().executedPlan().toString())
+            out = stored(df, name)
+            counts[name] = out.count()
+            return out
+
+        monkeypatch.setattr(near_copies, "stored", counted)
+        got = components_of(spark, texts)
+        assert [got[k] for k in range(len(texts))] == want
+        assert counts["confirmed_missing"] <= counts["missing"] < 5 * len(texts)
+
+
+def test_bucket_pairs_lose_no_similar_pair():
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 1 << 32, 90, dtype=np.uint32))
+    sets = [np.unique(np.r_[base[rng.random(len(base)) > rng.choice([0.03, 0.1, 0.3])], rng.integers(0, 1 << 32, k % 12, dtype=np.uint32)]) for k in range(60)]
+    row, shingle, size, left = near_copies.prefixes(sets, base[:0], np.zeros(0, np.int64), 0.8)
+    parity = np.array([np.frombuffer(near_copies.parity_map(s), np.uint64) for s in sets])
+    label, part = np.arange(60) // 3, np.arange(60) % 2
+    share = lambda a, b: (both := len(np.intersect1d(a, b))) / (len(a) + len(b) - both)
+    similar = {(a, b) for a, b in itertools.combinations(range(60), 2) if share(sets[a], sets[b]) >= 0.8}
+    for sides in (False, True):
+        order = np.lexsort((size, shingle))
+        r, last = row[order], np.flatnonzero(np.r_[np.diff(shingle[order].astype(np.int64)) != 0, True]) + 1
+        ends = np.repeat(last, np.diff(np.r_[0, last]))
+        x, y = near_copies.bucket_pairs(ends, part[r] if sides else np.full(len(r), -1), label[r], size[order], left[order], parity[r], 0.8)
+        found = {(min(a, b), max(a, b)) for a, b in zip(r[x].tolist(), r[y].tolist())}
+        meet = {(a, b) for a, b in itertools.combinations(range(60), 2) if label[a] != label[b] and (not sides or part[a] != part[b])}
+        assert similar & meet <= found <= meet and len(similar & meet) > 50 and len(found) < len(meet) / 2
+
+
 def test_odd_rows(spark):
     texts = odd_texts()
     docs = frame(spark, texts, ids=[None, *range(1, len(texts) - 1), 3]).withColumn("digest", F.lit("own")).withColumn("keys", F.lit(1))

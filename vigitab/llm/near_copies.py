@@ -12,8 +12,10 @@ sample to sample, so that the parts of one group overlap and a group of near cop
 BLOCK rows.
 
 Samples, budget and blocks find most links cheaply and may miss some. An exact pass follows: two sets with a Jaccard of t share one of the
-first n - ceil(t * n) + 1 shingles of their n, in any common order. With the frequent shingles last, such prefixes seldom meet; the pairs
-that do, and that are not in one component yet, are confirmed as well. So no link between two components is lost.
+first n - ceil(t * n) + 1 shingles of their n, in any common order, the smaller set even one of its first n - ceil(2t / (1 + t) * n) + 1.
+With the frequent shingles last, such prefixes seldom meet. Sets of different components that stand in one such bucket are compared in the
+task that holds it, by size, by the place of the shingle and by a parity map, whose differing bits are never more than the shingles that
+the sets do not share. Rows are made only for pairs that pass, and these are confirmed as well. So no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import HOT_SHARE, join_groups, map_batches, stored, whole_text
-from .simhash import SEED, components, spanning, trie_pairs
+from .simhash import NODE_ROWS, SEED, components, spanning, trie_pairs
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Samples of a text, and the differing bits at which the trie below a sample is pruned: twice the mean at a Jaccard of 0.8.
@@ -43,6 +45,8 @@ MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, SAMPLES, dt
 CHUNK = 1 << 14
 #: Shingles counted to find the frequent ones, and frequent ones kept. Both only order the prefixes: any order gives the same links.
 ORDER_SAMPLE, ORDER_ROOM = 1 << 24, 1 << 18
+#: Bits of a parity map: a bit tells whether an odd number of the set's shingles fall on it.
+PARITY_BITS = 512
 #: Slack of comparisons of whole numbers with products of `similarity`.
 SLACK = 1e-6
 
@@ -92,6 +96,11 @@ def samples(hashes: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
     return list(dict.fromkeys(found))
 
 
+def parity_map(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles on each of PARITY_BITS places. Two maps differ in no more bits than there are shingles in one set only."""
+    return np.packbits(np.bincount(shingles.view(np.uint32) % PARITY_BITS, minlength=PARITY_BITS) & 1).tobytes()
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests, prints, keys, sets = [], [], [], []
@@ -104,8 +113,9 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
         ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
         told = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), told],
-            ["doc_id", "digest", "value", "keys", "shingles"])
+            [batch.column("doc_id"), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), told,
+             pa.array(list(map(parity_map, sets)), pa.binary())],
+            ["doc_id", "digest", "value", "keys", "shingles", "parity"])
 
 
 def block_links(groups: np.ndarray, values: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -121,29 +131,35 @@ def block_links(groups: np.ndarray, values: np.ndarray, budget: int = BUDGET) ->
     return left[kept], right[kept]
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], ends: int) -> Iterator[pa.Table]:
+    """The rows of a partition in tables of about JOIN_ROWS, cut only where one of the first `ends` columns changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch.select(columns))
+        if sum(h.num_rows for h in held) >= JOIN_ROWS:
+            rows = pa.Table.from_batches(held)
+            last = np.flatnonzero(_changes(rows, columns[:ends]))
+            if len(last):
+                yield rows.slice(0, int(last[-1]) + 1)
+                rows = rows.slice(int(last[-1]) + 1)
+            held = rows.combine_chunks().to_batches()
+    if sum(h.num_rows for h in held):
+        yield pa.Table.from_batches(held)
+
+
+def _changes(rows: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
+    return np.logical_or.reduce([np.diff(rows[c].to_numpy()) != 0 for c in columns])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate links of a partition whose blocks stand together."""
-    held: list[np.ndarray] = []
-
-    def solve(rows: np.ndarray) -> pa.RecordBatch:
-        group = np.cumsum(np.r_[False, (np.diff(rows[:2], axis=1) != 0).any(axis=0)])
-        values = rows[2].view(np.uint64)
+    for rows in _whole_groups(batches, ("key", "part", "value", "digest"), 2):
+        group = np.cumsum(np.r_[False, _changes(rows, ("key", "part"))])
+        values, digest = rows["value"].to_numpy().view(np.uint64), rows["digest"].to_numpy()
         order = np.lexsort((values, group))
         left, right = block_links(group[order], values[order])
-        a, b = rows[3][order[left]], rows[3][order[right]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
-
-    for batch in batches:
-        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "part", "value", "digest")]))
-        if sum(h.shape[1] for h in held) >= JOIN_ROWS:
-            rows = np.concatenate(held, axis=1)
-            last = np.flatnonzero((np.diff(rows[:2], axis=1) != 0).any(axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield solve(rows[:, :cut].copy())
-            held = [rows[:, cut:].copy()]
-    if held and sum(h.shape[1] for h in held):
-        yield solve(np.concatenate(held, axis=1))
+        a, b = digest[order[left]], digest[order[right]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
@@ -232,28 +248,69 @@ def prefix_rows(sketches: DataFrame, similarity: float) -> DataFrame:
     return map_batches(sketches.select("digest", "shingles"), run, "shingle int, digest long, size int, left int")
 
 
-def _met(rows: DataFrame, name: str, node: str) -> DataFrame:
-    """Rows whose shingle stands in the prefixes of more than one `node`."""
+def _met(rows: DataFrame, node: str, similarity: float) -> DataFrame:
+    """Rows whose shingle stands in the prefixes of more than one `node`, and for the smaller of two of them in its first ones.
+
+    A pair shares as many shingles as 2t / (1 + t) of the smaller set at least, so that many follow in it from the first shared one on.
+    """
     bucket = Window.partitionBy("shingle")
-    met = rows.withColumns({"low": F.min(node).over(bucket), "high": F.max(node).over(bucket)}).where("low < high").drop("low", "high")
-    return stored(met, name)
+    early = F.col("left") + F.lit(SLACK) >= F.lit(2 * similarity / (1 + similarity)) * F.col("size")
+    smaller = F.when(early, F.col(node))
+    told = rows.withColumns({"low": F.min(node).over(bucket), "high": F.max(node).over(bucket), "low_early": F.min(smaller).over(bucket), "high_early": F.max(smaller).over(bucket)})
+    other = (F.col("low_early") < F.col("high_early")) | (F.col("low_early") != F.col(node))
+    return told.where((F.col("low") < F.col("high")) & (early | other)).select(*rows.columns)
+
 
+def bucket_pairs(ends: np.ndarray, side: np.ndarray, label: np.ndarray, size: np.ndarray, left: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of different labels that can be similar. Rows stand by bucket and size; `ends` is the end of a row's bucket.
 
-def missing(sketches: DataFrame, labels: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    Rows of a bucket with both sides (0 and 1) meet those of the other side only, -1 meets all. A row leaves the walk over the larger ones
+    as soon as too few shingles follow in it for their size.
+    """
+    share, at, found = similarity / (1 + similarity), np.arange(len(ends)), []
+    for step in range(1, len(ends)):
+        at = at[at + step < ends[at]]
+        at = at[left[at] + SLACK >= share * (size[at] + size[at + step])]
+        if not len(at):
+            break
+        least = share * (size[at] + size[at + step])
+        open_ = (label[at] != label[at + step]) & (left[at + step] + SLACK >= least) & ((side[at] != side[at + step]) | (side[at] < 0))
+        a, b, least = at[open_], at[open_] + step, least[open_]
+        apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+        near = apart <= size[a] + size[b] - 2 * np.ceil(least - SLACK)
+        found.append((a[near], b[near]))
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _apart_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (u < v) of a partition whose buckets stand together, by size."""
+    for rows in _whole_groups(batches, ("shingle", "node_a", "node_b", "part", "label", "size", "left", "digest", "parity"), 3):
+        last = np.flatnonzero(np.r_[_changes(rows, ("shingle", "node_a", "node_b")), True]) + 1
+        ends = np.repeat(last, np.diff(np.r_[0, last]))
+        a, b, part, label, size, left, digest = (rows[c].to_numpy() for c in ("node_a", "node_b", "part", "label", "size", "left", "digest"))
+        parity = np.frombuffer(b"".join(rows["parity"].to_pylist()), np.uint64).reshape(len(rows), -1)
+        side = np.where(a == b, -1, part == b)
+        x, y = bucket_pairs(ends, side, label, size, left, parity, similarity)
+        found = np.stack([np.minimum(digest[x], digest[y]), np.maximum(digest[x], digest[y])])
+        u, v = np.unique(found, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def missing(sketches: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """All pairs (u < v) of digests in different components (id, label) that can have a Jaccard of `similarity`.
 
-    Pairs are made between the components that share a shingle of their prefixes, never inside one, so a large group costs its rows.
+    A bucket holds the rows of a shingle. One of more than NODE_ROWS is dealt into parts, and each two parts meet in a task of their own.
     """
-    met = _met(prefix_rows(sketches, similarity), "met_prefixes", "digest")
+    met = stored(_met(prefix_rows(sketches, similarity), "digest", similarity), "met_prefixes")
     known = met.join(labels.withColumnRenamed("id", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    apart = _met(known.distinct(), "apart_prefixes", "label")
-    heads = apart.select("shingle", "label").distinct()
-    other = lambda df, *names: df.select("shingle", *(F.col(c).alias(f"{c}_2") for c in names))
-    groups = heads.join(other(heads, "label"), "shingle").where("label < label_2")
-    pairs = groups.join(apart, ["shingle", "label"]).join(other(apart, "label", "digest", "size", "left"), ["shingle", "label_2"])
-    least = F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_2"))  # what sets of these sizes have to share
-    pairs = pairs.where(F.least("left", "left_2") + F.lit(SLACK) >= least)
-    return pairs.select(F.least("digest", "digest_2").alias("u"), F.greatest("digest", "digest_2").alias("v")).distinct()
+    apart = _met(known.distinct(), "label", similarity).withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
+    parts = F.ceil(F.col("members") / NODE_ROWS).cast("int")
+    dealt = stored(apart.withColumn("parts", parts).drop("members"), "apart_prefixes").join(sets.select("digest", "parity"), "digest")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("digest", "shingle"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    node = {"node_a": F.least("part", "other"), "node_b": F.greatest("part", "other")}
+    buckets = dealt.withColumns(node).drop("parts", "other").repartition("shingle", "node_a", "node_b").sortWithinPartitions("shingle", "node_a", "node_b", "size")
+    return map_batches(buckets, partial(_apart_pairs, similarity=similarity), "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -263,19 +320,23 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     links others; component_id is null only if all ids of the component are. Repeated rows get equal rows. A text may be of any length.
     An empty table gives an empty result. Other columns are not read.
     """
-    told = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, digest long, value long, keys array<long>, shingles array<int>"
+    told = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, digest long, value long, keys array<long>, shingles array<int>, parity binary"
     run = partial(_sketches, shingle=shingle, similarity=similarity)
     sketches = stored(map_batches(docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")), run, told), "sketches")
-    sets = sketches.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("value").alias("value"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    sets = sketches.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("value").alias("value"), F.first("keys").alias("keys"), F.first("parity").alias("parity"), F.count(F.lit(1)).alias("copies"))
     sets = stored(sets, "shingle_sets")
     edges = stored(confirmed(stored(candidates(sets), "candidates"), sketches, similarity), "confirmed")
     labels = components(edges)
-    more = stored(confirmed(stored(missing(sketches, labels, similarity), "missing"), sketches, similarity), "confirmed_missing")
-    if not more.isEmpty():
-        labels = components(edges.unionByName(more))
-    labels = labels.withColumnRenamed("id", "digest")
-    named = stored(sets.drop("value", "keys").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "labelled_sets")
-    members = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    whole = join_groups(named, stored(members, "set_members"), "label", named.count(), "members").select("digest", "copies", "component_id")
+    more = stored(confirmed(stored(missing(sketches, sets, labels, similarity), "missing"), sketches, similarity), "confirmed_missing")
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    between = more.join(side("u"), "u", "left").join(side("v"), "v", "left").select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
+    tops = components(between).toDF("label", "top")  # of components: their members need not be walked again
+    named = sets.select("digest", "first_id", "copies").join(labels.withColumnRenamed("id", "digest"), "digest", "left")
+    named = stored(named.withColumn("label", F.coalesce("label", "digest")), "labelled_sets")
+    heads = named.groupBy("label").agg(F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("members")).join(tops, "label", "left")
+    heads = stored(heads.withColumn("top", F.coalesce("top", "label")), "set_members")
+    first = stored(heads.groupBy("top").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("heads")), "component_ids")
+    told = stored(join_groups(heads, first, "top", heads.count(), "heads").select("label", "members", "component_id"), "told_members")
+    whole = join_groups(named, told, "label", named.count(), "members").select("digest", "copies", "component_id")
     rows = sketches.select("doc_id", "digest")
     return join_groups(rows, stored(whole, "set_components"), "digest", rows.count(), "copies").select("doc_id", "component_id")
