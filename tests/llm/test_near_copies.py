@@ -112,6 +112,7 @@ def test_candidates_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
     want, stored = brute_near_roots(texts), near_copies.stored
     assert 150 < len(set(want)) < 250
     monkeypatch.setattr(near_copies, "BLOCK", 2)
+    monkeypatch.setattr(near_copies, "ORDER_SAMPLE", 1000)  # as in a large table: the order knows few of the frequent shingles
     for rows in (near_copies.NODE_ROWS, 16):  # buckets as a whole, and in parts
         monkeypatch.setattr(near_copies, "NODE_ROWS", rows)
         counts = {}
