@@ -107,10 +107,10 @@ def test_similar_sets_meet_in_their_prefixes():
 def test_candidates_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
     rng = random.Random(3)
     base = random_text(rng, 150)
-    texts = [edited(rng, base, 5) for _ in range(240)]  # most pairs share half of the shingles
+    texts = [edited(rng, base, 1 + k % 4) for k in range(240)]  # most pairs share half of the shingles or more
     texts += [edited(rng, t, 1) for t in texts[:20]]
     want, stored = brute_near_roots(texts), near_copies.stored
-    assert 150 < len(set(want)) < 250
+    assert 40 < len(set(want)) < 100
     monkeypatch.setattr(near_copies, "BLOCK", 2)
     monkeypatch.setattr(near_copies, "ORDER_SAMPLE", 1000)  # as in a large table: the order knows few of the frequent shingles
     for rows in (near_copies.NODE_ROWS, 16):  # buckets as a whole, and in parts
@@ -127,7 +127,7 @@ def test_candidates_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "stored", counted)
         got = components_of(spark, texts)
         assert [got[k] for k in range(len(texts))] == want
-        assert counts["confirmed_missing"] <= counts["missing"] < 5 * len(texts)
+        assert 0 < counts["confirmed_missing"] <= counts["missing"] < 2 * len(texts)
 
 
 def test_bucket_pairs_lose_no_similar_pair():
