@@ -126,3 +126,44 @@ def test_momentum_needs_fewer_passes(spark):
 
     slow, fast = passes(False), passes(True)
     assert fast[0] < 0.5 * slow[0] and np.allclose(slow[1], fast[1], atol=0.02)
+
+
+def test_slow_settings_are_finished_by_newton_steps(spark, table, monkeypatch):
+    inputs = N.inputs_of(table, {"few": ["approval_year"], "all": ["approval_year", "masked_fraction", "n_arms", "event"]}, 5)
+    whole = {(r.feature_set, r.fold, r.config_id): r for r in N.nested_elastic_net(table, inputs, GRID, outer=3, inner=2, seed=1).search.collect()}
+    monkeypatch.setattr(N, "MAX_PASSES", 8)  # too few for the accelerated steps alone
+    cut = {(r.feature_set, r.fold, r.config_id): r for r in N.nested_elastic_net(table, inputs, GRID, outer=3, inner=2, seed=1).search.collect()}
+    assert whole.keys() == cut.keys() and all(r.valid for r in cut.values())
+    assert all(abs(r.mean_log_loss - cut[k].mean_log_loss) < 1e-5 and r.chosen == cut[k].chosen for k, r in whole.items())
+
+
+@pytest.mark.parametrize("labels", ["1", "int(entity = 'e3' and pair_id < 'p5')"])  # none, or one entity only, has another label
+def test_parts_with_one_label_are_fitted(spark, table, labels):
+    import math
+
+    from pyspark.sql import functions as F
+
+    one = table.withColumn("label", F.expr(labels))
+    inputs = N.inputs_of(one, {"few": ["approval_year"], "all": ["approval_year", "event"]}, 5)
+    got = N.nested_elastic_net(one, inputs, GRID, outer=3, inner=2, seed=1, full=True)
+    search = got.search.collect()
+    assert all(r.valid for r in search) and sum(r.chosen for r in search) == 2 * 4
+    scores = {(r.feature_set, r.pair_id): r for r in got.scores.collect()}
+    assert len(scores) == 320 and all(0 < r.p < 1 for r in scores.values())
+    rows = {r.pair_id: r for r in one.collect()}
+    for r in got.coefficients.where("column_name = '(intercept)'").collect():
+        train = [v.label for k, v in rows.items() if scores["few", k].fold != r.fold]
+        assert abs(r.equation - np.mean(train)) < 1e-9
+    for r in got.contributions.collect():
+        p = scores[r.feature_set, r.pair_id].p
+        right = math.log(p / (1 - p)) if r.fit == "oof" else r.margin
+        assert abs(r.base + sum(r.contributions) - right) < 1e-6
+
+
+def test_fewer_entities_than_folds(spark, table):
+    few = table.where("entity in ('e1', 'e2', 'e3', 'e5')")
+    inputs = N.inputs_of(few, {"few": ["approval_year"]}, 1)
+    got = N.nested_elastic_net(few, inputs, GRID, outer=5, inner=4, seed=1, full=True)
+    search = got.search.collect()
+    assert {r.fold for r in search} == set(range(6)) and all(r.valid for r in search) and sum(r.chosen for r in search) == 6
+    assert got.scores.where("p is null").count() == 0 and got.scores.count() == 40

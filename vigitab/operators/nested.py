@@ -4,7 +4,12 @@ A part is an outer training part or an inner one inside it. Which parts a row tr
 once, raw; a task encodes its rows for each part (fills, scales and levels are those of the part), and one pass adds up, for all parts,
 the gradients of all settings at once. The sums of a part meet in one task, where every setting takes a proximal step on the quadratic
 that bounds its loss; what meets is a matrix of columns by settings, however many rows there are. The next pass starts ahead of it by
-the setting's momentum (accelerated proximal steps, begun anew where they point uphill). Passes go on until no coefficient moves. The driver sees settings, coefficients and column statistics, never rows.
+the setting's momentum (accelerated proximal steps, begun anew where they point uphill). Passes go on until no coefficient moves. Settings
+that still move after MAX_PASSES, as with few rows of one label, go on by Newton steps on their own curvature, halved where the loss would
+grow. The driver sees settings, coefficients and column statistics, never rows.
+
+A part whose rows all have one label has no finite fit: its intercept would grow without end. The log loss is clipped at DOUBLE_EPS, and
+that loss is least with coefficients of zero and the intercept at the bound, whatever the setting; this is the fit of such a part.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from .storage import keep
 
 TOLERANCE, EXACT, MAX_PASSES, INNER_STEPS = 1e-5, 1e-11, 200, 400
 TIE = 1e-9  # mean losses nearer than this are equal
+NEWTON_FITS = 32  # settings whose own curvatures are summed in one pass
 
 
 @dataclass
@@ -107,6 +113,7 @@ class Design:
         self.fill, self.mean, self.sd = (np.array([by[n][c] for n in inputs.numeric], dtype=float) for c in ("fill", "mean", "sd"))
         self.log = np.array([n in inputs.log for n in inputs.numeric], dtype=bool)
         self.rows = numeric[0]["rows"] if numeric else 0
+        self.share = 0.5  # of the part's rows, those with label 1
         self.columns = [*((n, None) for n in inputs.numeric), *sorted((r["variable"], r["level"]) for r in levels)]
         self.places = [{lv: k for k, (n, lv) in enumerate(self.columns) if n == c and lv is not None} for c in inputs.categorical]
         self.mask = np.array([[n in inputs.sets[s] for s in inputs.sets] for n, _ in self.columns] + [[True] * len(inputs.sets)])
@@ -126,20 +133,36 @@ class Design:
 
 @dataclass
 class Fit:
-    """Settings of one part side by side: coefficients (columns and intercept by settings), penalties, and which settings may use which column."""
+    """Settings of one part side by side: coefficients (columns and intercept by settings), penalties, and which settings may use which column.
+
+    A Newton fit has one setting, whose own curvature is summed in every pass.
+    """
 
     weights: np.ndarray
     l1: np.ndarray
     l2: np.ndarray
     mask: np.ndarray
     curvature: np.ndarray | None = None  # of the bounding quadratic, once known; None: sum it up in this pass
-    newton: bool = False  # one setting, whose own curvature is summed in every pass
+    newton: bool = False
     reached: np.ndarray | None = None  # where the last step ended; `weights` is where the next one starts
     momentum: np.ndarray | None = None  # by setting
+    part: int = 0
+    settled: bool = False  # one label only: nothing to move
+    base: np.ndarray | None = None  # of a Newton fit, the last point that lowered the loss, and the penalised loss there
+    value: float | None = None
 
-    def advance(self, new: np.ndarray, still: np.ndarray) -> None:
-        """Take the step that ended in `new`; settings that stand still and those whose momentum points uphill start without any."""
+    def alone(self, k: int) -> Fit:
+        """A Newton fit of one setting, from where it stands."""
+        return Fit(self.weights[:, [k]], self.l1[[k]], self.l2[[k]], self.mask[:, [k]], newton=True, part=self.part)
+
+    def advance(self, new: np.ndarray, still: np.ndarray, value: float | None = None) -> None:
+        """Take the step that ended in `new`; settings that stand still and those whose momentum points uphill start without any.
+
+        Of a Newton fit, `value` is the penalised loss where the step began, or None if that point is given up.
+        """
         if self.newton:
+            if value is not None:
+                self.base, self.value = self.weights, value
             self.weights = self.reached = new
             return
         before = np.zeros_like(new) if self.reached is None else self.reached
@@ -179,7 +202,7 @@ def stepped(fit: Fit, gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray
     return now
 
 
-SUMS = "part int, width int, payload binary"
+SUMS = "fit int, width int, payload binary"
 
 
 def _rows_of(batch: pa.RecordBatch, inputs: Inputs):
@@ -194,73 +217,92 @@ def _chosen(batch: pa.RecordBatch, column: str, part: int) -> np.ndarray:
 
 
 def _sums(shared, inputs: Inputs):
-    """Sums of a task for every part: gradients of all settings, and where asked for curvature; one array a part."""
+    """Sums of a task for every fit: gradients of all settings, where asked for curvature, of Newton fits the loss; one array a fit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         designs, fits = shared.value
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             numeric, categorical, y = _rows_of(batch, inputs)
-            for part, fit in fits.items():
-                at = np.flatnonzero(_chosen(batch, "parts", part))
+            encoded: dict[int, tuple] = {}
+            for key, fit in fits.items():
+                if fit.part not in encoded:  # fits of a part follow each other
+                    at = np.flatnonzero(_chosen(batch, "parts", fit.part))
+                    encoded = {fit.part: (at, designs[fit.part].encode(numeric[at], [[c[i] for i in at] for c in categorical]))}
+                at, x = encoded[fit.part]
                 if not len(at):
                     continue
-                x = designs[part].encode(numeric[at], [[c[i] for i in at] for c in categorical])
-                p = sigmoid(x @ fit.weights)
+                z = x @ fit.weights
+                p = sigmoid(z)
                 found = [x.T @ (p - y[at, None])]
                 if fit.newton or fit.curvature is None:
                     bend = p[:, :1] * (1 - p[:, :1]) if fit.newton else np.full((len(at), 1), 0.25)
                     found.append((x * bend).T @ x)
+                if fit.newton:
+                    loss = np.zeros((x.shape[1], 1))
+                    loss[0] = (np.logaddexp(0.0, z[:, 0]) - y[at] * z[:, 0]).sum()
+                    found.append(loss)
                 found.append((x.T @ y[at])[:, None])
                 both = np.concatenate(found, axis=1)
-                held[part] = held[part] + both if part in held else both
+                held[key] = held[key] + both if key in held else both
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.int32()), pa.array([v.shape[1] for v in held.values()], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["part", "width", "payload"])
+            [pa.array(list(held), pa.int32()), pa.array([v.shape[1] for v in held.values()], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["fit", "width", "payload"])
 
     return run
 
 
-STEPS = "part int, weights binary, moved binary, gradient binary, curvature binary, target binary"
+STEPS = "fit int, weights binary, moved binary, gradient binary, curvature binary, target binary, value double"
 
 
 def _step(shared):
-    """Add up a part's sums, and move its settings."""
+    """Add up a fit's sums, and move its settings. Of a Newton fit `value` is the penalised loss, or null if it grew and the step is halved."""
     def run(key, found):
         designs, fits = shared.value
-        part = key[0].as_py()
-        fit, n = fits[part], designs[part].rows
+        fit = fits[key[0].as_py()]
+        n = designs[fit.part].rows
         width = found.column("width")[0].as_py()
         total = sum(np.frombuffer(v.as_py()).reshape(-1, width) for v in found.column("payload")) / n
-        settings = fit.weights.shape[1]
+        columns, settings = fit.weights.shape
         gradient, target = total[:, :settings], total[:, -1]
-        curvature = total[:, settings:-1] if width > settings + 1 else fit.curvature
-        new = stepped(fit, gradient, curvature)
-        moved = np.abs(new - fit.weights).max(axis=0)
-        values = [new, moved, gradient, curvature if width > settings + 1 else np.zeros(0), target]
-        return pa.Table.from_arrays([pa.array([part], pa.int32()), *(pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values)], names=[c.split()[0] for c in STEPS.split(", ")])
+        summed = fit.newton or fit.curvature is None
+        curvature, value = total[:, settings : settings + columns] if summed else fit.curvature, None
+        if fit.newton:
+            w = fit.weights[:-1, 0]
+            value = float(total[0, -2] + fit.l1[0] * np.abs(w).sum() + 0.5 * fit.l2[0] * (w * w).sum())
+        if fit.settled:
+            new, moved = fit.weights, np.zeros(settings)
+        elif fit.newton and fit.value is not None and not value <= fit.value + EXACT:
+            new, value = (fit.base + fit.weights) / 2, None
+            moved = np.abs(new - fit.base).max(axis=0)
+        else:
+            new = stepped(fit, gradient, curvature)
+            moved = np.abs(new - fit.weights).max(axis=0)
+        values = [new, moved, gradient, curvature if summed else np.zeros(0), target]
+        return pa.Table.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32()), *(pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values), pa.array([value], pa.float64())], names=[c.split()[0] for c in STEPS.split(", ")])
 
     return run
 
 
 def fit_all(rows: DataFrame, inputs: Inputs, designs: dict[int, Design], fits: dict[int, Fit], tolerance: float) -> tuple[dict[int, np.ndarray], dict[int, tuple]]:
-    """Pass over `rows` until no setting of any part moves by more than `tolerance`; parts leave as they come to rest.
+    """Pass over `rows` until no setting of any fit moves by more than `tolerance`; fits leave as they come to rest.
 
-    Returns, by part, which settings came to rest, and the gradient and target sums of the last pass. `fits` hold the coefficients; without
-    any there is nothing to do.
+    Returns, by the fits' keys, which settings came to rest, and the gradient and target sums of the last pass. `fits` hold the coefficients;
+    without any there is nothing to do.
     """
     rest, last, todo = {}, {}, dict(fits)
     context = rows.sparkSession.sparkContext
     for _ in range(MAX_PASSES if todo else 0):
         shared = context.broadcast((designs, todo))
-        found = rows.mapInArrow(_sums(shared, inputs), SUMS).repartition(len(todo), "part").groupBy("part").applyInArrow(
-            _step(shared), STEPS).collect()  # coefficients of each part
+        found = rows.mapInArrow(_sums(shared, inputs), SUMS).repartition(len(todo), "fit").groupBy("fit").applyInArrow(
+            _step(shared), STEPS).collect()  # coefficients of each fit
         shared.destroy()
         for r in found:
-            fit = todo[r["part"]]
+            fit = todo[r["fit"]]
             shape = fit.weights.shape
             moved = np.frombuffer(r["moved"])
-            last[r["part"]] = (np.frombuffer(r["gradient"]).reshape(shape), np.frombuffer(r["target"]), fit.weights)
-            rest[r["part"]] = moved < tolerance
-            fit.advance(np.frombuffer(r["weights"]).reshape(shape), rest[r["part"]])
+            last[r["fit"]] = (np.frombuffer(r["gradient"]).reshape(shape), np.frombuffer(r["target"]), fit.weights)
+            rest[r["fit"]] = moved < tolerance
+            fit.advance(np.frombuffer(r["weights"]).reshape(shape).copy(), rest[r["fit"]], r["value"])
             if not fit.newton and fit.curvature is None:
                 fit.curvature = np.frombuffer(r["curvature"]).reshape(shape[0], shape[0])
         todo = {p: f for p, f in todo.items() if not rest[p].all()}
@@ -365,8 +407,8 @@ def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], o
     """Tune and fit every feature set inside every outer training part, and score the rows left out.
 
     A setting's penalty C on the summed loss is 1 / (C n) on the mean loss. A setting is valid if its fits of all inner parts came to rest;
-    of the valid ones the lowest mean of the inner folds' mean log losses is chosen, the lower id of equal ones. Where none is valid
-    there is no fit, and scores and contributions are null. Rows with a null
+    of the valid ones the lowest mean of the inner folds' mean log losses is chosen, the lower id of equal ones. Inner folds without rows
+    (fewer entities than folds) are no parts. Where none is valid there is no fit, and scores and contributions are null. Rows with a null
     entity or label are left out. A level that the training part lacks has no column. An empty table gives empty results. With `full`, all
     rows are one more training part, tuned and fitted in the same passes; it stands as fold `outer` in the tables and scores no row.
     """
@@ -379,17 +421,32 @@ def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], o
         for r in side.collect():  # a row for each part and column
             of_part.setdefault(r["part"], ([], []))[k].append(r)
     designs = {p: Design(inputs, *v) for p, v in of_part.items()}
+    for r in rows.select(F.explode("parts").alias("part"), inputs.y).groupBy("part").agg(F.avg(inputs.y).alias("share")).collect():  # a row for each part
+        designs[r["part"]].share = float(r["share"])
+    checked: dict[int, int] = {}
+    for r in rows.select(F.explode("checks").alias("part")).distinct().where(F.col("part") % step != 0).collect():
+        checked[r["part"] // step] = checked.get(r["part"] // step, 0) + 1
     sets, used = list(inputs.sets), rows.select("parts", "checks", "fold", inputs.key, inputs.entity, inputs.y, *inputs.numeric, *inputs.categorical)
 
     def start(part: int, chosen: list[tuple[int, int]], newton: bool) -> Fit:
         design = designs[part]
         scale = np.array([1 / (grid[g]["C"] * design.rows) for _, g in chosen])
         mix = np.array([grid[g]["mix"] for _, g in chosen])
-        return Fit(np.zeros((len(design.columns) + 1, len(chosen))), scale * mix, scale * (1 - mix), design.mask[:, [s for s, _ in chosen]], newton=newton)
+        weights = np.zeros((len(design.columns) + 1, len(chosen)))
+        share = min(max(design.share, fixed.DOUBLE_EPS), 1 - fixed.DOUBLE_EPS)
+        weights[-1] = np.log(share) - np.log1p(-share)
+        return Fit(weights, scale * mix, scale * (1 - mix), design.mask[:, [s for s, _ in chosen]], newton=newton, part=part, settled=design.share in (0.0, 1.0))
 
     every = [(s, g) for s in range(len(sets)) for g in range(len(grid))]
     tuned = {p: start(p, every, False) for p in designs if p % step}
     rest, _ = fit_all(used, inputs, designs, tuned, TOLERANCE)
+    slow = [(p, k) for p in tuned for k in np.flatnonzero(~rest[p])]
+    for at in range(0, len(slow), NEWTON_FITS):
+        block = slow[at : at + NEWTON_FITS]
+        alone = {j: tuned[p].alone(k) for j, (p, k) in enumerate(block)}
+        done, _ = fit_all(used, inputs, designs, alone, TOLERANCE)
+        for j, (p, k) in enumerate(block):
+            tuned[p].weights[:, k], rest[p][k] = alone[j].weights[:, 0], done[j][0]
     shared = spark.sparkContext.broadcast((designs, tuned))
     losses = used.mapInArrow(_losses(shared, inputs), "part int, at int, loss double, n double").groupBy("part", "at").agg(
         (F.sum("loss") / F.sum("n")).alias("loss")).collect()  # parts by settings
@@ -400,7 +457,7 @@ def nested_elastic_net(table: DataFrame, inputs: Inputs, grid: Sequence[dict], o
         found.setdefault((r["part"] // step, s, g), []).append((r["loss"], bool(rest[r["part"]][r["at"]])))
     search, best = [], {}
     for (fold, s, g), seen in sorted(found.items()):
-        mean, valid = float(np.mean([v for v, _ in seen])), all(ok for _, ok in seen) and len(seen) == inner
+        mean, valid = float(np.mean([v for v, _ in seen])), all(ok for _, ok in seen) and len(seen) == checked[fold]
         search.append([sets[s], fold, g, grid[g]["C"], grid[g]["mix"], mean, valid])
         if valid and (best.get((fold, s)) is None or mean < best[fold, s][0] - TIE):
             best[fold, s] = (mean, g)
