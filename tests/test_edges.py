@@ -309,3 +309,42 @@ def test_items_and_orders_meet_in_one_written_stage(spark):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     per_order = t.items.groupBy("orderkey").agg(F.max("row_no").alias("last"), F.count(F.lit(1)).alias("n"))
     assert per_order.where("last <> n").count() == 0
+
+
+def test_definitions_read_the_cascade_once_for_rows_that_meet_a_clock(spark, monkeypatch):
+    from datetime import date
+
+    n = 8
+    ae = spark.createDataFrame(
+        [(k, k * 10 + j, "B1" if j else "B2", "pain", 1.0, 5.0, f"Arm {j}") for k in range(n) for j in (0, 1)],
+        "nct_id long, rgid long, entity string, event string, affected double, at_risk double, title string")
+    day = lambda early: date(2000, 1, 1) if early else date(2010, 1, 1)
+    trials = spark.createDataFrame(
+        [(k, "PHASE4" if k == 5 else None, "ACTUAL", day(k < 2), day(k in (1, 2, 5)) if k != 3 else None, day(k == 4)) for k in range(n)],
+        "nct_id long, phase string, completion_type string, completion_date date, results_posted_date date, primary_completion_date date")
+    anchors = spark.createDataFrame([("B1", date(2005, 1, 1)), ("B2", date(1999, 1, 1))], "entity string, anchor date")
+    arms = spark.createDataFrame([(k, k * 10 + j, f"ARM: {j}", "EXPERIMENTAL") for k in range(n) for j in (0, 1)], "nct_id long, dgid long, title string, group_type string")
+    groups = ae.select("nct_id", "rgid", "title")
+    bridge = spark.createDataFrame([(k * 10 + j, k * 100 + j) for k in range(n) for j in (0, 1)], "dgid long, intervention_id long")
+    drugs = spark.createDataFrame([(k * 100 + j, k, "B1" if j else "B2", "drug", "DRUG") for k in range(n) for j in (0, 1)], "intervention_id long, nct_id long, entity string, intervention_name string, intervention_type string")
+    seen, keep = {}, EV.keep
+
+    def counted(df, name="stage", *by):
+        out = keep(df, name, *by)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(EV, "keep", counted)
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    got = EV.definition_rows(["nct_id", "rgid", "entity", "event"], ae, trials, anchors, groups, arms, bridge, drugs)
+    assert spark.conf.get(setting) == before
+    assert {(r.definition, r.nct_id) for r in got.collect()} == {("STRICT_COMPLETION", 0), ("STRICT_COMPLETION", 1), ("RESULTS_POSTED", 1), ("RESULTS_POSTED", 2), ("WIDE_COMPLETION", 4)}
+    assert seen["definition_base"] == seen["attributed_rows"] == 4  # of 16 rows
+    signals = spark.createDataFrame([("B1", "pain"), ("B1", "rash"), ("B2", "pain")], "entity string, event string")
+    volume = spark.createDataFrame([("B1",)], "entity string")
+    seen.clear()
+    rows = {r.definition: r for r in EV.definition_summary(got, signals, volume).collect()}
+    assert seen["definition_links"] == 5 and seen["definition_pairs"] == 3
+    strict = rows["STRICT_COMPLETION"]
+    assert (strict.trials, strict.arms, strict.volume_trials, strict.shared_pairs, strict.signals, strict.signals_represented) == (2, 2, 2, 1, 2, 1)

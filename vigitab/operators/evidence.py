@@ -12,7 +12,7 @@ from ..functions import numeric as N
 from ..functions import text as X
 from .aggregates import known_rate, mix, support_profile
 from .joins import unique_text_match
-from .storage import keep
+from .storage import joins_in_buckets, keep
 
 DRUG_TYPES = ("DRUG", "BIOLOGICAL")
 
@@ -119,15 +119,34 @@ def pair_registry(rows: DataFrame) -> DataFrame:
     )
 
 
-def clock_definitions(rows: DataFrame, anchor: str = "anchor") -> DataFrame:
-    """Every row once per definition it meets: three dates of their own over one base without phase 4."""
+def _definitions_met(anchor: str) -> Column:
+    """Names of the definitions that a row meets: three dates of their own over one base without phase 4."""
     by_then = {
         "STRICT_COMPLETION": (F.col("completion_type") == "ACTUAL") & (F.col("completion_date") <= F.col(anchor)),
         "RESULTS_POSTED": F.col("results_posted_date") <= F.col(anchor),
         "WIDE_COMPLETION": F.col("primary_completion_date") <= F.col(anchor),
     }
-    base = rows.where(F.coalesce("phase", F.lit("")) != "PHASE4")
-    return base.withColumn("definition", F.explode(F.array_compact(F.array(*(F.when(met, F.lit(name)) for name, met in by_then.items())))))
+    met = F.array_compact(F.array(*(F.when(met, F.lit(name)) for name, met in by_then.items())))
+    return F.when(F.coalesce("phase", F.lit("")) != "PHASE4", met).otherwise(F.array().cast("array<string>"))
+
+
+def clock_definitions(rows: DataFrame, anchor: str = "anchor") -> DataFrame:
+    """Every row once per definition it meets."""
+    return rows.withColumn("definition", F.explode(_definitions_met(anchor)))
+
+
+def definition_rows(columns: Sequence[str], ae_rows, trials, anchors, result_groups, design_groups, bridge, interventions) -> DataFrame:
+    """These columns and the definition of the quality ceiling's rows, once per definition they meet.
+
+    The clocks are read first, so the cascade sees only rows, groups and arms of trials that some definition takes. Rows stand in buckets of
+    the trial, as the groups should, and meet them there.
+    """
+    clocks = trials.select("nct_id", "phase", "completion_type", "completion_date", "results_posted_date", "primary_completion_date")
+    dated = valid_denominator(ae_rows).join(clocks, "nct_id").join(anchors, "entity").withColumn("_met", _definitions_met("anchor"))
+    with joins_in_buckets(ae_rows.sparkSession):
+        rows = keep(dated.where(F.size("_met") > 0).select(*dict.fromkeys(["nct_id", "rgid", "entity", *columns]), "_met"), "definition_base", "nct_id")
+        final = strict_rows(rows, result_groups, design_groups, bridge, interventions)
+    return final.select(*columns, F.explode("_met").alias("definition"))
 
 
 def definition_summary(defined: DataFrame, signals: DataFrame, volume: DataFrame, reference: str = "STRICT_COMPLETION") -> DataFrame:
@@ -136,17 +155,17 @@ def definition_summary(defined: DataFrame, signals: DataFrame, volume: DataFrame
     Signals count for the entities that have the definition and the volume; a signal is represented if its pair is among the definition's.
     """
     def sizes(df: DataFrame, prefix: str) -> DataFrame:
-        links = df.groupBy("definition", "entity", "nct_id", "rgid", "event").count()  # distinct keys once, before four distinct counts
-        return links.groupBy("definition").agg(
+        return df.groupBy("definition").agg(
             F.countDistinct("entity").alias(f"{prefix}entities"), F.countDistinct("nct_id").alias(f"{prefix}trials"),
             F.countDistinct("rgid").alias(f"{prefix}arms"), F.countDistinct(F.struct("entity", "event")).alias(f"{prefix}pairs"))
 
     some = volume.select("entity").distinct()
-    pairs = keep(defined.select("definition", "entity", "event").distinct(), "definition_pairs")
+    links = keep(defined.select("definition", "entity", "nct_id", "rgid", "event").distinct(), "definition_links")  # all that is counted below
+    pairs = keep(links.select("definition", "entity", "event").distinct(), "definition_pairs")
     shared = pairs.join(pairs.where(F.col("definition") == reference).drop("definition"), ["entity", "event"], "left_semi")
     seen = represented(pairs, signals, some).groupBy("definition").agg(
         F.count(F.lit(1)).alias("signals"), F.sum("represented").alias("signals_represented"))
-    out = sizes(defined, "").join(sizes(defined.join(some, "entity", "left_semi"), "volume_"), "definition", "left")
+    out = sizes(links, "").join(sizes(links.join(some, "entity", "left_semi"), "volume_"), "definition", "left")
     out = out.join(shared.groupBy("definition").agg(F.count(F.lit(1)).alias("shared_pairs")), "definition", "left").join(seen, "definition", "left")
     return out.withColumn("shared_pct", N.pct("shared_pairs", "pairs")).withColumn("coverage_pct", N.pct("signals_represented", "signals"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -35,3 +37,15 @@ def keep(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     typed.repartition(buckets, by).write.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(table)
     return spark.table(table)
+
+
+@contextmanager
+def joins_in_buckets(spark: SparkSession) -> Iterator[None]:
+    """What is written inside joins buckets where they stand, also by their column and further ones; the session's own setting comes back after."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -133,13 +133,13 @@ VIEWS["v_defrow"] = """SELECT c.*, x.anchor, u.definition FROM v_ceil c JOIN v_a
  WHERE coalesce(phase,'')<>'PHASE4' AND CASE definition WHEN 'STRICT_COMPLETION' THEN completion_type='ACTUAL' AND completion_date<=anchor WHEN 'RESULTS_POSTED' THEN results_posted_date<=anchor ELSE primary_completion_date<=anchor END"""
 
 
-def defined(t):
-    return C.clock_definitions(ceiling(t).join(t.trial_anchor.select("entity", "anchor"), "entity"))
+def defined(t, *columns):
+    return C.definition_rows(columns, t.ae_row, t.trial, t.trial_anchor.select("entity", "anchor"), t.result_group, t.design_group, t.arm_bridge, t.intervention)
 
 
 @query("clock_definitions", "SELECT definition, entity, count(DISTINCT nct_id) AS trials, count(*) AS rows FROM v_defrow GROUP BY 1,2", "", "C-10")
 def _(t):
-    return defined(t).groupBy("definition", "entity").agg(F.countDistinct("nct_id").alias("trials"), F.count(F.lit(1)).alias("rows"))
+    return defined(t, "nct_id", "entity").groupBy("definition", "entity").agg(F.countDistinct("nct_id").alias("trials"), F.count(F.lit(1)).alias("rows"))
 
 
 #: Entities with at least this many exposed cases in three years have volume; the test tables are small.
@@ -161,14 +161,14 @@ _DEF = "count(DISTINCT entity) AS {0}entities, count(DISTINCT nct_id) AS {0}tria
  r AS (SELECT definition, count(*) AS signals, sum(represented)::BIGINT AS signals_represented FROM v_repr GROUP BY 1)
  SELECT *, 100.0*shared_pairs/pairs AS shared_pct, 100.0*signals_represented/nullif(signals,0) AS coverage_pct FROM a LEFT JOIN b USING (definition) LEFT JOIN o USING (definition) LEFT JOIN r USING (definition)""", "shared_pct coverage_pct", "C-11")
 def _(t):
-    return C.definition_summary(defined(t), t.signals3.where("criterion_r"), volume(t))
+    return C.definition_summary(defined(t, "nct_id", "rgid", "entity", "event"), t.signals3.where("criterion_r"), volume(t))
 
 
 @query("definition_coverage_interval", f"""WITH c AS (SELECT definition, entity, sum(represented) AS num, count(*) AS den FROM v_repr GROUP BY 1,2), w AS ({draws('SELECT definition, entity FROM c', 'entity', 'definition')}),
  b AS (SELECT definition, rep, sum(w*num)::DOUBLE/sum(w*den) AS micro FROM w JOIN c USING (definition, entity) GROUP BY 1,2)
  SELECT definition, 'micro' AS measure, 100*quantile_cont(micro,0.025) AS low, 100*quantile_cont(micro,0.975) AS high, count(micro) AS valid, 0::BIGINT AS failed FROM b GROUP BY 1""", "low high", "C-11 B-3")
 def _(t):
-    pairs = A.keep(defined(t).select("definition", "entity", "event").distinct(), "definition_pairs")  # read twice
+    pairs = A.keep(defined(t, "entity", "event").distinct(), "definition_pairs")  # read twice
     found = C.represented(pairs, t.signals3.where("criterion_r"), volume(t)).withColumn("den", F.lit(1))
     return R.ci_table(R.bootstrap_ratio(found, "entity", "represented", "den", REPS, SEED, ["definition"]), ["definition"], ["micro"], 100.0)
 
@@ -180,7 +180,7 @@ _LINK = "entity, nct_id, completion_date, completion_type, anchor"
  count(*) FILTER (WHERE completion_date<=anchor AND coalesce(completion_type,'')<>'ACTUAL') AS not_actual_by_anchor, count(*) FILTER (WHERE completion_date IS NULL) AS missing_completion
  FROM (SELECT {_LINK} FROM v_defrow WHERE definition='WIDE_COMPLETION' EXCEPT SELECT {_LINK} FROM v_defrow WHERE definition='STRICT_COMPLETION')""", "", "C-12")
 def _(t):
-    d = defined(t)
+    d = A.keep(defined(t, *_LINK.split(", ")).distinct(), "definition_trials")
     return C.added_link_reasons(C.added_links(d.where("definition = 'WIDE_COMPLETION'"), d.where("definition = 'STRICT_COMPLETION'"), _LINK.split(", ")))
 
 
