@@ -348,3 +348,28 @@ def test_definitions_read_the_cascade_once_for_rows_that_meet_a_clock(spark, mon
     assert seen["definition_links"] == 5 and seen["definition_pairs"] == 3
     strict = rows["STRICT_COMPLETION"]
     assert (strict.trials, strict.arms, strict.volume_trials, strict.shared_pairs, strict.signals, strict.signals_represented) == (2, 2, 2, 1, 2, 1)
+
+
+def test_cascade_leaves_groups_in_the_buckets_of_their_trial(spark, monkeypatch):
+    from vigitab.operators.storage import keep
+
+    ids = range(40)
+    rows = keep(spark.createDataFrame([(k, k * 10, "B1", "pain") for k in ids], "nct_id long, rgid long, entity string, event string"), "rows", "nct_id")
+    groups = keep(spark.createDataFrame([(k, k * 10, f"Arm {k}") for k in ids], "nct_id long, rgid long, title string"), "groups", "nct_id")
+    arms = keep(spark.createDataFrame([(k, k * 10, f"ARM: {k}", "OTHER") for k in ids], "nct_id long, dgid long, title string, group_type string"), "arms", "nct_id")
+    bridge = spark.createDataFrame([(k * 10, k) for k in ids], "dgid long, intervention_id long")
+    drugs = spark.createDataFrame([(k, k, "B1", "drug", "DRUG") for k in ids], "intervention_id long, nct_id long, entity string, intervention_name string, intervention_type string")
+    plans = {}
+
+    def planned(df, name="stage", *by):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name, *by)
+
+    monkeypatch.setattr(EV, "keep", planned)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert EV.strict_rows(rows, groups, arms, bridge, drugs).count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "SortMergeJoin" in plans["attributed_rows"] and "Exchange" not in plans["attributed_rows"]

@@ -90,10 +90,14 @@ def treatment_arms(rows: DataFrame, title: str = "arm_title") -> DataFrame:
 
 
 def strict_rows(rows: DataFrame, result_groups, design_groups, bridge, interventions) -> DataFrame:
-    """The cascade over few of the groups: titles are read for the rows' groups and trials only, names for the arms these match only."""
+    """The cascade over few of the groups: titles are read for the rows' groups and trials only, names for the arms these match only.
+
+    Rows and groups in buckets of the trial meet there, though groups and titles are joined by further columns too.
+    """
     groups = result_groups.join(rows.select("nct_id", "rgid").distinct(), ["nct_id", "rgid"], "left_semi")
     designs = design_groups.join(rows.select("nct_id").distinct(), "nct_id", "left_semi")
-    attributed = keep(attribute_arms(rows, groups, designs), "attributed_rows")
+    with joins_in_buckets(rows.sparkSession):
+        attributed = keep(attribute_arms(rows, groups, designs), "attributed_rows")
     arms = attributed.select("dgid").distinct()
     linked = bridge.join(arms, "dgid", "left_semi").select("dgid", "intervention_id")
     named = keep(linked.join(interventions.select("intervention_id", "entity", "intervention_name", "intervention_type"), "intervention_id"), "arm_drugs")
@@ -143,10 +147,8 @@ def definition_rows(columns: Sequence[str], ae_rows, trials, anchors, result_gro
     """
     clocks = trials.select("nct_id", "phase", "completion_type", "completion_date", "results_posted_date", "primary_completion_date")
     dated = valid_denominator(ae_rows).join(clocks, "nct_id").join(anchors, "entity").withColumn("_met", _definitions_met("anchor"))
-    with joins_in_buckets(ae_rows.sparkSession):
-        rows = keep(dated.where(F.size("_met") > 0).select(*dict.fromkeys(["nct_id", "rgid", "entity", *columns]), "_met"), "definition_base", "nct_id")
-        final = strict_rows(rows, result_groups, design_groups, bridge, interventions)
-    return final.select(*columns, F.explode("_met").alias("definition"))
+    rows = keep(dated.where(F.size("_met") > 0).select(*dict.fromkeys(["nct_id", "rgid", "entity", *columns]), "_met"), "definition_base", "nct_id")
+    return strict_rows(rows, result_groups, design_groups, bridge, interventions).select(*columns, F.explode("_met").alias("definition"))
 
 
 def definition_summary(defined: DataFrame, signals: DataFrame, volume: DataFrame, reference: str = "STRICT_COMPLETION") -> DataFrame:
